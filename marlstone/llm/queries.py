@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, quality, sharding
+from marlstone.llm import mixing, quality, sharding, simhash
 from marlstone.llm.common import documents
 
 
@@ -24,7 +24,12 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__q_{c}").alias(c) for c in names])
 
 
-QUERIES = {"op1_lpt_sharding": op1_lpt_sharding, "op3_systematic_mix": op3_systematic_mix, "op8_host_rules": op8_host_rules}
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op10_simhash_components": op10_simhash_components, "op1_lpt_sharding": op1_lpt_sharding, "op3_systematic_mix": op3_systematic_mix, "op8_host_rules": op8_host_rules}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
