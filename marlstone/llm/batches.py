@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 _BLANKS = frozenset(b" \t\n\x0b\f\r")
 
@@ -19,3 +22,34 @@ def word_lists(data: bytes, step: int = 1 << 20) -> Iterator[list[bytes]]:
             end += 1
         yield data[at:end].split()
         at = end
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, shared by all tasks that run in it."""
+    return sys.modules.setdefault("_marlstone_worker_cache", types.ModuleType("_marlstone_worker_cache")).__dict__.setdefault("held", {})
+
+
+def held(key: tuple, make: Callable):
+    """``make()`` once for each worker and ``key``."""
+    cache = worker_cache()
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
+
+
+class Memo(dict):
+    """At most ``limit`` answers of ``make``; when full, the older half is let go."""
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def room(self) -> None:
+        if len(self) >= self.limit:
+            for k in list(itertools.islice(self, self.limit // 2)):
+                del self[k]
+
+    def __missing__(self, key):
+        self.room()
+        value = self[key] = self.make(key)
+        return value

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import mixing, quality, sharding, simhash
-from marlstone.llm.common import documents
+from marlstone.llm import binout, bpe, langid, mixing, quality, sharding, simhash, tokencount
+from marlstone.llm.common import documents, id_crc
 
 
 def op1_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,44 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash_components": op10_simhash_components, "op1_lpt_sharding": op1_lpt_sharding, "op3_systematic_mix": op3_systematic_mix, "op8_host_rules": op8_host_rules}
+def _vocabulary(name: str) -> str:
+    """Where the public vocabulary files lie; the same place on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2
+    model = langid.fit(docs.filter(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binout.encode_documents(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), 2)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op5_bitmask_langid": op5_bitmask_langid,
+    "op6_pfor_tokens": op6_pfor_tokens,
+    "op7_token_counts": op7_token_counts,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_simhash_components": op10_simhash_components,
+    "op1_lpt_sharding": op1_lpt_sharding,
+    "op3_systematic_mix": op3_systematic_mix,
+    "op8_host_rules": op8_host_rules,
+}
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
