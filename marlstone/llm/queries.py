@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import binout, bpe, langid, mixing, quality, sharding, simhash, tokencount
+from marlstone.llm import binout, bpe, langid, mixing, ngram, quality, sharding, simhash, sketch, tokencount
 from marlstone.llm.common import documents, id_crc
 
 
@@ -36,6 +36,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_edited(documents(spark, sf_dir))
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(5)) == 1
+    model = ngram.count(docs.filter(~held_out))
+    return ngram.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(4)) == 2
@@ -58,6 +69,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_kneser_ney": op4_kneser_ney,
+    "op2_scaled_sketch": op2_scaled_sketch,
     "op5_bitmask_langid": op5_bitmask_langid,
     "op6_pfor_tokens": op6_pfor_tokens,
     "op7_token_counts": op7_token_counts,
