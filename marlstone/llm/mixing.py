@@ -10,6 +10,8 @@ from marlstone.llm.common import materialize, maybe_broadcast, null_safe, rank_b
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
+#: Offsets tried for each source.
+TRIES = 16
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
@@ -17,8 +19,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
     Sources go by code point, null last, and take ``weights`` in turn.  Targets share the total by
     weight, none above ``cap`` times its source's size; what a capped source leaves is shared again
-    by weight.  That fixed point is one water level over the sources in order of cap / weight, found
-    here with prefix sums over one row per source.
+    by weight.  That fixed point is one level, weight times which is the target of the sources below
+    their cap.  With the sources in order of cap / weight and those before j capped, the level the
+    rest would share rises with j while j itself must be capped and falls afterwards, so it is the
+    highest of these; prefix sums over one row per source give them all.
     """
     totals = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -29,13 +33,12 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0))
     open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    t = t.withColumn("level", left / open_weight).withColumn("fits", F.col("level") <= ratio)
-    level = F.min(F.when(F.col("fits"), F.col("level"))).over(whole)
+    level = F.max(left / open_weight).over(whole)
     return t.withColumn("target", F.least(F.col("limit").cast("double"), level * F.col("weight"))).select("source", "source_size", "target")
 
 
 def offset_of(source: Column, seed: str = SEED) -> Column:
-    """One offset in [0, 1) a source, from the seed."""
+    """A random place in [0, 1) for each source, from the seed."""
     digest = F.substring(F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(source, F.lit("")), F.lit(":"), source.isNull().cast("string")).cast("binary")), 1, 8)
     return F.conv(digest, 16, 10).cast("long") / F.lit(4294967296.0)
 
@@ -44,12 +47,14 @@ def word_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
 
 
-def mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(sized: DataFrame, seed: str = SEED, tries: int = TRIES) -> DataFrame:
     """Copies of every row of ``doc_id, source, size``; adds ``source_size, target, copies, taken``.
 
     A document's expected copies are target / source size.  Their prefix sums run within the source
-    in order of size, then id, so a cut at every integer passes evenly through all sizes; one offset
-    a source shifts the cuts, and a document is emitted once for each integer in its interval.
+    in order of size, then id, so the cuts at integers pass evenly through all sizes; one random
+    offset a source shifts the cuts, and a document is emitted once for each integer in its interval.
+    The offset is the best of ``tries`` evenly spaced ones from a random start: the one whose words
+    come nearest the target, so a few very long documents do not decide how near that is.
     A null source is a source; null or empty texts have size 0; rows of one id are told apart by
     nothing but their order; a source without words has target 0 and no copies; no rows give none.
     """
@@ -58,6 +63,15 @@ def mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
     ranked = rank_by_class(sized, ["source"], ["size"], "doc_id")
     joined = null_safe(ranked, maybe_broadcast(targets, targets.count()), ["source"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    cut = lambda r: F.floor(each * r + offset_of(F.col("source"), seed))
-    copies = F.least(cut(F.col("rank") + 1) - cut(F.col("rank")), F.lit(MAX_COPIES)).cast("long")
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("rank")
+    placed = materialize(joined.withColumn("each", each).withColumn("start", offset_of(F.col("source"), seed)))
+
+    def copies(offset: Column) -> Column:
+        cut = lambda r: F.floor(F.col("each") * r + offset)
+        return F.least(cut(F.col("rank") + 1) - cut(F.col("rank")), F.lit(MAX_COPIES)).cast("long")
+
+    spaced = [F.pmod(F.col("start") + F.lit(k / tries), F.lit(1.0)) for k in range(tries)]
+    got = placed.groupBy("source").agg(F.first("target").alias("t"), F.first("start").alias("start"), *[F.sum(copies(u) * F.col("size")).alias(f"w{k}") for k, u in enumerate(spaced)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(spaced)]))
+    chosen = got.select("source", nearest["u"].alias("offset"))
+    final = null_safe(placed, maybe_broadcast(chosen, targets.count()), ["source"])
+    return final.withColumn("copies", copies(F.col("offset"))).withColumn("taken", F.col("copies") * F.col("size")).drop("rank", "each", "start", "offset")

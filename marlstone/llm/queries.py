@@ -91,13 +91,15 @@ w AS (SELECT *, ([1, 2, 3])[1 + (row_number() OVER (ORDER BY source ASC NULLS LA
 r AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
       FROM r WINDOW p AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT min(level) FROM l WHERE level <= ratio) * weight) AS target FROM l),
+t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT max(level) FROM l) * weight) AS target FROM l),
 k AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id ASC NULLS LAST) - 1 AS pos FROM d),
 e AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each_copy,
-             ('0x' || substr(md5('mix-1:' || coalesce(k.source, '') || ':' || CASE WHEN k.source IS NULL THEN 'true' ELSE 'false' END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off
-      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       (least(floor(each_copy * (pos + 1) + off) - floor(each_copy * pos + off), 3) * size)::BIGINT AS taken FROM e""",
+             ('0x' || substr(md5('mix-1:' || coalesce(k.source, '') || ':' || CASE WHEN k.source IS NULL THEN 'true' ELSE 'false' END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT e.*, try, (least(floor(each_copy * (pos + 1) + u) - floor(each_copy * pos + u), 3) * size)::BIGINT AS taken
+      FROM (SELECT e.*, try, CASE WHEN start + try / 16.0::DOUBLE >= 1 THEN start + try / 16.0::DOUBLE - 1 ELSE start + try / 16.0::DOUBLE END AS u FROM e, range(16) r(try)) e),
+b AS (SELECT source, arg_min(try, (abs(words - target), try)) AS best FROM (SELECT source, try, sum(taken)::DOUBLE AS words, any_value(target) AS target FROM c GROUP BY source, try) GROUP BY source)
+SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND try = best""",
     "op8_host_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
