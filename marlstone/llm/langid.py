@@ -96,15 +96,16 @@ class Filter:
             total += len(grams)
         return found, total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with most grams after taking off the expected false positives, and its share."""
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language with most grams after taking off the expected false positives, its share among
+        all languages, and the share of the text's grams that it has."""
         plain = letters(text) if text else ""
         if not plain or not self.langs:
-            return "und", 0.0
+            return "und", 0.0, 0.0
         found, total = self.hits(plain)
         real = np.clip((found / max(total, 1) - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(real.argmax())
-        return self.langs[best], float(real[best] / real.sum()) if real.sum() else 0.0
+        return self.langs[best], float(real[best] / real.sum()) if real.sum() else 0.0, float(real[best])
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> Filter:
@@ -145,14 +146,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     return Filter(langs, table)
 
 
-def identify(docs: DataFrame, model: Filter, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the predicted language and a score from 0 to 1 added under the names ``into``.
+def identify(docs: DataFrame, model: Filter, text: str = "text", into: tuple[str, str, str] = ("lang_pred", "score", "cover")) -> DataFrame:
+    """``docs`` with the predicted language, its score and its cover (0 to 1) added under the names ``into``.
 
-    A null text, or one without a letter, is ``und`` with score 0; only the text is read.  All columns
+    A null text, or one without a letter, is ``und`` with score and cover 0; only the text is read.  All columns
     pass through; repeated rows get an answer each; no rows give none.
     """
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{into[0]}` string, `{into[1]}` double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{into[0]}` string, `{into[1]}` double, `{into[2]}` double"
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", into: tuple[str
         place = names.index(text)
         for b in batches:
             told = [own.predict(t.as_py()) for t in b.column(place)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], [*names, *into])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in told], pa.string()), *[pa.array([x[k] for x in told], pa.float64()) for k in (1, 2)]], [*names, *into])
 
     return docs.mapInArrow(run, schema)
 
