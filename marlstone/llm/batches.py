@@ -38,18 +38,32 @@ def held(key: tuple, make: Callable):
 
 
 class Memo(dict):
-    """At most ``limit`` answers of ``make``; when full, the older half is let go."""
+    """Answers of ``make``, at most ``limit`` of them.
 
-    def __init__(self, make: Callable, limit: int) -> None:
+    A key is kept from its second request on: a bitmap of hashed keys tells repeated requests from
+    first ones, so the many keys that never come back take no room.  A full memo stays as it is, as the
+    keys that came back first are the frequent ones, but lets half go after ``10 * limit`` refusals.
+    """
+
+    def __init__(self, make: Callable | None, limit: int) -> None:
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.refused, self.asked = make, limit, 0, bytearray(1 << 21)
 
-    def room(self) -> None:
-        if len(self) >= self.limit:
-            for k in list(itertools.islice(self, self.limit // 2)):
-                del self[k]
+    def keep(self, key, value) -> None:
+        h = hash(key)
+        at, bit = (h >> 3) & 0x1FFFFF, 1 << (h & 7)
+        if not self.asked[at] & bit:
+            self.asked[at] |= bit
+        elif len(self) < self.limit:
+            self[key] = value
+        else:
+            self.refused += 1
+            if self.refused > 10 * self.limit:
+                self.refused = 0
+                for k in list(itertools.islice(self, self.limit // 2)):
+                    del self[k]
 
     def __missing__(self, key):
-        self.room()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        self.keep(key, value)
         return value

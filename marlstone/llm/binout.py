@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,9 @@ MAGIC = b"PFORIDS1"
 _HEAD = np.dtype([("min", "<u4"), ("n", "<u2"), ("width", "u1"), ("pad", "u1"), ("exceptions", "<u2"), ("pad2", "<u2")])
 _FOOT = np.dtype([("blocks", "<u8"), ("docs", "<u8"), ("ids", "<u8"), ("index", "<u8"), ("magic", "S8")])
 _SEGMENT = 128 * BLOCK
-MEMO = 300_000
+MEMO = 500_000
+_MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+_JOINED = 256
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -187,7 +191,9 @@ class WordEncoder:
     """Ids of a text by the library, which sees each ASCII-blank-separated stretch once while it is held.
 
     The tokenizer's pattern never crosses blanks, and neither do its normalizer or special strings, so
-    a text's ids are those of its stretches in a row.
+    a text's ids are those of its stretches in a row.  It also lower-cases, and ends a piece before
+    a lone full stop or comma after a letter or digit; so A-Z are lowered and such marks set apart
+    first, unless the text may hold a special string.
     """
 
     def __init__(self, path: str, memo: int = MEMO) -> None:
@@ -195,20 +201,54 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo = Memo(lambda w: self._encode([w])[0], memo)
-
-    def _encode(self, stretches: list[bytes]) -> list[tuple[int, ...]]:
-        found = self.tok.encode_batch_fast([s.decode() for s in stretches], add_special_tokens=False)
-        return [tuple(e.ids) for e in found]
-
-    def encode_all(self, texts: list[bytes]) -> list[list[int]]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.memo})
-        for at in range(0, len(new), 4096):
-            self.memo.room()
-            self.memo.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096])))
-        get = self.memo.__getitem__
-        return [list(itertools.chain.from_iterable(map(get, words))) for words in split]
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.memo = Memo(None, memo)
+
+    @staticmethod
+    def stretches(text: bytes) -> list[bytes]:
+        return (text if b"<|" in text else _MARK.sub(rb" \1", text.lower())).split()
+
+    def _encode(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each stem.  Stems of letters alone are encoded many to a text, with blanks between.
+
+        Each such stem is one piece and ends with one token of a word's end, so these tokens cut the
+        ids; a text with another number of them than stems is encoded again stem by stem.
+        """
+        words = [s.decode() for s in stems]
+        plain = [k for k, w in enumerate(words) if w.isalpha()]
+        single = [k for k, w in enumerate(words) if not w.isalpha()]
+        out: dict[bytes, bytes] = {}
+        groups = [plain[at : at + _JOINED] for at in range(0, len(plain), _JOINED)]
+        texts = [" ".join([words[k] for k in g]) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(g):
+                single += g
+                continue
+            raw, at = ids.tobytes(), 0
+            for k, end in zip(g, cuts.tolist()):
+                out[stems[k]] = raw[at:end]
+                at = end
+        for k, e in zip(single, self.tok.encode_batch_fast([words[k] for k in single], add_special_tokens=False)):
+            out[stems[k]] = array("I", e.ids).tobytes()
+        return out
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids (u32) of each text."""
+        split = list(map(self.stretches, texts))
+        got = [list(map(self.memo.get, words)) for words in split]
+        new = list({w for words, ids in zip(split, got) if None in ids for w, x in zip(words, ids) if x is None})
+        fresh: dict[bytes, bytes] = {}
+        for at in range(0, len(new), 16_384):
+            fresh.update(self._encode(new[at : at + 16_384]))
+        for w, ids in fresh.items():
+            self.memo.keep(w, ids)
+        if fresh:
+            got = [[fresh[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids for words, ids in zip(split, got)]
+        return [np.frombuffer(b"".join(ids), np.uint32) for ids in got]
 
 
 def write_files(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str, doc_id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
@@ -224,7 +264,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str, doc_
         from pyarrow import fs
 
         enc = held(("binout", tokenizer), lambda: WordEncoder(tokenizer))
-        task, writer = TaskContext.get(), None
+        task, writer, end = TaskContext.get(), None, np.uint32(end_id)
         for b in batches:
             step = 256
             for at in range(0, len(b), step):
@@ -235,8 +275,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str, doc_
                         store, place = fs.FileSystem.from_uri(path)
                         store.create_dir(place.rpartition("/")[0])
                         writer = Writer(store.open_output_stream(place))
-                    ids.append(end_id)
-                    writer.add(d, np.array(ids, np.uint32))
+                    writer.add(d, np.append(ids, end))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([path]), pa.array([writer.ids], pa.int64())], ["part", "path", "ids"])
