@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from marlstone.plans import evaluation, graphs, joins, ranking, records, streams, texts, vectors  # noqa: F401  registers
+from marlstone.plans.registry import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
