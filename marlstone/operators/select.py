@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,8 +84,3 @@ def greedy_match(pairs: DataFrame, record: str, least: float = 0.35) -> DataFram
     """
     schema = pairs.schema
     return pairs.filter(F.col("score") >= least).groupBy(record).applyInPandas(lambda g: _match(g, least), schema)
-
-
-def batches_of(completer, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield f.assign(answer=[completer(p) for p in f["prompt"]])

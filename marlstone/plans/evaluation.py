@@ -134,20 +134,32 @@ def bucket_profile(spark, sf_dir):
     return n.select("bucket", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
-_STATES = """(SELECT user_id, bool_or(event_type = 'purchase' AND value > 150) AS supported, bool_or(event_type = 'error' AND value > 250) AS attacked, bool_or(event_type = 'signup' AND value > 200) AS attack_valid,
-bool_or(event_type = 'click' AND value > 220) AS challenger_ready, bool_or(event_type = 'view' AND value > 80) AS family_known, bool_or(event_type = 'view' AND value > 260) AS incumbent_protected FROM events GROUP BY user_id)"""
+_STATES = """(SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value > 150) THEN 'supported' ELSE 'inconclusive' END AS decision, CASE WHEN bool_or(event_type = 'view' AND value > 200) THEN 'child' ELSE '' END AS child_label,
+bool_or(event_type = 'error' AND value > 150) AS attack, CASE user_id % 3 WHEN 0 THEN 'better_supported_alternative' WHEN 1 THEN 'unsupported_specificity' ELSE 'contradiction' END AS attack_type, CASE WHEN user_id % 6 < 4 THEN 'D2' ELSE '' END AS alternative,
+CASE WHEN user_id % 5 = 0 THEN NULL ELSE bool_or(event_type = 'signup' AND value > 150) END AS valid, CASE WHEN user_id % 7 = 0 THEN 'child_only' ELSE 'family' END AS scope, bool_or(event_type = 'click' AND value > 150) AS independent, bool_or(event_type = 'view' AND value > 220) AS protected FROM events GROUP BY user_id)"""
 
 
-@query("resolver_case", f"""WITH r AS (SELECT user_id, attacked AND attack_valid AS challenged, CASE WHEN supported AND NOT (attacked AND attack_valid) THEN 'maintain' WHEN attacked AND attack_valid AND challenger_ready THEN 'switch'
-WHEN incumbent_protected THEN 'protected_incumbent' WHEN family_known THEN 'family_fallback' ELSE 'abstain' END AS action FROM {_STATES})
-SELECT action, CASE WHEN action = 'abstain' THEN 'abstain' WHEN action IN ('maintain', 'switch') AND challenged THEN 'confident' WHEN action = 'maintain' THEN 'clean_pass' WHEN action IN ('protected_incumbent', 'family_fallback') THEN 'evidence_rescue' ELSE 'other' END AS basis, count(*) AS cases FROM r GROUP BY ALL""")
+@query("resolver_case", f"""WITH t AS (SELECT *, (NOT attack OR NOT coalesce(valid, FALSE)) AS survives, attack_type = 'better_supported_alternative' AND alternative <> '' AS better FROM {_STATES}),
+r AS (SELECT user_id, attack AND coalesce(valid, FALSE) AS challenged, CASE
+ WHEN decision <> 'supported' AND protected AND survives THEN 'protected_incumbent' WHEN decision <> 'supported' AND protected AND coalesce(valid, FALSE) AND better AND independent THEN 'switch' WHEN decision <> 'supported' THEN 'abstain'
+ WHEN attack AND valid IS NOT NULL AND NOT valid AND better AND independent THEN 'abstain' WHEN survives AND child_label <> '' THEN 'maintain' WHEN survives THEN 'family_fallback'
+ WHEN attack_type = 'unsupported_specificity' OR scope = 'child_only' THEN 'family_fallback' WHEN better THEN 'switch' ELSE 'abstain' END AS action FROM t)
+SELECT user_id, action, CASE WHEN action = 'abstain' THEN 'abstain' WHEN action IN ('maintain', 'switch') AND challenged THEN 'confident' WHEN action = 'maintain' THEN 'clean_pass' WHEN action IN ('protected_incumbent', 'family_fallback') THEN 'evidence_rescue' ELSE 'other' END AS basis FROM r""")
 def resolver_case(spark, sf_dir):
     """The decision ladder over one state a user."""
-    kind, value = F.col("event_type"), F.col("value")
+    kind, value, user = F.col("event_type"), F.col("value"), F.col("user_id")
     seen = lambda k, least: F.bool_or((kind == k) & (value > least))
-    states = table(spark, sf_dir, "events").groupBy("user_id").agg(seen("purchase", 150).alias("supported"), seen("error", 250).alias("attacked"), seen("signup", 200).alias("attack_valid"), seen("click", 220).alias("challenger_ready"), seen("view", 80).alias("family_known"), seen("view", 260).alias("incumbent_protected"))
-    decided = resolve(states)
-    return decided.groupBy("action", resolution_basis(F.col("action"), F.col("challenged")).alias("basis")).agg(F.count(F.lit(1)).alias("cases"))
+    flags = table(spark, sf_dir, "events").groupBy("user_id").agg(seen("purchase", 150).alias("sup"), seen("view", 200).alias("child"), seen("error", 150).alias("attack"), seen("signup", 150).alias("val"), seen("click", 150).alias("independent"), seen("view", 220).alias("protected"))
+    states = flags.select(
+        "user_id", "attack", "independent", "protected",
+        F.when(F.col("sup"), "supported").otherwise("inconclusive").alias("decision"),
+        F.when(F.col("child"), "child").otherwise("").alias("child_label"),
+        F.when(user % 3 == 0, "better_supported_alternative").when(user % 3 == 1, "unsupported_specificity").otherwise("contradiction").alias("attack_type"),
+        F.when(user % 6 < 4, "D2").otherwise("").alias("alternative"),
+        F.when(user % 5 != 0, F.col("val")).alias("valid"),
+        F.when(user % 7 == 0, "child_only").otherwise("family").alias("scope"),
+    )
+    return resolve(states).select("user_id", "action", resolution_basis(F.col("action"), F.col("challenged")).alias("basis"))
 
 
 @query("serial_rise", "SELECT user_id, event_type, count(*) AS n, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value, count(*) >= 2 AND arg_max(value, (ts, event_id)) > arg_min(value, (ts, event_id)) AS rising FROM events GROUP BY user_id, event_type")
