@@ -6,6 +6,7 @@ import base64
 import hashlib
 import heapq
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.batches import Memo, held
 
 #: Pre-tokens whose ids a worker keeps.
-MEMO = 300_000
+MEMO = 500_000
 _LONG_TEXT = 1 << 22
 
 
@@ -68,7 +69,7 @@ class Bpe:
         self.bytes_of, self.text_of = [b""] * size, [""] * size
         for token, rank in ranks.items():
             self.bytes_of[rank], self.text_of[rank] = token, str(rank)
-        self.memo = Memo(lambda piece: tuple(self.encode_piece(piece.encode())), memo)
+        self.memo = Memo(lambda piece: array("I", self.encode_piece(piece.encode())).tobytes(), memo)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Merge neighbours, lowest rank first and leftmost among equals, until none has a rank.
@@ -129,7 +130,7 @@ class Bpe:
     def encode(self, text: str) -> Iterator[list[int]]:
         """The ids of ``text``, block by block."""
         for block in self.pieces(text):
-            yield list(itertools.chain.from_iterable(map(self.memo.__getitem__, block)))
+            yield array("I", b"".join(map(self.memo.__getitem__, block))).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
