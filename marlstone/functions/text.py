@@ -171,7 +171,7 @@ def contradict(left: Column, right: Column) -> Column:
 
 def clauses(text: Column, separators: str = "[;\\r\\n]+") -> Column:
     """Trimmed non-blank parts between ``separators``."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), separators), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PREDICTIONS = T.StructType.fromDDL(
+PREDICTIONS = (
     "run_id string, case_id string, dataset string, task string, mode string, model_id string, gold_label string, predicted_label string, reasoning string, "
     "citations array<string>, observations array<struct<text: string, source_id: string>>, abstained boolean, latency_seconds double, prompt_hash string, "
     "cache_hit boolean, valid_evidence_ids array<string>, quality_flags array<string>, error string, metadata string"
@@ -45,7 +45,7 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
         default = F.lit(defaults[kind]) if kind in defaults else F.array().cast(f.dataType)
         return F.coalesce(F.col(f.name), default).alias(f.name)
 
-    return df.select(*[filled(f) for f in PREDICTIONS.fields])
+    return df.select(*[filled(f) for f in df.schema.fields])
 
 
 def _walk(tree: dict, path: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
@@ -90,7 +90,7 @@ def premises(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     nested = F.from_json("body", "map<string,string>")
     typed = F.when(F.startswith(F.trim("body"), F.lit("{")), nested).otherwise(F.create_map(F.lit("Diagnostic Criteria"), F.col("body")))
     each = by_label.select("graph_id", "diagnosis", F.explode(typed).alias("premise_type", "body"))
-    parts = F.filter(F.transform(F.split("body", ";+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("body", ";+"), lambda x: F.trim(x)), lambda x: x != "")
     rows = each.select("graph_id", "diagnosis", "premise_type", F.posexplode(parts).alias("position", "text"))
     identity = F.concat_ws("\0", "graph_id", "diagnosis", "premise_type", "position", "text")
     return rows.withColumn("premise_id", F.concat(F.lit("source-chunk:"), F.substring(F.sha2(identity, 256), 1, 20)))

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _marked(events: DataFrame, watermark: str) -> DataFrame:
+    """Watermarks need an instant; a stream's plain timestamps are read in the session's time zone."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
 def _summed(grouped) -> DataFrame:
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -18,16 +25,16 @@ def _flat(df: DataFrame) -> DataFrame:
 
 def tumbling(events: DataFrame, size: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Events and values per type in windows that do not overlap; late rows beyond the watermark are dropped on streams."""
-    return _flat(_summed(events.withWatermark("ts", watermark).groupBy(F.window("ts", size).alias("window"), "event_type")))
+    return _flat(_summed(_marked(events, watermark).groupBy(F.window("ts", size).alias("window"), "event_type")))
 
 
 def sliding(events: DataFrame, size: str = "6 hours", slide: str = "3 hours", watermark: str = "10 minutes") -> DataFrame:
-    return _flat(_summed(events.withWatermark("ts", watermark).groupBy(F.window("ts", size, slide).alias("window"), "event_type")))
+    return _flat(_summed(_marked(events, watermark).groupBy(F.window("ts", size, slide).alias("window"), "event_type")))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
     """A user's events with no pause of ``gap`` or more between them."""
-    return _flat(_summed(events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("window"), "user_id")))
+    return _flat(_summed(_marked(events, watermark).groupBy(F.session_window("ts", gap).alias("window"), "user_id")))
 
 
 def upsert(batch: DataFrame, held: DataFrame, key: str, order: str) -> DataFrame:
