@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import holds, tokens
 from marlstone.plans.ranking import toks
-from marlstone.plans.registry import query, table
+from marlstone.plans.registry import query, table, texts
 
 
 @query("threshold_join", """WITH t AS (SELECT p_brand, avg(p_retailprice) AS price, max(p_size) AS top FROM part GROUP BY p_brand)
@@ -41,7 +41,7 @@ SELECT item_id, doc_id, coverage, jaccard, coverage >= 0.75 AS admissible FROM (
 def theta_best_match(spark, sf_dir):
     """Each item's best document by covered tokens; pairs meet on a shared token, never as a product."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
+    d = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
     terms = q.select("item_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
     shared = d.select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("term")).join(terms, "term").groupBy("item_id", "doc_id", "nq", "nd").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.select("item_id", "doc_id", F.round(F.col("shared") / F.col("nq"), 6).alias("coverage"), F.round(F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")), 6).alias("jaccard"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import STOPWORDS, tokens
 from marlstone.operators import fusion, lexical, select
-from marlstone.plans.registry import query, table
+from marlstone.plans.registry import query, table, texts
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -32,7 +32,7 @@ b AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DO
 
 @query("bm25_topk", f"WITH {_BM25} SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b WHERE score > 0) WHERE rank <= 5")
 def bm25_topk(spark, sf_dir):
-    return lexical.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return lexical.bm25(texts(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), 5)
 
 
 @query("idf_overlap_rank", f"""WITH {_POSTINGS},
@@ -41,7 +41,7 @@ b AS (SELECT query, doc, round(sum((ln((n + 1) / (df + 1)) + 1) * least(tf, 2) *
       FROM p JOIN f USING (term) JOIN q USING (term) JOIN u USING (doc), s GROUP BY query, doc)
 SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b) WHERE rank <= 5""")
 def idf_overlap_rank(spark, sf_dir):
-    return lexical.idf_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5)
+    return lexical.idf_overlap(texts(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), 5)
 
 
 @query("token_stats", f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms, round(1 / sqrt(greatest(greatest(len(t), 1) / 64.0::DOUBLE, 1.0::DOUBLE)), 6) AS length_weight FROM (SELECT doc_id, {toks('text')} AS t FROM documents)")
@@ -52,7 +52,7 @@ def token_stats(spark, sf_dir):
 
 @query("term_df", f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM p GROUP BY term")
 def term_df(spark, sf_dir):
-    p = lexical.postings(table(spark, sf_dir, "documents"))
+    p = lexical.postings(texts(spark, sf_dir, "doc_id", "text"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
 
 
@@ -72,7 +72,7 @@ def rrf_hybrid(spark, sf_dir):
     from marlstone.operators import vectors
 
     bench, emb = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    sparse = lexical.bm25(table(spark, sf_dir, "documents"), bench, 20)
+    sparse = lexical.bm25(texts(spark, sf_dir, "doc_id", "text"), bench, 20)
     asked = emb.join(F.broadcast(bench.select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
     dense = vectors.nearest(asked, emb, 20)
     fused = fusion.rrf(sparse, dense, ["query", "doc"], 1.0, 0.5)
@@ -90,7 +90,7 @@ o AS (SELECT query, source, lang, sum(CASE rn WHEN 1 THEN score WHEN 2 THEN 0.5:
 
 def _scored_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = lexical.bm25(docs, table(spark, sf_dir, "benchmark"), 1 << 30)
+    scored = lexical.bm25(texts(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), 1 << 30)
     return scored.join(docs.select(F.col("doc_id").alias("doc"), "source", "lang"), "doc")
 
 

@@ -145,3 +145,9 @@ def require_matching(left: DataFrame, right: DataFrame, key: str) -> None:
     odd = left.select(key).distinct().join(right.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "full").filter(F.col(key).isNull() | F.col("__k").isNull())
     if odd.limit(1).count():
         raise ValueError(f"keys on one side only: {[tuple(r) for r in odd.limit(5).collect()]}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows to all cores if the scan has fewer splits than there are cores; else leave them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
