@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.sources.readers import spread
+
 #: Rows of one sorted run when ranks are made bucket by bucket.
 RUN_ROWS = 8192
 #: A relation is broadcast only if it was counted and has at most this many rows of bounded width.
@@ -18,7 +20,7 @@ BROADCAST_ROWS = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def word_array(text: Column) -> Column:
