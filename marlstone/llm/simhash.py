@@ -17,11 +17,11 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import word_lists
-from marlstone.llm.common import materialize, null_safe
+from marlstone.llm.common import let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
 
 BITS = 64
 RADIUS = 3
@@ -32,6 +32,8 @@ _PIECE = 11
 _SEED = 42
 #: A probe is a row that is shuffled and sorted, about a microsecond; comparing a candidate takes 10 ns.
 _PROBE_COST = 100.0
+#: Thresholds that would probe more values of one partition than this are never chosen.
+_MOST_PROBES = 100_000
 
 
 def fingerprint_of(data: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -146,9 +148,12 @@ class Plan:
         self.pieces = _pieces(groups)
         self.masks = []
         for g in groups:
-            by_distance = [[0]]
+            by_distance, total = [[0]], 1
             for d in range(1, radius + 1):
-                by_distance.append([sum(1 << b for b in c) for c in itertools.combinations(range(len(g)), d)] if d <= len(g) else [])
+                total += math.comb(len(g), d)
+                if total > _MOST_PROBES:
+                    break
+                by_distance.append([sum(1 << b for b in c) for c in itertools.combinations(range(len(g)), d)])
             self.masks.append([np.array(x, np.uint64) for x in by_distance])
         # share of fingerprints at each distance from each value of each piece
         self.near, at = [], 0
@@ -177,7 +182,8 @@ class Plan:
                 share = got if share is None else np.array([sum(share[a] * got[d - a] for a in range(d + 1)) for d in range(self.radius + 1)])
             within = np.cumsum(share, axis=0) * self.n
             probes = np.cumsum([len(x) for x in self.masks[i]])
-            out[i, 1:] = within + _PROBE_COST * probes[:, None]
+            out[i, 1 : len(probes) + 1] = within[: len(probes)] + _PROBE_COST * probes[:, None]
+            out[i, len(probes) + 1 :] = np.inf
         return out
 
     def thresholds(self, fps: np.ndarray) -> np.ndarray:
@@ -208,7 +214,7 @@ class Plan:
             for role, chosen in ((3, t[i] >= 0), (1, t[i] < 0)):
                 if chosen.any():
                     yield i, keys[chosen], fps[chosen], role
-            for d in range(1, self.radius + 1):
+            for d in range(1, len(self.masks[i])):
                 chosen = t[i] >= d
                 if chosen.any() and len(self.masks[i][d]):
                     k = (keys[chosen][:, None] ^ self.masks[i][d][None, :]).ravel()
@@ -233,12 +239,36 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _matches(group: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between probes and kept fingerprints of the same group; rows are sorted by group."""
+def _rooted(x: np.ndarray, members: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """``x`` with each of the sorted ``members`` replaced by its root."""
+    if not len(members):
+        return x
+    at = np.minimum(np.searchsorted(members, x), len(members) - 1)
+    return np.where(members[at] == x, roots[at], x)
+
+
+def _closest(a: np.ndarray, b: np.ndarray, d: np.ndarray, members: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the links (a, b, distance), the closest between each two components."""
+    ra, rb = _rooted(a, members, roots), _rooted(b, members, roots)
+    low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+    order = np.lexsort((b, a, d, high, low))
+    order = order[low[order] != high[order]]
+    low, high = low[order], high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    keep = order[new]
+    return a[keep], b[keep], d[keep]
+
+
+def _matches(group: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int, wide: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
+    """Links within ``radius`` bits of probes and kept fingerprints of the same group, as stars, and
+    the closest links of more bits, up to ``wide``, between the stars.  Rows are sorted by group."""
     kept, probe = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     first = np.searchsorted(group[kept], group[probe], "left")
     count = np.searchsorted(group[kept], group[probe], "right") - first
-    ends, found_a, found_b, at = np.cumsum(count), [], [], 0
+    ends, at = np.cumsum(count), 0
+    none = np.zeros(0, np.uint64)
+    sure, maybe = [(none, none)], [(none, none, none)]
     while at < len(probe):
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
@@ -246,33 +276,38 @@ def _matches(group: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int) -
         a = np.repeat(fp[probe[at:to]], n)
         place = np.arange(len(a)) - np.repeat(ends[at:to] - n - done, n) + np.repeat(first[at:to], n)
         b = fp[kept[place]]
-        near = (a < b) & (np.bitwise_count(a ^ b) <= radius)
-        if near.any():
-            x, y = spanning(a[near], b[near])
-            found_a.append(x)
-            found_b.append(y)
+        d = np.bitwise_count(a ^ b)
+        near = np.flatnonzero((d <= max(radius, wide)) & (a < b))
+        if len(near):
+            a, b, d = a[near], b[near], d[near].astype(np.uint64)
+            close = d <= radius
+            star = spanning(a[close], b[close])
+            sure.append(star)
+            maybe.append(_closest(a[~close], b[~close], d[~close], *star))
         at = to
-    if not found_a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return spanning(np.concatenate(found_a), np.concatenate(found_b))
+    star = spanning(*map(np.concatenate, zip(*sure)))
+    return star, _closest(*map(np.concatenate, zip(*maybe)), *star)
+
 
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, wide: int = 0) -> DataFrame:
+    """``u, v, bits``: links whose components are those of all pairs of distinct ``fp`` within ``radius`` bits.
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """``u, v`` (u > v) whose components are those of all pairs of distinct ``fp`` within ``radius`` bits.
+    With ``wide`` over ``radius``, also the closest pairs of up to that many bits between the stars that
+    one cell makes of closer ones, with their ``bits``; a star's links have 0.
 
     Buckets of more than ``cell`` fingerprints are dealt to a grid of cells, so that each pair still
     meets in one cell and no task holds more than a cell's share.
     """
-    n = fps.count()
+    n, reach = fps.count(), max(radius, wide)
     co = _summed(fps, _co_counts)
     matrix = np.array([co.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
-    groups = group_bits(matrix, n, partitions_for(n, radius))
+    groups = group_bits(matrix, n, partitions_for(n, reach))
     pieces = [p for g in _pieces(groups) for p in g]
 
     def histogram(x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(take_bits(x, p).astype(np.int64), minlength=1 << len(p)) for p in pieces])
 
-    plan = Plan(groups, _summed(fps, histogram), n, radius)
+    plan = Plan(groups, _summed(fps, histogram), n, reach)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,9 +338,10 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
             part, key, where, fp, role = cols
             new = np.ones(len(key), bool)
             new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (where[1:] != where[:-1])
-            x, y = _matches(np.cumsum(new), fp.view(np.uint64), role, radius)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["u", "v"])
+            (x, y), (a, b, d) = _matches(np.cumsum(new), fp.view(np.uint64), role, radius, wide)
+            if len(x) + len(a):
+                u, v, bits = np.concatenate([x, a]), np.concatenate([y, b]), np.concatenate([np.zeros(len(x), np.uint64), d])
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(bits.astype(np.int32))], ["u", "v", "bits"])
 
         for b in batches:
             held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "key", "cell", "fp", "role")))
@@ -322,7 +358,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
 
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "part", "key", "cell").sortWithinPartitions("part", "key", "cell")
-    return dealt.mapInArrow(match, "u long, v long")
+    return dealt.mapInArrow(match, "u long, v long, bits int")
 
 
 def _own_rows(batches: Iterator[pa.RecordBatch], groups: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -353,17 +389,50 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialize(small.filter("u <> v").distinct())
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def shingle_set(text: Column, words: int) -> Column:
+    """31-bit hashes of the distinct ``words``-word shingles of a text, A-Z lower-cased."""
+
+    def hashed(w: Column) -> Column:
+        each = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)]).bitwiseAND(0x7FFFFFFF).cast("int"))
+        whole = F.array(F.xxhash64(w).bitwiseAND(0x7FFFFFFF).cast("int"))
+        return F.when(F.size(w) >= words, F.slice(each, 1, F.greatest(F.size(w) - (words - 1), F.lit(1)))).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<int>"))
+
+    return F.array_distinct(let(word_array(lower_ascii(text)), hashed))
+
+
+def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
+    """The pairs ``u, v`` of fingerprints whose documents share at least ``least`` of their shingles.
+
+    A fingerprint stands for its document of smallest id; only documents of some pair are read whole.
+    """
+    nodes = materialize(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(fps, "fp"))
+    plain = docs.select(F.col(doc_id).alias("low"), F.col(text).alias("text"))
+    wanted = maybe_broadcast(nodes.select("low").distinct(), nodes.count())
+    sets = null_safe(plain, wanted, ["low"], "left_semi").groupBy("low").agg(F.min("text").alias("text")).select("low", shingle_set(F.col("text"), words).alias("s"))
+    known = materialize(null_safe(nodes, sets, ["low"]).select("fp", "s"))
+    a, b = known.select(F.col("fp").alias("u"), F.col("s").alias("su")), known.select(F.col("fp").alias("v"), F.col("s").alias("sv"))
+    both = pairs.join(a, "u").join(b, "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.filter(shared >= least * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+
+
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: int = 0, least: float = 0.8, verify_words: int = 5) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked, equal ones too; ``component_id`` is the smallest
-    id reachable.  Null and empty texts have fingerprint 0, linked like any other; rows with a null id
+    id reachable.  With ``wide``, fingerprints of up to that many bits are linked as well if their texts
+    share at least ``least`` of all their ``verify_words``-word shingles.  Null and empty texts have fingerprint 0, linked like any other; rows with a null id
     take part and get their component's smallest id that isn't null; repeated rows get one answer
     each; no rows give none.  Other columns are ignored.
     """
     marked = materialize(fingerprints(docs, doc_id, text, words))
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(fps, radius))
+    found = links(fps, radius, wide=wide)
+    if wide > radius:
+        found = materialize(found.distinct())
+        pairs = found.filter("bits > 0").select("u", "v").distinct()
+        found = found.filter("bits = 0").select("u", "v").union(verified(pairs, fps, docs, doc_id, text, verify_words, least))
+    roots = components(found)
     joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.join(lowest, "root").select("fp", "component_id")
