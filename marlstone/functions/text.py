@@ -59,6 +59,33 @@ FAMILY_ALIASES = {
     "ua": "acutecoronarysyndrome",
 }
 
+# Keys that say a qualifier by themselves (several with commas between).
+KEY_QUALIFIERS = {
+    "bacterialpneumonia": "bacterial",
+    "viralpneumonia": "viral",
+    "relapsingremittingmultiplesclerosis": "relapsing_remitting",
+    "rrms": "relapsing_remitting",
+    "lowriskpe": "low_risk",
+    "submassivepe": "intermediate_risk",
+    "severecopd": "severe",
+    "copdexacerbation": "exacerbation",
+    "acuteexacerbationofcopd": "acute,exacerbation",
+    "mildcopd": "mild",
+    "moderatecopd": "moderate",
+    "veryseverecopd": "very_severe",
+    "massivepe": "high_risk",
+    "hfpef": "preserved_ef",
+    "hfmref": "mildly_reduced_ef",
+    "hfref": "reduced_ef",
+    "typeidiabetes": "type_1",
+    "typeiidiabetes": "type_2",
+    "asthmacopd": "overlap",
+    "nsteacs": "non_st_elevation",
+    "nstemi": "non_st_elevation",
+    "stemiacs": "st_elevation",
+    "ua": "unstable_angina",
+}
+
 # Words and phrases that qualify a diagnosis.
 QUALIFIERS = {
     "acute": "acute",
@@ -108,6 +135,17 @@ def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     return F.filter(found, lambda x: (F.length(x) > 1) & ~x.isin(*stopwords))
 
 
+def retrieval_segments(text: Column, size: int = 56, overlap: int = 8) -> Column:
+    """Distinct segments: sentences and clauses, cut before a test's heading, in windows of ``size`` words.
+
+    Line breaks are blanks by then, so only ``. ! ?`` before a blank and ``;`` separate clauses.
+    """
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
+    heading = "(?i)(?=\\b(?:ECG|EKG|EEG|EGD|Endoscopy|Echocardiogram|Echo|CXR|CT|MRI|Imaging|Laboratory|Labs?|Pathology|Biopsy)\\s*:)"
+    blocks = F.flatten(F.transform(F.split(flat, "(?<=[.!?])\\s+|[;\\r\\n]+"), lambda c: F.split(c, heading)))
+    return F.array_distinct(F.flatten(F.transform(blocks, lambda b: word_windows(b, size, size - overlap))))
+
+
 def normalize_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
@@ -151,12 +189,17 @@ def family_key(text: Column) -> Column:
 
 
 def qualifiers(text: Column) -> Column:
-    """Sorted qualifiers of a label: single words, phrases, and "suspected"."""
+    """Sorted qualifiers of a label: by its key or a token's, by words and phrases, and "suspected"."""
     spaced = F.concat(F.lit(" "), term_key(text), F.lit(" "))
     words = [F.when(F.contains(spaced, F.lit(f" {w} ")), F.lit(q)) for w, q in QUALIFIERS.items()]
     phrases = [F.when(F.contains(spaced, F.lit(p)), F.lit(q)) for p, q in QUALIFIER_PHRASES.items()]
-    suspected = F.when(F.startswith(label_key(text), F.lit("suspected")), F.lit("suspected"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*words, *phrases, suspected))))
+    key = label_key(text)
+    strongly = F.startswith(key, F.lit("stronglysuspected"))
+    suspected = [F.when(strongly, F.lit("strongly_suspected")), F.when(strongly | F.startswith(key, F.lit("suspected")), F.lit("suspected"))]
+    parts = F.transform(F.split(F.lower(text), "[^a-z0-9-]+"), lambda t: F.regexp_replace(t, "-", ""))
+    named = F.transform(F.array_append(parts, lexical_key(text)), lambda k: look_up(k, KEY_QUALIFIERS))
+    by_key = F.flatten(F.transform(F.array_compact(named), lambda q: F.split(q, ",")))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*words, *phrases, *suspected)), by_key)))
 
 
 def contradict(left: Column, right: Column) -> Column:

@@ -59,16 +59,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", q
 
 
 def idf_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """Idf of shared terms times capped frequencies, over the root of the document's distinct terms."""
+    """Idf of shared terms times frequencies capped at 2, over the root of the document's distinct terms."""
     tf, df, terms, n, _ = _matched(docs, queries, doc, query)
     distinct = docs.select(F.col(doc).alias("doc"), F.size(F.array_distinct(tokens(F.col("text")))).alias("n_terms"))
-    idf = F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.least(F.col("tf"), F.lit(2)) * F.least(F.col("qtf"), F.lit(2))
     summed = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.sum(part).alias("total"))
     scored = summed.join(distinct, "doc").select("query", "doc", F.round(F.col("total") / F.sqrt(F.col("n_terms")), 6).alias("score"))
     return top_k(scored, k, "query", "score", "doc")
 
 
+def candidate_score(position: Column, compatibility: Column, label_overlap: Column, sources: Column) -> Column:
+    """The upstream rank as a prior, plus lexical compatibility, label overlap and a little for more sources."""
+    return 0.35 / (5.0 + position) + F.greatest(compatibility, F.lit(0.0)) + 0.35 * label_overlap + 0.015 * F.least(sources, F.lit(4))
+
+
 def length_weight(n_tokens: Column) -> Column:
     """1 up to 64 tokens, falling with the root of the length beyond."""
     return 1 / F.sqrt(F.greatest(F.greatest(n_tokens, F.lit(1)) / 64.0, F.lit(1.0)))

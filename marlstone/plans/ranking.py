@@ -37,7 +37,7 @@ def bm25_topk(spark, sf_dir):
 
 @query("idf_overlap_rank", f"""WITH {_POSTINGS},
 u AS (SELECT doc, len(list_distinct(t)) AS n_terms FROM d),
-b AS (SELECT query, doc, round(sum((ln((n + 1) / (df + 1)) + 1) * least(tf, 2) * least(qtf, 2)) / sqrt(any_value(n_terms)), 6) AS score
+b AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * least(tf, 2) * least(qtf, 2)) / sqrt(any_value(n_terms)), 6) AS score
       FROM p JOIN f USING (term) JOIN q USING (term) JOIN u USING (doc), s GROUP BY query, doc)
 SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM b) WHERE rank <= 5""")
 def idf_overlap_rank(spark, sf_dir):

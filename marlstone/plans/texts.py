@@ -91,11 +91,12 @@ def family_keys(spark, sf_dir):
 
 _WORDS = ", ".join(f"CASE WHEN contains(' ' || w || ' ', ' {w} ') THEN '{q}' END" for w, q in T.QUALIFIERS.items())
 _PHRASES = ", ".join(f"CASE WHEN contains(' ' || w || ' ', '{p}') THEN '{q}' END" for p, q in T.QUALIFIER_PHRASES.items())
+_BY_KEY = f"list_filter(string_split(array_to_string(list_filter(list_transform(list_append(string_split(replace(regexp_replace(lower(label), '[^a-z0-9-]+', ' ', 'g'), '-', ''), ' '), {_case("regexp_replace(lower(label), '[^a-z0-9]+', '', 'g')", T.KEY_ALIASES)[:-4]} ELSE regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') END), lambda k: {_case("k", T.KEY_QUALIFIERS)}), lambda x: x IS NOT NULL), ','), ','), lambda x: x <> '')"
 _CLASH = " OR ".join(f"(len(list_intersect(a, {list(g)})) > 0 AND len(list_intersect(b, {list(g)})) > 0 AND list_sort(list_intersect(a, {list(g)})) <> list_sort(list_intersect(b, {list(g)})))" for g in T.CONTRADICTIONS)
 
 
-@query("modifier_conflict", f"""WITH w AS (SELECT p_partkey, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS w FROM {_LABELS}),
-q AS (SELECT p_partkey, list_sort(list_distinct(list_filter([{_WORDS}, {_PHRASES}, CASE WHEN starts_with(replace(w, ' ', ''), 'suspected') THEN 'suspected' END], lambda x: x IS NOT NULL))) AS a FROM w),
+@query("modifier_conflict", f"""WITH w AS (SELECT p_partkey, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS w FROM {_LABELS}),
+q AS (SELECT p_partkey, list_sort(list_distinct(list_concat(list_filter([{_WORDS}, {_PHRASES}, CASE WHEN starts_with(w, 'strongly suspected') THEN 'strongly_suspected' END, CASE WHEN starts_with(w, 'suspected') OR starts_with(w, 'strongly suspected') THEN 'suspected' END], lambda x: x IS NOT NULL), {_BY_KEY}))) AS a FROM w),
 b AS (SELECT p_partkey, a, lead(a, 1) OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS b FROM q)
 SELECT p_partkey, array_to_string(a, ',') AS modifiers, coalesce({_CLASH}, FALSE) AS conflict FROM b""")
 def modifier_conflict(spark, sf_dir):
