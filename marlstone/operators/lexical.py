@@ -37,7 +37,8 @@ def _matched(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> tuple
     toks = docs.select(F.col(doc).alias("doc"), tokens(F.col("text")).alias("toks"))
     total = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avg_len")).first()
     each = toks.select("doc", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
-    tf = each.groupBy("doc", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # dealt by document alone: the counts here and the scores by (query, document) later need no other shuffle
+    tf = each.repartition("doc").groupBy("doc", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return tf, df, terms, total["n"], total["avg_len"] or 1.0
 
