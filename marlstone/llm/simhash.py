@@ -207,18 +207,18 @@ class Plan:
         return out
 
     def rows(self, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-        """(partition, keys, fingerprints, role): role 1 is kept in the bucket, 2 probes it, 3 does both."""
+        """(partition, keys, places in ``fps``, role): role 1 is kept in the bucket, 2 probes it, 3 does both."""
         t = self.thresholds(fps)
         for i, bits in enumerate(self.groups):
             keys = take_bits(fps, bits)
             for role, chosen in ((3, t[i] >= 0), (1, t[i] < 0)):
                 if chosen.any():
-                    yield i, keys[chosen], fps[chosen], role
+                    yield i, keys[chosen], np.flatnonzero(chosen), role
             for d in range(1, len(self.masks[i])):
                 chosen = t[i] >= d
                 if chosen.any() and len(self.masks[i][d]):
                     k = (keys[chosen][:, None] ^ self.masks[i][d][None, :]).ravel()
-                    yield i, k, np.repeat(fps[chosen], len(self.masks[i][d])), 2
+                    yield i, k, np.repeat(np.flatnonzero(chosen), len(self.masks[i][d])), 2
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,112 +239,111 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _rooted(x: np.ndarray, members: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """``x`` with each of the sorted ``members`` replaced by its root."""
-    if not len(members):
-        return x
-    at = np.minimum(np.searchsorted(members, x), len(members) - 1)
-    return np.where(members[at] == x, roots[at], x)
-
-
-def _closest(a: np.ndarray, b: np.ndarray, d: np.ndarray, members: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the links (a, b, distance), the closest between each two components."""
-    ra, rb = _rooted(a, members, roots), _rooted(b, members, roots)
+def _closest(ra: np.ndarray, rb: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the links (a, b, bits), the closest between each two of the components ra and rb, with the latter."""
     low, high = np.minimum(ra, rb), np.maximum(ra, rb)
     order = np.lexsort((b, a, d, high, low))
     order = order[low[order] != high[order]]
-    low, high = low[order], high[order]
     new = np.ones(len(order), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
     keep = order[new]
-    return a[keep], b[keep], d[keep]
+    return low[keep], high[keep], a[keep], b[keep], d[keep]
 
 
-def _matches(group: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int, wide: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]:
-    """Links within ``radius`` bits of probes and kept fingerprints of the same group, as stars, and
-    the closest links of more bits, up to ``wide``, between the stars.  Rows are sorted by group."""
+def _matches(group: np.ndarray, fp: np.ndarray, root: np.ndarray | None, role: np.ndarray, radius: int) -> tuple[np.ndarray, ...]:
+    """Links within ``radius`` bits of probes and kept fingerprints of the same group; rows are sorted by group.
+
+    Without ``root`` as stars (member, smallest); with it the closest link between each two roots.
+    """
     kept, probe = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     first = np.searchsorted(group[kept], group[probe], "left")
     count = np.searchsorted(group[kept], group[probe], "right") - first
     ends, at = np.cumsum(count), 0
     none = np.zeros(0, np.uint64)
-    sure, maybe = [(none, none)], [(none, none, none)]
+    found = [(none,) * (2 if root is None else 5)]
     while at < len(probe):
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
         n = count[at:to]
-        a = np.repeat(fp[probe[at:to]], n)
-        place = np.arange(len(a)) - np.repeat(ends[at:to] - n - done, n) + np.repeat(first[at:to], n)
-        b = fp[kept[place]]
-        d = np.bitwise_count(a ^ b)
-        near = np.flatnonzero((d <= max(radius, wide)) & (a < b))
+        x = np.repeat(probe[at:to], n)
+        y = kept[np.arange(len(x)) - np.repeat(ends[at:to] - n - done, n) + np.repeat(first[at:to], n)]
+        d = np.bitwise_count(fp[x] ^ fp[y])
+        near = np.flatnonzero((d <= radius) & (fp[x] < fp[y]))
         if len(near):
-            a, b, d = a[near], b[near], d[near].astype(np.uint64)
-            close = d <= radius
-            star = spanning(a[close], b[close])
-            sure.append(star)
-            maybe.append(_closest(a[~close], b[~close], d[~close], *star))
+            x, y = x[near], y[near]
+            if root is None:
+                found.append(spanning(fp[x], fp[y]))
+            else:
+                found.append(_closest(root[x], root[y], fp[x], fp[y], d[near].astype(np.uint64)))
         at = to
-    star = spanning(*map(np.concatenate, zip(*sure)))
-    return star, _closest(*map(np.concatenate, zip(*maybe)), *star)
+    joined = tuple(map(np.concatenate, zip(*found)))
+    return spanning(*joined) if root is None else _closest(*joined)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, wide: int = 0) -> DataFrame:
-    """``u, v, bits``: links whose components are those of all pairs of distinct ``fp`` within ``radius`` bits.
+def bit_matrix(fps: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of fingerprints, and how many have each two bits set."""
+    co = _summed(fps, _co_counts)
+    return fps.count(), np.array([co.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
+
 
-    With ``wide`` over ``radius``, also the closest pairs of up to that many bits between the stars that
-    one cell makes of closer ones, with their ``bits``; a star's links have 0.
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, matrix: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """Links of the distinct ``fp`` of ``fps`` within ``radius`` bits.
 
+    If ``fps`` has no column ``root``: ``u, v`` (u > v) with the components of all such pairs.  If it
+    has: ``ru, rv, u, v, bits``, for each task the closest pair between two different roots.
     Buckets of more than ``cell`` fingerprints are dealt to a grid of cells, so that each pair still
     meets in one cell and no task holds more than a cell's share.
     """
-    n, reach = fps.count(), max(radius, wide)
-    co = _summed(fps, _co_counts)
-    matrix = np.array([co.get(k, 0) for k in range(BITS * BITS)], float).reshape(BITS, BITS)
-    groups = group_bits(matrix, n, partitions_for(n, reach))
+    rooted = "root" in fps.columns
+    own = ["fp", "root"] if rooted else ["fp"]
+    fps = fps.select(*own)
+    n, co = matrix or bit_matrix(fps)
+    groups = group_bits(co, n, partitions_for(n, radius))
     pieces = [p for g in _pieces(groups) for p in g]
 
     def histogram(x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(take_bits(x, p).astype(np.int64), minlength=1 << len(p)) for p in pieces])
 
-    plan = Plan(groups, _summed(fps, histogram), n, reach)
+    plan = Plan(groups, _summed(fps, histogram), n, radius)
+    extra = ", root long" if rooted else ""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_fps = b.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(all_fps), 2048):
-                for i, keys, owner, role in plan.rows(all_fps[at : at + 2048]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(np.full(len(keys), role, np.int8))], ["part", "key", "fp", "role"])
+                for i, keys, of, role in plan.rows(all_fps[at : at + 2048]):
+                    cols = [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), role, np.int8)), *[c.slice(at, 2048).take(pa.array(of)) for c in b.columns]]
+                    yield pa.RecordBatch.from_arrays(cols, ["part", "key", "role", *own])
 
-    rows = fps.select("fp").mapInArrow(probe, "part int, key long, fp long, role byte")
-    kept = fps.select("fp").mapInArrow(lambda batches: (x for x in _own_rows(batches, groups)), "part int, key long")
+    rows = fps.mapInArrow(probe, f"part int, key long, role byte, fp long{extra}")
+    kept = fps.select("fp").mapInArrow(lambda batches: _own_rows(batches, groups), "part int, key long")
     hot = materialize(kept.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).withColumn("cuts", F.ceil(F.col("n") / F.lit(cell)).cast("int")).drop("n"))
     if hot.limit(1).count():
-        cuts, own = F.coalesce(F.col("cuts"), F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce(F.col("cuts"), F.lit(1)))
+        cuts, mine = F.coalesce(F.col("cuts"), F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce(F.col("cuts"), F.lit(1)))
         every = F.sequence(F.lit(0).cast("long"), (cuts - 1).cast("long"))
-        as_kept = F.when(F.col("role").bitwiseAND(1) > 0, F.transform(every, lambda j: F.struct((own * cuts + j).alias("cell"), F.lit(1).cast("byte").alias("role"))))
-        as_probe = F.when(F.col("role").bitwiseAND(2) > 0, F.transform(every, lambda j: F.struct((j * cuts + own).alias("cell"), F.lit(2).cast("byte").alias("role"))))
+        as_kept = F.when(F.col("role").bitwiseAND(1) > 0, F.transform(every, lambda j: F.struct((mine * cuts + j).alias("cell"), F.lit(1).cast("byte").alias("role"))))
+        as_probe = F.when(F.col("role").bitwiseAND(2) > 0, F.transform(every, lambda j: F.struct((j * cuts + mine).alias("cell"), F.lit(2).cast("byte").alias("role"))))
         one = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("role").alias("role")))
         empty = F.array().cast("array<struct<cell:bigint,role:tinyint>>")
         cells = F.when(F.col("cuts").isNull(), one).otherwise(F.concat(F.coalesce(as_kept, empty), F.coalesce(as_probe, empty)))
-        rows = rows.join(hot, ["part", "key"], "left").select("part", "key", "fp", F.explode(cells).alias("c")).select("part", "key", "fp", F.col("c.cell").alias("cell"), F.col("c.role").alias("role"))
+        rows = rows.join(hot, ["part", "key"], "left").select("part", "key", *own, F.explode(cells).alias("c")).select("part", "key", F.col("c.role").alias("role"), *own, F.col("c.cell").alias("cell"))
     else:
         rows = rows.withColumn("cell", F.lit(0).cast("long"))
+    order = ["part", "key", "cell", "role", *own]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            part, key, where, fp, role = cols
+            part, key, where, role, fp = cols[:5]
             new = np.ones(len(key), bool)
             new[1:] = (part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (where[1:] != where[:-1])
-            (x, y), (a, b, d) = _matches(np.cumsum(new), fp.view(np.uint64), role, radius, wide)
-            if len(x) + len(a):
-                u, v, bits = np.concatenate([x, a]), np.concatenate([y, b]), np.concatenate([np.zeros(len(x), np.uint64), d])
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(bits.astype(np.int32))], ["u", "v", "bits"])
+            got = _matches(np.cumsum(new), fp.view(np.uint64), cols[5].view(np.uint64) if rooted else None, role, radius)
+            if len(got[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in got], ["ru", "rv", "u", "v", "bits"] if rooted else ["u", "v"])
 
         for b in batches:
-            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "key", "cell", "fp", "role")))
+            held.append(tuple(b.column(c).to_numpy(zero_copy_only=False) for c in order))
             if sum(len(x[0]) for x in held) < 1 << 18:
                 continue
             cols = tuple(map(np.concatenate, zip(*held)))
@@ -357,8 +356,8 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, wide: int = 0)
             yield from flush(tuple(map(np.concatenate, zip(*held))))
 
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(width, "part", "key", "cell").sortWithinPartitions("part", "key", "cell")
-    return dealt.mapInArrow(match, "u long, v long, bits int")
+    dealt = rows.select(*order).repartition(width, "part", "key", "cell").sortWithinPartitions("part", "key", "cell")
+    return dealt.mapInArrow(match, "ru long, rv long, u long, v long, bits long" if rooted else "u long, v long")
 
 
 def _own_rows(batches: Iterator[pa.RecordBatch], groups: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -416,24 +415,31 @@ def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, doc_id: str, tex
     return both.filter(shared >= least * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: int = 0, least: float = 0.8, verify_words: int = 5) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: tuple[int, ...] = (), least: float = 0.8, verify_words: int = 5) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked, equal ones too; ``component_id`` is the smallest
-    id reachable.  With ``wide``, fingerprints of up to that many bits are linked as well if their texts
-    share at least ``least`` of all their ``verify_words``-word shingles.  Null and empty texts have fingerprint 0, linked like any other; rows with a null id
-    take part and get their component's smallest id that isn't null; repeated rows get one answer
-    each; no rows give none.  Other columns are ignored.
+    id reachable.  Each of ``wide``, in rising order, then links the components whose closest
+    fingerprints differ in so many bits at most if those fingerprints' texts share at least ``least``
+    of all their ``verify_words``-word shingles; what has joined at fewer bits counts as one.
+    Null and empty texts have fingerprint 0, linked like any other; rows with a null id take part and
+    get their component's smallest id that isn't null; repeated rows get one answer each; no rows
+    give none.  Other columns are ignored.
     """
     marked = materialize(fingerprints(docs, doc_id, text, words))
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    found = links(fps, radius, wide=wide)
-    if wide > radius:
-        found = materialize(found.distinct())
-        pairs = found.filter("bits > 0").select("u", "v").distinct()
-        found = found.filter("bits = 0").select("u", "v").union(verified(pairs, fps, docs, doc_id, text, verify_words, least))
-    roots = components(found)
-    joined = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    matrix = bit_matrix(fps)
+    roots = components(links(fps, radius, matrix=matrix))
+
+    def rooted() -> DataFrame:
+        return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+    for reach in wide:
+        near = links(materialize(rooted()), reach, matrix=matrix)
+        pairs = materialize(near.groupBy("ru", "rv").agg(F.min(F.struct("bits", "u", "v")).alias("best")).select("best.u", "best.v"))
+        more = verified(pairs, fps, docs, doc_id, text, verify_words, least)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    joined = rooted()
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     named = joined.join(lowest, "root").select("fp", "component_id")
     return null_safe(marked, named, ["fp"])
