@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numeric import norm
 
-#: Queries of one block of the matrix product.
-QUERY_BLOCK = 4096
+#: Queries of one broadcast (bounded: block x dimensions), and of one matrix product.
+QUERY_BLOCK, PRODUCT = 32_768, 1024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -49,9 +49,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, vec_id: str = "vec_id
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 own = b.column(0).to_numpy()
                 by_id = np.argsort(own, kind="stable")
-                scores = np.round(q @ m.T, decimals)[:, by_id]
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(own[by_id][best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], ["query", "doc", "score"])
+                for at in range(0, len(q), PRODUCT):
+                    scores = np.round(q[at : at + PRODUCT] @ m.T, decimals)[:, by_id]
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    cols = [np.repeat(q_ids[at : at + PRODUCT], best.shape[1]), own[by_id][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "doc", "score"])
 
         return corpus.select(vec_id, vector).mapInArrow(run, "query long, doc long, score double")
 
