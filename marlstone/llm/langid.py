@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import materialize, maybe_broadcast
+
 #: A gram belongs to a language if its rate there is at least this share of its highest rate.
 SHARE = 0.2
 #: Slots of the filter: eight for each gram of the fullest language, within these bounds.
@@ -114,15 +116,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     The driver gets the languages (the most common first) and the filled slots, at most ``MAX_SLOTS``
     of fixed width; past the grams that size suits, more false positives are expected and corrected.
     """
-    from marlstone.llm.common import materialize
-
     counts = materialize(gram_counts(docs, text, lang))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     if not langs:
         return Filter([], np.zeros((0, 1), np.uint64))
     index = counts.sparkSession.createDataFrame([(x, k, float(totals[x])) for k, x in enumerate(langs)], "lang string, k int, total double")
-    rated = counts.join(F.broadcast(index), "lang").select("gram", "k", (F.col("n") / F.col("total")).alias("rate"))
+    rated = counts.join(maybe_broadcast(index, len(langs)), "lang").select("gram", "k", (F.col("n") / F.col("total")).alias("rate"))
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("by"))
     member = materialize(top.select("gram", F.transform(F.filter("by", lambda x: x["rate"] >= F.col("top") * share), lambda x: x["k"]).alias("ks")))
     fullest = member.select(F.explode("ks").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
