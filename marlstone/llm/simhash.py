@@ -371,7 +371,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges`` (u, v) but the roots themselves: the smallest node it reaches.
 
     Alternating large-star and small-star rounds; each round is written to the shared folder, and
-    the rounds end when the set of links no longer changes.
+    the rounds end when the set of links no longer changes.  Smallest neighbours are written before
+    they are joined back, so that the join reads two plain tables and a hot node's rows can be split.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     seen = None
@@ -381,9 +382,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = sign
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = materialize(small.filter("u <> v").distinct())
 
@@ -439,7 +441,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         pairs = materialize(near.groupBy("ru", "rv").agg(F.min(F.struct("bits", "u", "v")).alias("best")).select("best.u", "best.v"))
         more = verified(pairs, fps, docs, doc_id, text, verify_words, least)
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-    joined = rooted()
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    joined = materialize(rooted())
+    lowest = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")))
     named = joined.join(lowest, "root").select("fp", "component_id")
     return null_safe(marked, named, ["fp"])
