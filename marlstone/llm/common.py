@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.sources.readers import spread
 
 #: Rows of one sorted run when ranks are made bucket by bucket.
-RUN_ROWS = 8192
+RUN_ROWS = 1024
 #: A relation is broadcast only if it was counted and has at most this many rows of bounded width.
 BROADCAST_ROWS = 20_000
 

@@ -74,7 +74,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     below = F.size(F.filter(F.col("upper"), lambda u: u <= F.col("rank")))
     placed = ranked.select(*group, F.get(F.col("shards"), below).cast("int").alias("shard"))
     rows = materialize(null_safe(keyed, placed, group).drop("h"))
-    runs = max(1, -(-rows.count() // (shards * RUN_ROWS // 4)))
+    runs = max(1, -(-rows.count() // (shards * RUN_ROWS)))
     rows = rows.withColumn("__order", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
     slots = rank_by_class(rows, ["shard"], ["__order"], "doc_id").withColumnRenamed("rank", "slot").drop("__order")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
