@@ -15,7 +15,7 @@ from marlstone.llm.common import documents, materialize, null_safe
 
 #: A text stays if its language's filter holds at least this share of its n-grams.
 MIN_COVER = 0.3
-#: Texts that share 0.8 of their five-word shingles differ in about ten SimHash bits at most; close ones join first.
+#: Most texts that share 0.8 of their five-word shingles differ in ten SimHash bits at most; the exact pass after these reaches gets the rest.
 WIDE = (6, 10)
 #: Stands for a missing id while rows are dealt by it.
 NO_ID = -(1 << 63)
@@ -47,8 +47,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash component.
 
-    Fingerprints of three-word shingles link at three bits; up to those of ``WIDE``, texts that share
-    0.8 of their five-word shingles link too.  Rows of one id are one document, of which one row stays;
+    Fingerprints of three-word shingles link at three bits; at any distance, texts that share 0.8 of
+    their five-word shingles link too.  Rows of one id are one document, of which one row stays;
     rows without an id, if a component has no other, stay once for each text.
     """
     found = simhash.near_components(docs, wide=WIDE)

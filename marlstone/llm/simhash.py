@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import word_lists
+from marlstone.llm.batches import Memo, held, word_lists
 from marlstone.llm.common import let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
 
 BITS = 64
@@ -34,6 +34,10 @@ _SEED = 42
 _PROBE_COST = 100.0
 #: Thresholds that would probe more values of one partition than this are never chosen.
 _MOST_PROBES = 100_000
+#: Shingles are ordered by how often about so many documents hold them; the order affects time, not results.
+_SAMPLE = 8192
+_MOST_COMMON = 1 << 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint_of(data: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -59,16 +63,20 @@ def fingerprint_of(data: bytes, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (a signed long with the fingerprint's bits) of every row; null text counts as empty."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, key: str | None = None) -> DataFrame:
+    """``doc_id, fp`` (a signed long with the fingerprint's bits) of every row; null text counts as empty.
+
+    If ``key`` names a column of longs, it follows as ``key``.
+    """
+    more = [F.col(key).alias("key")] if key else []
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint_of(t.as_py(), words) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *(["key"] if key else [])])
 
-    return plain.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long")
+    return plain.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long{', key long' if key else ''}")
 
 
 def partitions_for(n: int, radius: int) -> int:
@@ -401,17 +409,171 @@ def shingle_set(text: Column, words: int) -> Column:
     return F.array_distinct(let(word_array(lower_ascii(text)), hashed))
 
 
-def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, least: float) -> DataFrame:
-    """The pairs ``u, v`` of fingerprints whose documents share at least ``least`` of their shingles.
+def text_key(text: Column) -> Column:
+    """A long that stands for a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def shingles_of(data: bytes, words: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of ``data`` that ``shingle_set`` has."""
+    memo = held(("simhash word",), lambda: Memo(lambda w: xxhash.xxh64_intdigest(w, _SEED), 1 << 17))
+    found, tail, first = [], np.zeros(0, np.uint64), []
+    for part in word_lists(data.lower()):
+        run = np.concatenate([tail, np.fromiter(map(memo.__getitem__, part), np.uint64, len(part))])
+        if len(first) < words:
+            first += part[: words - len(first)]
+        if len(run) >= words:
+            n, h = len(run) - words + 1, np.zeros(len(run) - words + 1, np.uint64)
+            for k in range(words):
+                h = (h ^ (h >> np.uint64(32))) * _ODD + run[k : k + n]
+            found.append((h ^ (h >> np.uint64(29))) * _ODD)
+        tail = run[max(len(run) - words + 1, 0) :]
+    if not found and first:
+        found.append(np.array([xxhash.xxh64_intdigest(b" ".join(first), _SEED)], np.uint64))
+    return np.unique(np.concatenate(found)) if found else tail[:0]
+
+
+def prefix_of(s: np.ndarray, least: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The rarest of the shingles ``s``, so many that any set with ``least`` of all shingles in common has one of its own among them."""
+    keep = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, times[at], 0)))]
+    return s[:keep]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of batches sorted by the first one, in runs that never cut a value of it."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for b in batches:
+        kept.append(tuple(c.to_numpy(zero_copy_only=False) for c in b.columns))
+        if sum(len(x[0]) for x in kept) < most:
+            continue
+        cols = tuple(map(np.concatenate, zip(*kept)))
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield tuple(c[:cut] for c in cols)
+        kept = [tuple(c[cut:] for c in cols)]
+    if kept:
+        yield tuple(map(np.concatenate, zip(*kept)))
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ``token, key, size`` sorted by the first two, one for each key of every token with several keys."""
+    for token, key, size in _whole_groups(batches):
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        token, key, size = token[new], key[new], size[new]
+        same = token[1:] == token[:-1]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if several.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, key, size)], ["token", "key", "size"])
+
+
+def _size_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs ``u, v`` of the keys of a token whose roots differ and whose sizes allow ``least``; rows are sorted by token, size."""
+    for token, size, key, root in _whole_groups(batches):
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        at = np.cumsum(new) << 32
+        count = np.searchsorted(at + size, at + np.floor(size / least + 1e-6).astype(np.int64), "right") - np.arange(len(token)) - 1
+        ends, done = np.cumsum(count), 0
+        while done < len(token):
+            before = ends[done - 1] if done else 0
+            to = max(done + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+            n = count[done:to]
+            x = np.repeat(np.arange(done, to), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(ends[done:to] - n - before, n)
+            apart = root[x] != root[y]
+            x, y = key[x[apart]], key[y[apart]]
+            if len(x):
+                u, v = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            done = to
+
+
+def parity_of(s: np.ndarray) -> bytes:
+    """At least two bits a shingle, each telling whether an odd number of the shingles ``s`` falls on it."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_share(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
+    """Whether sets of n and m shingles with parities a and b can share ``least``: each bit that differs takes a shingle that only one set has."""
+    width = min(len(a), len(b)) * 8
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    d = x ^ y
+    while d.bit_length() > width:
+        d = (d >> width) ^ (d & ((1 << width) - 1))
+    return d.bit_count() <= (n + m) * (1 - least) / (1 + least) + 1e-9
+
+
+def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least: float, n: int) -> DataFrame:
+    """Pairs ``u, v`` of text keys of different roots; all pairs that share ``least`` of their shingles are among them.
+
+    Exact prefix filter: all sets are put in one order, rare shingles first, and sets that share
+    ``least`` meet in their first ``1 - least``.  Of the pairs that meet, those stay whose parities
+    allow ``least``.  ``roots`` has ``key, root``; ``n`` is about the number of texts.
+    """
+    spark = docs.sparkSession
+    plain = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py(), words).view(np.int64))], ["token"])
+
+    sample = plain.filter(F.pmod(F.col("key"), F.lit(max(1, n // _SAMPLE))) == 0).mapInArrow(every, "token long")
+    often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(_MOST_COMMON).toArrow()
+    common, times = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(common)
+    shared = spark.sparkContext.broadcast((common[order], times[order]))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles_of(t.as_py(), words) for t in b.column(1)]
+            tokens = [prefix_of(s, least, *shared.value) if len(s) else s for s in sets]
+            each = np.array([len(t) for t in tokens], np.int64)
+            size = np.repeat(np.array([len(s) for s in sets], np.int32), each)
+            if len(size):
+                key = np.repeat(b.column(0).to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(size)], ["token", "key", "size"])
+
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = plain.mapInArrow(prefixes, "token long, key long, size int").repartition(width, "token").sortWithinPartitions("token", "key")
+    met = materialize(rows.mapInArrow(_shared_rows, "token long, key long, size int"))
+    dealt = met.join(roots, "key").select("token", "size", "key", "root").repartition(width, "token").sortWithinPartitions("token", "size")
+    pairs = materialize(dealt.mapInArrow(lambda batches: _size_pairs(batches, least), "u long, v long").distinct())
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles_of(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parity_of, sets), pa.binary())], ["key", "n", "odd"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_share(x, n, y, m, least) for x, n, y, m in zip(*[c.to_pylist() for c in b.columns[2:]])]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
+
+    wanted = materialize(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
+    marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(parities, "key long, n int, odd binary")
+    marks = materialize(marks.groupBy("key").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
+    a, b = marks.select(F.col("key").alias("u"), F.col("odd").alias("ou"), F.col("n").alias("nu")), marks.select(F.col("key").alias("v"), F.col("odd").alias("ov"), F.col("n").alias("nv"))
+    return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "ou", "nu", "ov", "nv").mapInArrow(possible, "u long, v long"))
+
 
-    A fingerprint stands for its document of smallest id; only documents of some pair are read whole.
+def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
+    """The pairs ``u, v`` of nodes whose texts share at least ``least`` of their shingles.
+
+    ``names`` has ``node, key``: the key of the text a node stands for; only texts of some pair are read whole.
     """
-    nodes = materialize(pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).distinct().join(fps, "fp"))
-    plain = docs.select(F.col(doc_id).alias("low"), F.col(text).alias("text"))
-    wanted = maybe_broadcast(nodes.select("low").distinct(), nodes.count())
-    sets = null_safe(plain, wanted, ["low"], "left_semi").groupBy("low").agg(F.min("text").alias("text")).select("low", shingle_set(F.col("text"), words).alias("s"))
-    known = materialize(null_safe(nodes, sets, ["low"]).select("fp", "s"))
-    a, b = known.select(F.col("fp").alias("u"), F.col("s").alias("su")), known.select(F.col("fp").alias("v"), F.col("s").alias("sv"))
+    nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(names, "node"))
+    plain = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    wanted = maybe_broadcast(nodes.select("key").distinct(), nodes.count())
+    sets = plain.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("key", shingle_set(F.col("text"), words).alias("s"))
+    known = materialize(nodes.join(sets, "key").select("node", "s"))
+    a, b = known.select(F.col("node").alias("u"), F.col("s").alias("su")), known.select(F.col("node").alias("v"), F.col("s").alias("sv"))
     both = pairs.join(a, "u").join(b, "v")
     shared = F.size(F.array_intersect("su", "sv"))
     return both.filter(shared >= least * (F.size("su") + F.size("sv") - shared)).select("u", "v")
@@ -421,27 +583,37 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, fp, component_id`` of every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked, equal ones too; ``component_id`` is the smallest
-    id reachable.  Each of ``wide``, in rising order, then links the components whose closest
-    fingerprints differ in so many bits at most if those fingerprints' texts share at least ``least``
-    of all their ``verify_words``-word shingles; what has joined at fewer bits counts as one.
+    id reachable.  With ``wide``, so are all texts that share at least ``least`` of all their
+    ``verify_words``-word shingles.  Each of ``wide``, in rising order, first links the components whose
+    closest fingerprints differ in so many bits at most, if their texts pass; what has joined at fewer
+    bits counts as one.  That is quick but misses pairs, so all texts of components that are still apart
+    then meet by an exact prefix filter.
     Null and empty texts have fingerprint 0, linked like any other; rows with a null id take part and
     get their component's smallest id that isn't null; repeated rows get one answer each; no rows
     give none.  Other columns are ignored.
     """
-    marked = materialize(fingerprints(docs, doc_id, text, words))
-    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    marked = materialize(fingerprints(docs.withColumn("__h_key", text_key(F.col(text))), doc_id, text, words, "__h_key"))
+    fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("key").alias("key")))
     matrix = bit_matrix(fps)
     roots = components(links(fps, radius, matrix=matrix))
 
     def rooted() -> DataFrame:
         return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
 
+    def joined_by(more: DataFrame) -> DataFrame:
+        return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+
     for reach in wide:
         near = links(materialize(rooted()), reach, matrix=matrix)
         pairs = materialize(near.groupBy("ru", "rv").agg(F.min(F.struct("bits", "u", "v")).alias("best")).select("best.u", "best.v"))
-        more = verified(pairs, fps, docs, doc_id, text, verify_words, least)
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        roots = joined_by(verified(pairs, fps.select(F.col("fp").alias("node"), "key"), docs, text, verify_words, least))
+    if wide:
+        keys = materialize(marked.select("fp", "key").distinct().join(rooted(), "fp").select("key", "root"))
+        pairs = shared_pairs(docs, keys, text, verify_words, least, matrix[0])
+        more = verified(pairs, keys.select(F.col("key").alias("node"), "key"), docs, text, verify_words, least)
+        u, v = keys.select(F.col("key").alias("u"), F.col("root").alias("ru")), keys.select(F.col("key").alias("v"), F.col("root").alias("rv"))
+        roots = joined_by(more.join(u, "u").join(v, "v").select("ru", "rv").distinct())
     joined = materialize(rooted())
     lowest = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")))
     named = joined.join(lowest, "root").select("fp", "component_id")
-    return null_safe(marked, named, ["fp"])
+    return null_safe(marked.select("doc_id", "fp"), named, ["fp"])
