@@ -48,3 +48,20 @@ def test_appended_and_block_edited_copies(spark):
     for k in range(160):
         want = share(rows[2 * k][1], rows[2 * k + 1][1]) >= SHARE or bits(rows[2 * k][1], rows[2 * k + 1][1]) <= simhash.RADIUS
         assert (got[2 * k + 1] == got[2 * k]) == want
+
+
+def test_a_refused_closest_pair_hides_no_other(spark):
+    rnd, rows, found = random.Random(4), [], 0
+    while found < 3:
+        a = prose(rnd, 200)
+        a2 = list(a)
+        a2[rnd.randrange(200)] = prose(rnd, 1)[0]
+        b = list(a2)
+        for i in rnd.sample(range(200), 4):
+            b[i] = prose(rnd, 1)[0]
+        t = [" ".join(x) for x in (a, a2, b)]
+        if bits(t[0], t[1]) <= 3 < bits(t[0], t[2]) < bits(t[1], t[2]) <= 10 and share(t[0], t[2]) < SHARE <= share(t[1], t[2]):
+            rows += [(10 * found + i, x) for i, x in enumerate(t)]
+            found += 1
+    got = {r["doc_id"]: r["component_id"] for r in roots(spark, rows)}
+    assert all(got[10 * k + 2] == 10 * k for k in range(found))
