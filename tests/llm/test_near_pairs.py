@@ -65,3 +65,17 @@ def test_a_refused_closest_pair_hides_no_other(spark):
             found += 1
     got = {r["doc_id"]: r["component_id"] for r in roots(spark, rows)}
     assert all(got[10 * k + 2] == 10 * k for k in range(found))
+
+
+def test_rows_without_id_are_judged_by_their_own_text(spark):
+    rnd = random.Random(5)
+    while True:
+        a = prose(rnd, 200)
+        first, other = ["aaa", *a[1:]], list(a)
+        for i in rnd.sample(range(20, 200), 7):
+            other[i] = prose(rnd, 1)[0]
+        t = [" ".join(x) for x in (a, first, other)]
+        if 3 < bits(t[0], t[2]) <= 6 and bits(t[1], t[2]) > 3 and share(t[0], t[2]) < 0.75 and share(t[1], t[2]) < 0.75 and t[1] < t[2]:
+            break
+    got = roots(spark, [(1, t[0]), (None, t[1]), (None, t[2])])
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 1), (1, 1)]
