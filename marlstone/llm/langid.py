@@ -15,13 +15,15 @@ from marlstone.llm.common import materialize, maybe_broadcast
 
 #: A gram belongs to a language if its rate there is at least this share of its highest rate.
 SHARE = 0.2
-#: Slots of the filter: eight for each gram of the fullest language, within these bounds.
+#: Slots of the filter: eight for each gram of the fullest language, within these bounds, but four at
+#: least, so that no language fills more than about 53 % of them or has more than 15 % false positives.
 MIN_SLOTS, MAX_SLOTS = 1 << 14, 1 << 22
 HASHES = 3
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _FLUSH = 100_000
 _SLICE = 1 << 18
+_BLOCK = 1 << 16
 
 
 def letters(text: str) -> str:
@@ -77,10 +79,14 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 class Filter:
     """Languages, the table of bitmasks, and each language's share of filled slots."""
 
-    def __init__(self, langs: list[str], table: np.ndarray) -> None:
-        self.langs, self.table = langs, table
-        fill = [float(((table[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()) if len(table) else 0.0 for k in range(len(langs))]
-        self.false_rate = np.array(fill) ** HASHES
+    def __init__(self, langs: list[str], table: np.ndarray, false_rate: np.ndarray | None = None) -> None:
+        self.langs, self.table, self.false_rate = langs, table, false_rate
+        if false_rate is None:
+            filled = np.zeros(len(langs))
+            for at in range(0, len(table), 1 << 20):
+                part = table[at : at + (1 << 20)]
+                filled += [np.count_nonzero(part[:, k // 64] & np.uint64(1 << (k % 64))) for k in range(len(langs))]
+            self.false_rate = (filled / max(len(table), 1)) ** HASHES
 
     def hits(self, plain: str) -> tuple[np.ndarray, int]:
         """How many grams of ``plain`` each language's filter holds, and how many grams there are."""
@@ -113,8 +119,9 @@ class Filter:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE) -> Filter:
     """Learn the filter from all rows of ``docs`` with a text and a language.
 
-    The driver gets the languages (the most common first) and the filled slots, at most ``MAX_SLOTS``
-    of fixed width; past the grams that size suits, more false positives are expected and corrected.
+    The driver gets the languages (the most common first) and the table in blocks of slots.  It grows
+    with the fullest language: past ``MAX_SLOTS``, four to eight slots a gram, each of one byte for up to
+    eight languages and of eight bytes for up to 64.
     """
     counts = materialize(gram_counts(docs, text, lang))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -126,8 +133,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
     top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("k", "rate")).alias("by"))
     member = materialize(top.select("gram", F.transform(F.filter("by", lambda x: x["rate"] >= F.col("top") * share), lambda x: x["k"]).alias("ks")))
     fullest = member.select(F.explode("ks").alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
-    slots = min(max(MIN_SLOTS, 1 << (8 * fullest - 1).bit_length()), MAX_SLOTS)
+    slots = max(min(max(MIN_SLOTS, 1 << (8 * fullest - 1).bit_length()), MAX_SLOTS), 1 << (4 * fullest - 1).bit_length())
     words = (len(langs) + 63) // 64
+    width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= 8 * t().itemsize or t is np.uint64)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,9 +148,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", share: float =
                 np.bitwise_or.at(mask, at.ravel(), np.uint64(1) << (k % 64).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int32)), pa.array(mask.view(np.int64))], ["slot", "word", "mask"])
 
-    rows = member.mapInArrow(fill, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros((slots, words), np.uint64)
-    table[rows["slot"].to_numpy(), rows["word"].to_numpy()] = rows["mask"].to_numpy().view(np.uint64)
+    def dense(rows: pa.Table) -> pa.Table:
+        block = np.zeros(_BLOCK, width)
+        block[rows["slot"].to_numpy() % _BLOCK] = rows["mask"].to_numpy().view(np.uint64).astype(width)
+        return pa.table({"at": [rows["block"][0].as_py() * _BLOCK], "word": [rows["word"][0].as_py()], "data": pa.array([block.tobytes()], pa.binary())})
+
+    rows = member.mapInArrow(fill, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    blocks = rows.withColumn("block", F.floor(F.col("slot") / F.lit(_BLOCK))).groupBy("block", "word").applyInArrow(dense, "at long, word long, data binary")
+    table = np.zeros((slots, words), width)
+    for r in materialize(blocks).toLocalIterator():
+        part = table[r["at"] : r["at"] + _BLOCK, r["word"]]
+        part[:] = np.frombuffer(r["data"], width)[: len(part)]
     return Filter(langs, table)
 
 
@@ -154,7 +170,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", into: tuple[str
     """
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{into[0]}` string, `{into[1]}` double, `{into[2]}` double"
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.false_rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(*shared.value)
