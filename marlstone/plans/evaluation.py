@@ -72,6 +72,19 @@ def holm(spark, sf_dir):
     return metrics.holm(tests, "p_value", "lang").select("lang", "p_value", F.round("p_holm", 6).alias("p_holm"))
 
 
+@query("paired_exact_all")
+def paired_exact_all(spark, sf_dir):
+    """Exact test of quality against toxicity on all labelled documents, by language; ``paired_exact`` takes every fifth."""
+    return metrics.paired_counts(_labelled(spark, sf_dir), ["lang"], "quality", "toxic")
+
+
+@query("holm_all")
+def holm_all(spark, sf_dir):
+    """Holm's adjustment of the tests on all labelled documents."""
+    tests = paired_exact_all(spark, sf_dir).select("lang", "p_value")
+    return metrics.holm(tests, "p_value", "lang").select("lang", "p_value", F.round("p_holm", 6).alias("p_holm"))
+
+
 @query("bootstrap_ci", f"""WITH d AS (SELECT lang, quality, b, ('0x' || substr(md5('17:' || b || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {_LABELLED}, range(1, 201) r(b)),
 w AS (SELECT lang, b, quality, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT + (u >= 0.999916758850712::DOUBLE)::INT AS w FROM d),
 m AS (SELECT lang, b, sum(w * quality)::DOUBLE / nullif(sum(w), 0) AS m FROM w GROUP BY lang, b)
