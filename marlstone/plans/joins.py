@@ -149,6 +149,14 @@ def shared_modality_join(spark, sf_dir):
     return met.select("a", "b", "event_type", F.size(F.array_intersect("ka", "kb")).cast("long").alias("shared"))
 
 
+@query("shared_modality_pairs")
+def shared_modality_pairs(spark, sf_dir):
+    """All pairs of users of the same event type whose key sets meet; ``shared_modality_join`` asks for some users only."""
+    k = table(spark, sf_dir, "events").filter("value > 150").select("user_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("k")).distinct()
+    met = k.withColumnRenamed("user_id", "a").join(k.withColumnRenamed("user_id", "b"), ["event_type", "k"]).filter("a < b")
+    return met.groupBy("a", "b", "event_type").agg(F.count(F.lit(1)).alias("shared"))
+
+
 @query("cache_misses", "SELECT doc_id, sha256(lang || chr(0) || text) AS cache_key FROM documents WHERE sha256(lang || chr(0) || text) NOT IN (SELECT sha256(lang || chr(0) || text) FROM documents WHERE doc_id % 2 = 0)")
 def cache_misses(spark, sf_dir):
     """Requests whose content hash is not among the answers held (those of even ids)."""

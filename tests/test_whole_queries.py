@@ -31,3 +31,14 @@ def test_paired_tests_take_all_labelled_documents(spark, sf_dir):
         want[k] = min(1.0, most)
     holm = {r["lang"]: r["p_holm"] for r in QUERIES["holm_all"](spark, sf_dir).collect()}
     assert set(holm) == set(want) and all(abs(holm[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_shared_modality_pairs_are_all_pairs(spark):
+    import json
+
+    keys = {}
+    for user, kind, props in connect(SMALL).sql("SELECT user_id, event_type, props FROM events WHERE value > 150").fetchall():
+        keys.setdefault((kind, user), set()).add(json.loads(props)["k"] % 10)
+    want = {(a, b, kind, len(x & y)) for (kind, a), x in keys.items() for (other, b), y in keys.items() if kind == other and a < b and x & y}
+    got = [tuple(r) for r in QUERIES["shared_modality_pairs"](spark, SMALL).select("a", "b", "event_type", "shared").collect()]
+    assert want and len(got) == len(want) and set(got) == want
