@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import word_array
+from marlstone.llm.common import let, word_array
 
 SHINGLE_WORDS = 5
 #: One shingle hash in this many is kept.
 SCALE = 8
-#: Documents of one run of ids, and the most runs.
-RUN, MAX_RUNS = 512, 4096
+#: A text with fewer kept hashes than this has few shingles, and keeps all of them.
+FEW = 32
+#: Documents of one run of ids, and the most cuts the driver holds; beyond them runs grow, and their windows spill.
+RUN, MAX_RUNS = 512, 1 << 16
 
 
 def threshold(scale: int = SCALE) -> int:
@@ -20,71 +25,111 @@ def threshold(scale: int = SCALE) -> int:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:
-    """Add ``out``: the sorted distinct kept hashes of the text's ``words``-word shingles.
+    """Add ``out``: the sorted distinct hashes, below the threshold, of the text's ``words``-word shingles.
 
     A text with fewer words has one shingle, the whole sequence; one without words has an empty sketch.
-    If no hash is below the threshold the smallest is kept, so that only wordless texts are empty;
-    merging sketches drops such hashes by the same threshold (``merge``).
+    A sketch with fewer than ``FEW`` hashes below the threshold also has all those above it: short texts
+    compare exactly with each other, and by the hashes below the threshold with long ones.
     """
     w, h = F.col("__sk_w"), F.col("__sk_h")
     shingles = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)]))
     n = F.size(w)
     df = df.withColumn("__sk_w", word_array(F.col(text)))
     df = df.withColumn("__sk_h", F.when(n >= words, F.slice(shingles, 1, F.greatest(n - (words - 1), F.lit(1)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("__sk_k", F.filter(h, lambda x: x < threshold(scale)))
-    kept = F.when((F.size("__sk_k") == 0) & (F.size(h) > 0), F.array(F.array_min(h))).otherwise(F.col("__sk_k"))
-    return df.withColumn(out, F.sort_array(F.array_distinct(kept))).drop("__sk_w", "__sk_h", "__sk_k")
+    df = df.withColumn("__sk_k", F.array_distinct(_below(h, scale)))
+    kept = F.when(F.size("__sk_k") < FEW, F.array_distinct(h)).otherwise(F.col("__sk_k"))
+    return df.withColumn(out, F.sort_array(kept)).drop("__sk_w", "__sk_h", "__sk_k")
+
+
+def _below(hashes: Column, scale: int) -> Column:
+    return F.filter(hashes, lambda x: x < threshold(scale))
+
+
+def is_whole(sketch: Column, scale: int = SCALE) -> Column:
+    """Whether a sketch has every shingle: fewer than ``FEW`` of its hashes, which are sorted, lie below the threshold."""
+    return F.coalesce(F.get(sketch, F.lit(FEW - 1)) >= threshold(scale), F.lit(True))
 
 
 def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts' shingles together; a lone hash above the threshold stays only if all are."""
+    """The sketch of two texts' shingles together, equal to the one made from all of them at once."""
     both = F.sort_array(F.array_union(a, b))
-    below = F.filter(both, lambda x: x < threshold(scale))
-    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+    return F.when(is_whole(both, scale), both).otherwise(_below(both, scale))
+
 
+def _comparable(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """The hashes that either sketch would hold if its text had them: all of two whole ones, else those below the threshold."""
+    whole = is_whole(a, scale) & is_whole(b, scale)
+    return F.when(whole, a).otherwise(_below(a, scale)), F.when(whole, b).otherwise(_below(b, scale))
 
-def resemblance(a: Column, b: Column) -> Column:
+
+def resemblance(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Share of common shingles among all, estimated from two sketches; 1 for two wordless texts."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(union, F.lit(1)))
+    x, y = _comparable(a, b, scale)
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(union, F.lit(1)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Share of a's shingles that b has too, estimated from two sketches; 1 for a wordless a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Share of a's shingles that b has too, estimated from two sketches; 1 for a wordless a.
+
+    Null if there is no estimate: b is long, and no hash of a lies below the threshold.
+    """
+    x, y = _comparable(a, b, scale)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.lit(1)))
 
 
 def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """An array literal, folded from one string so that long ones stay one expression."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def run_of(key: Column, tie: Column, kind: str, cuts: list, n_null: int) -> Column:
+    """The run of a row by descending ``key``, null last, then ascending ``tie`` (a hash): the number of ``cuts`` before it.
+
+    A key that several cuts share is hot: its rows are spread over as many runs by ``tie``; so are those
+    without a key, over a run for each ``RUN`` of them.
+    """
+    times = Counter(cuts)
+    own = sorted(times, reverse=True)
+    before = [0, *itertools.accumulate(times[c] for c in own)]
+    even = (F.shiftright(tie, 12) + F.lit(1 << 51)) / F.lit(float(1 << 52))
+    spread = lambda n: F.floor(even * n).cast("int")
+    if own:
+        found, steps = _numbers(own, kind), [1 << k for k in range(len(own).bit_length() - 1, -1, -1)]
+        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda a, s: F.when(F.get(found, a + s - 1) > key, a + s).otherwise(a))
+        hot = lambda a: F.when(F.get(found, a) == key, spread(F.get(_numbers([times[c] for c in own], "int"), a))).otherwise(F.lit(0))
+        run = let(at, lambda a: F.get(_numbers(before, "int"), a) + hot(a))
+    else:
+        run = F.lit(0)
+    return F.when(key.isNull(), len(cuts) + 1 + spread(F.lit(max(1, min(MAX_RUNS, n_null // RUN))))).otherwise(run).cast("int")
+
+
 def with_next(df: DataFrame, key: str, tie: str, take: list[str], prefix: str = "next_") -> DataFrame:
-    """Add ``take`` columns of the next row by descending ``key`` (null last, then ``tie``); the last row's next is the first.
+    """Add ``take`` columns of the next row by descending ``key`` (a number; null last), then ``tie`` (a long); the last row's next is the first.
 
-    Rows are dealt to runs of neighbouring keys, cut at quantiles; each run also gets the first row
-    of the following run, so no window spans more than a run.  The driver sees one key a run, at most
-    ``MAX_RUNS``.
+    Rows are dealt to runs of neighbouring keys, cut at quantiles; each run also gets the first row of
+    the following run, so no window spans more than a run.  One row a run, at most twice ``MAX_RUNS``,
+    is broadcast.
     """
-    n = df.select(key).count()
+    n, n_null = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
     runs = max(1, min(MAX_RUNS, n // RUN))
-    cuts: list[int] = []
+    cuts = []
     if runs > 1:
-        shares = [k / runs for k in range(1, runs)]
-        found = df.select(F.percentile_approx(key, shares, max(10_000, 4 * runs)).alias("q")).first()["q"]
-        cuts = sorted({q for q in found or []}, reverse=True)
-    above = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(key) < c)) if cuts else F.lit(0)
-    df = df.withColumn("__run", F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int"))
-    heads = [(r["__run"], r["head"]) for r in df.select(key, "__run").groupBy("__run").agg(F.max(key).alias("head")).orderBy("__run").collect()]
-    if not heads:
-        return df.select("*", *[F.col(c).alias(f"{prefix}{c}") for c in take]).drop("__run")
-    head_of, before = [None] * (len(cuts) + 2), [0] * (len(cuts) + 2)
-    for k, (run, head) in enumerate(heads):
-        head_of[run], before[run] = head, heads[k - 1][0]
-    kind = df.schema[key].dataType
-    is_head = F.col(key).eqNullSafe(F.get(F.array(*[F.lit(h).cast(kind) for h in head_of]), F.col("__run")))
-    own = F.struct(F.col("__run").alias("run"), F.lit(False).alias("halo"))
-    other = F.struct(F.get(F.array(*[F.lit(b) for b in before]), F.col("__run")).alias("run"), F.lit(True).alias("halo"))
-    dealt = df.withColumn("__to", F.explode(F.when(is_head, F.array(own, other)).otherwise(F.array(own)))).withColumn("__run", F.col("__to.run")).withColumn("__halo", F.col("__to.halo")).drop("__to")
+        shares = _numbers([k / runs for k in range(1, runs)], "double")
+        cuts = df.select(F.percentile_approx(key, shares, F.lit(max(10_000, 4 * runs))).alias("q")).first()["q"] or []
+    df = df.withColumn("__run", run_of(F.col(key), F.col(tie), df.schema[key].dataType.simpleString(), cuts, n_null))
+    place = F.struct(F.col(key).alias("k"), F.bitwise_not(F.col(tie)).alias("t"))
+    heads = df.groupBy("__run").agg(F.max(place).alias("__head"))
+    last = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("__before", F.coalesce(F.lag("__run").over(Window.orderBy("__run")), F.last("__run").over(last)))
+    own, other = (F.struct(F.col(run).alias("run"), F.lit(halo).alias("halo")) for run, halo in (("__run", False), ("__before", True)))
+    dealt = df.join(F.broadcast(heads), "__run")
+    dealt = dealt.withColumn("__to", F.explode(F.when(place.eqNullSafe(F.col("__head")), F.array(own, other)).otherwise(F.array(own))))
+    dealt = dealt.withColumn("__run", F.col("__to.run")).withColumn("__halo", F.col("__to.halo")).drop("__to", "__head", "__before")
     order = Window.partitionBy("__run").orderBy("__halo", F.col(key).desc_nulls_last(), tie)
     return dealt.withColumns({f"{prefix}{c}": F.lead(c).over(order) for c in take}).filter(~F.col("__halo")).drop("__run", "__halo")
 
@@ -95,8 +140,9 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     The edited text has the last third of the code points replaced by as many first ones of the next
     document by descending id.  Returns ``doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next`` (resemblances) and ``contain_edited, contain_next``
-    (containments in the original).  Null texts count as empty; null ids come last; rows of one id
-    are ordered by their text's hash; a single row is its own next; no rows give none.
+    (containments in the original, null if a sketch cannot tell).  Ids are numbers.  Null texts count as
+    empty; null ids come last; rows of one id are ordered by their text's hash; a single row is its own
+    next; no rows give none.  Texts of any length are taken whole; other columns are ignored.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = with_sketch(plain, "text", "sketch").withColumn("tie", F.xxhash64("text"))
