@@ -79,15 +79,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     return plain.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long{', key long' if key else ''}")
 
 
+def _ball(width: int, radius: int) -> int:
+    """How many values of ``width`` bits lie within ``radius`` bits of one; none for a negative radius."""
+    return sum(math.comb(width, d) for d in range(radius + 1))
+
+
 def partitions_for(n: int, radius: int) -> int:
-    """The number of partitions whose probes and candidates cost least for ``n`` evenly spread fingerprints."""
+    """The number of partitions whose probes and candidates cost least for ``n`` evenly spread fingerprints.
+
+    Numbers that need more than ``_MOST_PROBES`` probes of one partition are passed over; radius + 1
+    partitions never do.
+    """
 
     def cost(m: int) -> float:
         total = 0.0
         for i in range(m):
-            width, t = BITS // m, (radius - m + 1) // m + (i < (radius - m + 1) % m)
-            ball = sum(math.comb(width, d) for d in range(t + 1)) if t >= 0 else 0
-            total += ball * (_PROBE_COST + n / 2.0**width)
+            width, t = BITS // m + (i < BITS % m), (radius - m + 1) // m + (i >= m - (radius - m + 1) % m)
+            probes = _ball(width, t)
+            total += math.inf if probes > _MOST_PROBES else probes * (_PROBE_COST + n / 2.0**width)
         return total
 
     return min(range(1, radius + 2), key=cost)
@@ -207,6 +216,8 @@ class Plan:
                     options[s, t] = best[s - t] + cost[i, t]
             choice.append(options.argmin(axis=1))
             best = options.min(axis=1)
+        if not np.isfinite(best[want]).all():
+            raise ValueError(f"{m} partitions cannot cover {self.radius} bits with {_MOST_PROBES} probes each")
         out, left, all_ = np.zeros((m, len(fps)), np.int64), np.full(len(fps), want), np.arange(len(fps))
         for i in range(m - 1, -1, -1):
             t = choice[i][left, all_]
