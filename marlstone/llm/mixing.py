@@ -10,12 +10,12 @@ from marlstone.llm.common import materialize, maybe_broadcast, null_safe, rank_b
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
 SEED = "mix-1"
-#: Offsets tried for each source.
-TRIES = 16
+#: So many of a source's longest documents have their expected copies planned anew after each of them.
+LONGEST = 256
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_COPIES) -> DataFrame:
-    """``source, source_size, target`` from rows of ``source, size``.
+    """``source, source_size, n_docs, target`` from rows of ``source, size``.
 
     Sources go by code point, null last, and take ``weights`` in turn.  Targets share the total by
     weight, none above ``cap`` times its source's size; what a capped source leaves is shared again
@@ -24,7 +24,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     rest would share rises with j while j itself must be capped and falls afterwards, so it is the
     highest of these; prefix sums over one row per source give them all.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    totals = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     t = totals.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), F.pmod(place - 1, F.lit(len(weights)))).cast("long"))
     t = t.withColumn("limit", F.col("source_size") * cap)
@@ -34,7 +34,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("limit").over(before), F.lit(0))
     open_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = F.max(left / open_weight).over(whole)
-    return t.withColumn("target", F.least(F.col("limit").cast("double"), level * F.col("weight"))).select("source", "source_size", "target")
+    return t.withColumn("target", F.least(F.col("limit").cast("double"), level * F.col("weight"))).select("source", "source_size", "n_docs", "target")
 
 
 def offset_of(source: Column, seed: str = SEED) -> Column:
@@ -47,31 +47,45 @@ def word_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
 
 
-def mix(sized: DataFrame, seed: str = SEED, tries: int = TRIES) -> DataFrame:
+def _expected(left: Column, rest: Column) -> Column:
+    """Copies of each of the documents that have ``rest`` words, if ``left`` are still to be taken."""
+    return F.when(rest > 0, F.least(F.greatest(left / rest, F.lit(0.0)), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0))
+
+
+def _longest_first(sizes: Column, target: Column, total: Column, offset: Column) -> Column:
+    """Sampling of ``sizes`` in turn: ``copies`` of each, the words ``left`` to take and the ``rest`` to take them from, and the next offset."""
+
+    def step(s: Column, size: Column) -> Column:
+        at = s["at"] + _expected(s["left"], s["rest"])
+        n = F.floor(at)
+        return F.struct((s["left"] - n * size).alias("left"), (s["rest"] - size).alias("rest"), (at - n).alias("at"), F.concat(s["copies"], F.array(n.cast("int"))).alias("copies"))
+
+    none = F.array().cast("array<int>")
+    return F.aggregate(sizes, F.struct(target.alias("left"), total.cast("double").alias("rest"), offset.alias("at"), none.alias("copies")), step)
+
+
+def mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
     """Copies of every row of ``doc_id, source, size``; adds ``source_size, target, copies, taken``.
 
-    A document's expected copies are target / source size.  Their prefix sums run within the source
-    in order of size, then id, so the cuts at integers pass evenly through all sizes; one random
-    offset a source shifts the cuts, and a document is emitted once for each integer in its interval.
-    The offset is the best of ``tries`` evenly spaced ones from a random start: the one whose words
-    come nearest the target, so a few very long documents do not decide how near that is.
+    Systematic sampling: expected copies are summed up over a source's documents, longest first, then
+    by descending id, from one random offset a source; a document is emitted once for each integer
+    passed.  Expected copies are the words still to take over the words still to come, at most
+    ``MAX_COPIES``: for each of the ``LONGEST`` longest documents after those before it, and alike
+    for all the rest, whose prefix sums are then a rank times a constant.  So what a very long
+    document takes too much or too little is made up for by the shorter ones.
     A null source is a source; null or empty texts have size 0; rows of one id are told apart by
     nothing but their order; a source without words has target 0 and no copies; no rows give none.
+    Other columns are ignored.
     """
     sized = materialize(sized)
-    targets = source_targets(sized)
-    ranked = rank_by_class(sized, ["source"], ["size"], "doc_id")
-    joined = null_safe(ranked, maybe_broadcast(targets, targets.count()), ["source"])
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    placed = materialize(joined.withColumn("each", each).withColumn("start", offset_of(F.col("source"), seed)))
-
-    def copies(offset: Column) -> Column:
-        cut = lambda r: F.floor(F.col("each") * r + offset)
-        return F.least(cut(F.col("rank") + 1) - cut(F.col("rank")), F.lit(MAX_COPIES)).cast("long")
-
-    spaced = [F.pmod(F.col("start") + F.lit(k / tries), F.lit(1.0)) for k in range(tries)]
-    got = placed.groupBy("source").agg(F.first("target").alias("t"), F.first("start").alias("start"), *[F.sum(copies(u) * F.col("size")).alias(f"w{k}") for k, u in enumerate(spaced)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("t")).alias("off"), F.lit(k).alias("k"), u.alias("u")) for k, u in enumerate(spaced)]))
-    chosen = got.select("source", nearest["u"].alias("offset"))
-    final = null_safe(placed, maybe_broadcast(chosen, targets.count()), ["source"])
-    return final.withColumn("copies", copies(F.col("offset"))).withColumn("taken", F.col("copies") * F.col("size")).drop("rank", "each", "start", "offset")
+    targets = materialize(source_targets(sized))
+    few = targets.count()
+    ranked = materialize(null_safe(rank_by_class(sized, ["source"], ["size"], "doc_id"), maybe_broadcast(targets, few), ["source"]))
+    place = F.col("n_docs") - 1 - F.col("rank")
+    top = ranked.filter(place < LONGEST).groupBy("source").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "size"))).alias("top"), F.first("target").alias("t"), F.first("source_size").alias("n"))
+    sampled = _longest_first(F.transform("top", lambda x: x["size"]), F.col("t"), F.col("n"), offset_of(F.col("source"), seed))
+    first = materialize(top.select("source", sampled.alias("s")).select("source", _expected(F.col("s.left"), F.col("s.rest")).alias("each"), F.col("s.at").alias("at"), F.col("s.copies").alias("top")))
+    joined = null_safe(ranked, maybe_broadcast(first, few), ["source"])
+    after = lambda k: F.floor(F.col("at") + F.col("each") * (place - LONGEST + k))
+    copies = F.when(place < LONGEST, F.get("top", place.cast("int"))).otherwise(F.least(after(1) - after(0), F.lit(MAX_COPIES))).cast("long")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("rank", "n_docs", "each", "at", "top")

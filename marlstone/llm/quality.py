@@ -10,8 +10,10 @@ from marlstone.llm.common import materialize, maybe_broadcast, null_safe, word_a
 MIN_WORDS = 50
 #: A document fails if more than this share of its words (in percent) lies in repeated windows.
 MAX_REPEAT_PERCENT = 50
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if its odds of failure surely are more than this many times those of the whole corpus.
+MAX_ODDS_RATIO = 3.0
+#: Standard deviations below the host's shrunk rate that still have to lie above that.
+SURE = 1.645
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\f\r"
 _WINDOW = 3
@@ -63,37 +65,45 @@ def rule_counts(docs: DataFrame, text: str = "text", prefix: str = "__q_") -> Da
     return df.withColumn(p("base_failed"), failed)
 
 
-def host_rates(counted: DataFrame, host: str, failed: str) -> DataFrame:
-    """One row per host (null is a host): ``n_docs``, ``n_failed``, ``rate`` shrunk by a beta prior.
+def host_rates(counted: DataFrame, host: str, failed: str, max_odds_ratio: float = MAX_ODDS_RATIO) -> DataFrame:
+    """One row per host (null is a host): ``n_docs``, ``n_failed``, ``rate`` shrunk by a beta prior, ``rejected``.
 
     The prior's mean is the pooled rate; its strength comes from the spread of the hosts' rates beyond
-    what sampling alone gives (moments), held between 1 and 10,000 documents.
+    what sampling alone gives (moments), held between 1 and 10,000 documents.  A host is rejected if its
+    posterior rate, less ``SURE`` standard deviations, is above the rate at which the odds of failure are
+    ``max_odds_ratio`` times the pooled odds.  So a few failures never condemn a small host, and hosts
+    are told apart whether failures are rare or common.
     """
     hosts = counted.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     n, k = F.col("n_docs"), F.col("n_failed")
     row = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("kk")).first()
     if not row["n"]:
-        return hosts.withColumn("rate", F.lit(0.0))
+        return hosts.withColumn("rate", F.lit(0.0)).withColumn("rejected", F.lit(False))
     mean = row["k"] / row["n"]
     spread = row["kk"] / row["n"] - mean * mean - mean * (1 - mean) * row["hosts"] / row["n"]
     strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4) if spread > 0 else 1e4
-    return hosts.withColumn("rate", (k + F.lit(mean * strength)) / (n + F.lit(float(strength))))
+    limit = max_odds_ratio * mean / (1 - mean + max_odds_ratio * mean)
+    rate = F.col("rate")
+    rated = hosts.withColumn("rate", (k + F.lit(mean * strength)) / (n + F.lit(float(strength))))
+    return rated.withColumn("rejected", rate - SURE * F.sqrt(rate * (1 - rate) / (n + F.lit(float(strength) + 1.0))) > limit)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", max_odds_ratio: float = MAX_ODDS_RATIO, carry: list[str] | None = None) -> DataFrame:
     """Rule counts, host rate and verdict of every row of ``docs``.
 
     Returns ``carry`` (all columns by default) and ``__q_``-prefixed columns ``n_words``, ``word_chars``,
     ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``host_rate``, ``kept``.  A null
     text has no words and fails; a null host is a host of its own; empty input gives no rows; repeated
-    rows each count.  Extra columns pass through untouched.  The counted rows are written once to the
-    shared folder, so the texts are split a single time for both the hosts and the verdicts.
+    rows each count; texts of any length are judged whole.  Extra columns pass through untouched.  The
+    counted rows are written once to the shared folder, so the texts are split a single time for both
+    the hosts and the verdicts.
     """
     carry = docs.columns if carry is None else carry
     counted = rule_counts(docs, text)
     out = [c for c in counted.columns if c.startswith("__q_")]
     host_copy = F.col(host).alias("__q_host")
     counted = materialize(counted.select(*carry, *out, host_copy))
-    rates = host_rates(counted, "__q_host", "__q_base_failed").select("__q_host", F.col("rate").alias("__q_host_rate"))
+    rates = host_rates(counted, "__q_host", "__q_base_failed", max_odds_ratio)
+    rates = materialize(rates.select("__q_host", F.col("rate").alias("__q_host_rate"), F.col("rejected").alias("__q_rejected")))
     judged = null_safe(counted, maybe_broadcast(rates, rates.count()), ["__q_host"])
-    return judged.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_host_rate") <= max_host_rate)).drop("__q_host")
+    return judged.withColumn("__q_kept", ~F.col("__q_base_failed") & ~F.col("__q_rejected")).drop("__q_host", "__q_rejected")

@@ -85,21 +85,24 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE_SQL = {
     "op3_systematic_mix": rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([1, 2, 3])[1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::BIGINT AS weight FROM s),
 r AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio FROM w),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
       FROM r WINDOW p AS (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT max(level) FROM l) * weight) AS target FROM l),
-k AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id ASC NULLS LAST) - 1 AS pos FROM d),
-e AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each_copy,
-             ('0x' || substr(md5('mix-1:' || coalesce(k.source, '') || ':' || CASE WHEN k.source IS NULL THEN 'true' ELSE 'false' END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
-      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT e.*, try, (least(floor(each_copy * (pos + 1) + u) - floor(each_copy * pos + u), 3) * size)::BIGINT AS taken
-      FROM (SELECT e.*, try, CASE WHEN start + try / 16.0::DOUBLE >= 1 THEN start + try / 16.0::DOUBLE - 1 ELSE start + try / 16.0::DOUBLE END AS u FROM e, range(16) r(try)) e),
-b AS (SELECT source, arg_min(try, (abs(words - target), try)) AS best FROM (SELECT source, try, sum(taken)::DOUBLE AS words, any_value(target) AS target FROM c GROUP BY source, try) GROUP BY source)
-SELECT doc_id, size, source_size, target, taken FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source AND try = best""",
+t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT max(level) FROM l) * weight) AS target,
+             ('0x' || substr(md5('mix-1:' || coalesce(source, '') || ':' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM l),
+k AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size DESC, doc_id DESC NULLS FIRST) - 1 AS pos FROM d),
+f AS (SELECT source, 0::BIGINT AS pos, target AS to_take, source_size::DOUBLE AS rest, start AS phase, 0::BIGINT AS copies FROM t
+      UNION ALL
+      SELECT source, pos + 1, to_take - floor(up) * size, rest - size, up - floor(up), floor(up)::BIGINT
+      FROM (SELECT f.source, f.pos, f.to_take, f.rest, k.size, f.phase + CASE WHEN f.rest > 0 THEN least(greatest(f.to_take / f.rest, 0.0::DOUBLE), 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS up
+            FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.pos = f.pos WHERE f.pos < 256)),
+e AS (SELECT source, phase, CASE WHEN rest > 0 THEN least(greatest(to_take / rest, 0.0::DOUBLE), 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS each_copy FROM f WHERE pos = 256),
+c AS (SELECT k.*, CASE WHEN k.pos < 256 THEN f.copies ELSE least(floor(e.phase + each_copy * (k.pos - 255)) - floor(e.phase + each_copy * (k.pos - 256)), 3) END AS copies
+      FROM k LEFT JOIN f ON k.pos < 256 AND f.pos = k.pos + 1 AND k.source IS NOT DISTINCT FROM f.source LEFT JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source""",
     "op8_host_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3),
@@ -114,7 +117,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM f GROUP BY source),
 m AS (SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) ** 2 - (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) * count(*) / sum(n) AS spread FROM h),
 b AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 10000.0) ELSE 10000.0 END AS strength FROM m),
-v AS (SELECT source, (k + mean * strength) / (n + strength) AS rate FROM h, b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
+v AS (SELECT source, n + strength AS seen, (k + mean * strength) / (n + strength) AS rate, 3.0 * mean / (1 - mean + 3.0 * mean) AS most FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate - 1.645 * sqrt(rate * (1 - rate) / (seen + 1)) <= most AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
 }
