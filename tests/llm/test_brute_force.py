@@ -75,31 +75,91 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def test_sketch_estimates_and_edits(spark, small):
-    got, t = by_id(sketch.compare_edited(small)), texts(small)
+def slow_hashes(text):
+    def chain(words):
+        h = 42
+        for w in words:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    return {chain(g) for g in shingles(text, sketch.SHINGLE_WORDS)}
+
+
+def slow_sketch(hashes):
+    below = {h for h in hashes if h < sketch.threshold()}
+    return hashes if len(below) < sketch.FEW else below
+
+
+def slow_pair(a, b):
+    """Two sketches' hashes that either would hold."""
+    below = [{h for h in s if h < sketch.threshold()} for s in (a, b)]
+    return (a, b) if max(map(len, below)) < sketch.FEW else below
+
+
+def test_sketch_query_equals_brute_force(spark, small):
+    got, t = by_id(QUERIES["op2_scaled_sketch"](spark, SMALL)), texts(small)
     order = sorted(t, reverse=True)
-    errors = []
+    made = {d: slow_sketch(slow_hashes(t[d])) for d in t}
+    text_of = lambda s: "".join(f"{h & (2**64 - 1):016x}" for h in sorted(s))
+    assert any(len(slow_hashes(t[d])) > len(made[d]) for d in t)
     for d, after in zip(order, order[1:] + order[:1]):
         k = len(t[d]) // 3
         edited = t[d][: len(t[d]) - k] + t[after][:k]
-        assert got[d]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[d]["n_chars"] == len(t[d])
-        a, b = shingles(t[d], 5), shingles(edited, 5)
-        if len(a) > 400:
-            errors.append(abs(got[d]["near_edited"] - len(a & b) / len(a | b)))
-    assert errors and sum(errors) / len(errors) < 0.08
+        new, r = slow_sketch(slow_hashes(edited)), got[d]
+        assert (r["edited_sha256"], r["n_chars"]) == (hashlib.sha256(edited.encode()).hexdigest(), len(t[d]))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text_of(made[d]), text_of(new))
+        for other, near, part in ((new, "near_edited", "contain_edited"), (made[after], "near_next", "contain_next")):
+            a, b = slow_pair(made[d], other)
+            assert r[near] == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
+            assert r[part] == (pytest.approx(len(a & b) / len(b)) if b else None if other else 1)
+
+
+def test_sketch_estimates_are_near(spark, small):
+    got, t = by_id(sketch.compare_edited(small)), texts(small)
+    order, errors = sorted(t, reverse=True), []
+    for d, after in zip(order, order[1:] + order[:1]):
+        k = len(t[d]) // 3
+        a, b = shingles(t[d], 5), shingles(t[d][: len(t[d]) - k] + t[after][:k], 5)
+        errors.append(abs(got[d]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)))
+    assert sum(errors) / len(errors) < 0.05
+
+
+def test_short_texts_in_a_long_one(spark):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(4000)]
+    rows = [(" ".join(words[i : i + 7]), " ".join(words)) for i in range(0, 3990, 10)] + [("no such words in the long text at all", " ".join(words))]
+    df = spark.createDataFrame(rows, "a string, b string")
+    made = sketch.with_sketch(sketch.with_sketch(df, "a", "x"), "b", "y")
+    got = [r[0] for r in made.select(sketch.containment(sketch.F.col("x"), sketch.F.col("y"))).collect()]
+    assert set(got[:-1]) == {1.0, None} and got[:-1].count(1.0) > 90 and got[-1] in (0.0, None)
 
 
 def test_sketches_merge(spark):
-    docs = spark.createDataFrame([("one two three four five six seven " * 3,), ("other words make other shingles here and there",)], "text string")
-    a, b = (r["s"] for r in sketch.with_sketch(docs, "text", "s", scale=2).collect())
-    merged = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(sketch.merge(sketch.F.col("a"), sketch.F.col("b"), 2).alias("m")).first()["m"]
-    assert merged == sorted({x for x in a + b if x < sketch.threshold(2)})
+    rnd = random.Random(8)
+    prose = lambda n: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(50)) for _ in range(n))
+    for n, m in ((20, 8), (100, 300), (30, 4000), (3000, 5000), (0, 9)):
+        a, b = prose(n), prose(m)
+        made = sketch.with_sketch(sketch.with_sketch(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y")
+        assert set(made.select(sketch.merge(sketch.F.col("x"), sketch.F.col("y")).alias("m")).first()["m"]) == slow_sketch(slow_hashes(a) | slow_hashes(b))
+
+
+def test_next_of_hot_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "RUN", 5)
+    rnd = random.Random(1)
+    keys = [rnd.choice((None, 7, 7, rnd.randrange(100))) for _ in range(300)]
+    df = spark.createDataFrame([(k, rnd.getrandbits(64) - (1 << 63), i) for i, k in enumerate(keys)], "k long, t long, v long").repartition(7)
+    want = sorted(df.collect(), key=lambda r: (r["k"] is None, -(r["k"] or 0), r["t"]))
+    got = {r["v"]: r["next_v"] for r in sketch.with_next(df, "k", "t", ["v"]).collect()}
+    assert got == {a["v"]: b["v"] for a, b in zip(want, want[1:] + want[:1])}
+    cuts = [7] * 20 + [90, 40]
+    runs = df.select("k", sketch.run_of(df.k, df.t, "bigint", cuts, 100).alias("r")).collect()
+    assert len({r["r"] for r in runs if r["k"] == 7}) > 15 and len({r["r"] for r in runs if r["k"] is None}) > 15
 
 
 def test_next_document_over_many_runs(spark, monkeypatch):
     monkeypatch.setattr(sketch, "RUN", 7)
-    df = spark.range(100).selectExpr("id * id * 3 as k", "cast(id as string) as v").repartition(9)
-    got = {r["k"]: r["next_v"] for r in sketch.with_next(df, "k", "v", ["v"]).collect()}
+    df = spark.range(100).selectExpr("id * id * 3 as k", "id as t", "cast(id as string) as v").repartition(9)
+    got = {r["k"]: r["next_v"] for r in sketch.with_next(df, "k", "t", ["v"]).collect()}
     assert got == {i * i * 3: str(i - 1 if i else 99) for i in range(100)}
 
 
@@ -132,6 +192,33 @@ def test_mix_is_near_its_targets(spark):
     assert all(abs(taken[s] - t) <= 0.01 * t + 60 for s, t in target.items())
 
 
+@pytest.mark.parametrize("folder", ["0.001", "0.01", "0.1"])
+def test_mix_of_the_tables_is_near_its_targets(spark, folder):
+    """Within 1 %; or, of a source that one document makes up, within half that document."""
+    mixed = mixing.mix(mixing.word_sizes(spark.read.parquet(f"/root/testdata/sf{folder}/documents.parquet")))
+    for r in mixed.groupBy("source").agg({"taken": "sum", "target": "max", "size": "max"}).collect():
+        off = abs(r["sum(taken)"] - r["max(target)"])
+        assert off <= 0.01 * r["max(target)"] or (folder == "0.001" and off <= r["max(size)"] / 2), r
+
+
+def test_mix_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LONGEST", 20)
+    rnd = random.Random(3)
+    rows = [(i, f"s{i % 3}", int(rnd.paretovariate(0.7))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    offset = {r["source"]: r["u"] for r in df.select("source", mixing.offset_of(df.source).alias("u")).distinct().collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    for s, at in offset.items():
+        own = sorted(((size, d) for d, x, size in rows if x == s), reverse=True)
+        left, rest = got[own[0][1]]["target"], sum(size for size, _ in own)
+        for k, (size, d) in enumerate(own):
+            if k <= 20:
+                each, start, base = min(max(left / rest, 0), 3), at, k
+            n = int(start + each * (k + 1 - base)) - int(start + each * (k - base))
+            assert got[d]["copies"] == n
+            at, left, rest = (start + each) % 1, left - n * size, rest - size
+
+
 def test_kneser_ney_equals_the_formulas(spark, small):
     t = texts(small)
     tok = {d: [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), x)), 0] for d, x in t.items()}
@@ -258,6 +345,21 @@ def test_host_rates_shrink_to_the_mean(spark):
     assert abs(got["big"] - 0.6) < 0.02 and got["clean"] < 0.02 and got["tiny"] < 1
 
 
+def test_a_host_is_rejected_for_its_odds(spark):
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    hosts = {"bad": (54, 6), "fair": (100, 900), "other": (80, 920), "tiny": (2, 1), None: (1, 9)}
+    rows = [(h, "too short" if i < failed else good(i)) for h, (failed, kept) in hosts.items() for i in range(failed + kept)]
+    got = Counter((r["host"], r["__q_kept"]) for r in quality.judge(spark.createDataFrame(rows, "host string, text string"), host="host").collect())
+    assert got == {("bad", False): 60, ("fair", False): 100, ("fair", True): 900, ("other", False): 80, ("other", True): 920, ("tiny", False): 2, ("tiny", True): 1, (None, False): 1, (None, True): 9}
+
+
+def test_a_host_with_a_third_of_all_rows_is_rejected(spark):
+    hosts = {"hot": (450, 50), "b": (30, 470), "c": (50, 450)}
+    rows = [(h, i < failed) for h, (failed, kept) in hosts.items() for i in range(failed + kept)]
+    got = {r["h"]: r["rejected"] for r in quality.host_rates(spark.createDataFrame(rows, "h string, bad boolean"), "h", "bad").collect()}
+    assert got == {"hot": True, "b": False, "c": False}
+
+
 def test_clashing_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(quality, "_POSITION_BITS", 59)  # five bits of the hash: every text has clashes
     docs = spark.createDataFrame([(1, " ".join(f"w{i % 70}" for i in range(100))), (2, " ".join(f"w{i}" for i in range(200)))], "doc_id long, text string")
