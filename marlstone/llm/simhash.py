@@ -28,6 +28,8 @@ RADIUS = 3
 SHINGLE_WORDS = 3
 #: Fingerprints of one bucket that one cell compares; larger buckets are cut into a grid of cells.
 CELL = 4096
+#: So many links, 16 bytes each, one task joins at once.
+ONE_TASK = 1 << 20
 _PIECE = 11
 _SEED = 42
 #: A probe is a row that is shuffled and sorted, about a microsecond; comparing a candidate takes 10 ns.
@@ -386,14 +388,37 @@ def _own_rows(batches: Iterator[pa.RecordBatch], groups: list[list[int]]) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), i, np.int32)), pa.array(take_bits(fps, bits).view(np.int64))], ["part", "key"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch], most: int = ONE_TASK) -> Iterator[pa.RecordBatch]:
+    """Star links (member, smallest member) that join what the links of each run of ``most`` rows join."""
+    held_: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        u, v = spanning(*(np.concatenate([b.column(k).to_numpy() for b in held_]) for k in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for b in batches:
+        held_.append(b)
+        if sum(x.num_rows for x in held_) >= most:
+            yield from flush()
+            held_.clear()
+    if held_:
+        yield from flush()
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``node, root`` of every node of ``edges`` (u, v) but the roots themselves: the smallest node it reaches.
 
-    Alternating large-star and small-star rounds; each round is written to the shared folder, and
-    the rounds end when the set of links no longer changes.  Smallest neighbours are written before
-    they are joined back, so that the join reads two plain tables and a hot node's rows can be split.
+    Each task first replaces its own links by stars.  Up to ``one_task`` links are then joined by one
+    task; more, by alternating large-star and small-star rounds, each written to the shared folder,
+    until the set of links no longer changes.  Smallest neighbours are written before they are joined
+    back, so that the join reads two plain tables and a hot node's rows can be split.
     """
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    edges = materialize(edges.mapInArrow(_contract, "u long, v long").distinct())
+    if edges.count() <= one_task:
+        # rows of a task are few enough to be one run, whatever the batches
+        whole = edges.coalesce(1).mapInArrow(lambda batches: _contract(batches, one_task + 1), "u long, v long")
+        return materialize(whole.select(F.col("u").alias("node"), F.col("v").alias("root")))
     seen = None
     while True:
         sign = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

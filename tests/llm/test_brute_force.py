@@ -436,7 +436,9 @@ def test_links_have_all_components(spark, radius, cell):
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    root = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, radius, cell)).collect()}
+    found = simhash.links(df, radius, cell)
+    root = {r["node"]: r["root"] for r in simhash.components(found).collect()}
+    assert root == {r["node"]: r["root"] for r in simhash.components(found, one_task=0).collect()}
     seen = {}
     for x, want in zip(signed, slow_components(fps, radius)):
         assert seen.setdefault(root.get(x, x), want) == want
@@ -466,6 +468,19 @@ def test_wide_links_are_verified(spark):
     assert sum(linked for close, linked in near if close) >= 0.9 * sum(close for close, _ in near)
 
 
+@pytest.mark.parametrize("n", [100, 10**6, 5 * 10**10, 10**13])
+def test_plans_cover_every_radius(n):
+    fps = np.random.default_rng(2).integers(0, 2**63, 50).astype(np.uint64)
+    for radius in (3, 6, 10, 14, 18):
+        m = simhash.partitions_for(n, radius)
+        groups = simhash.group_bits(simhash._co_counts(fps).reshape(64, 64), len(fps), m)
+        t = simhash.Plan(groups, {}, n, radius).thresholds(fps)
+        assert (t.sum(axis=0) == radius - m + 1).all() and t.min() >= -1
+    groups = simhash.group_bits(simhash._co_counts(fps).reshape(64, 64), len(fps), 2)
+    with pytest.raises(ValueError, match="cannot cover"):
+        simhash.Plan(groups, {}, n, 14).thresholds(fps)
+
+
 def test_thresholds_keep_the_sum():
     rng = np.random.default_rng(0)
     fps = rng.integers(0, 2**63, 500).astype(np.uint64)
