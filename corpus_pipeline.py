@@ -15,8 +15,8 @@ from marlstone.llm.common import documents, materialize, null_safe
 
 #: A text stays if its language's filter holds at least this share of its n-grams.
 MIN_COVER = 0.3
-#: Most texts that share 0.8 of their five-word shingles differ in ten SimHash bits at most; the exact pass after these reaches gets the rest.
-WIDE = (6, 10)
+#: Most texts that share 0.8 of their five-word shingles differ in so many SimHash bits at most; the exact pass after that reach gets the rest.
+WIDE = (8,)
 #: Stands for a missing id while rows are dealt by it.
 NO_ID = -(1 << 63)
 
