@@ -56,17 +56,28 @@ def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
     return F.when(is_whole(both, scale), both).otherwise(_below(both, scale))
 
 
-def _comparable(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
-    """The hashes that either sketch would hold if its text had them: all of two whole ones, else those below the threshold."""
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Struct of ``near`` (``resemblance``) and ``part`` (``containment`` of a in b), from one intersection.
+
+    Compared are the hashes that either sketch would hold if its text had them: all of two whole
+    sketches, else those below the threshold.
+    """
     whole = is_whole(a, scale) & is_whole(b, scale)
-    return F.when(whole, a).otherwise(_below(a, scale)), F.when(whole, b).otherwise(_below(b, scale))
+    pair = F.struct(F.when(whole, a).otherwise(_below(a, scale)).alias("x"), F.when(whole, b).otherwise(_below(b, scale)).alias("y"))
+    sizes = let(pair, lambda p: F.struct(F.size(p["x"]).alias("x"), F.size(p["y"]).alias("y"), F.size(F.array_intersect(p["x"], p["y"])).alias("both")))
+
+    def told(n: Column) -> Column:
+        union = n["x"] + n["y"] - n["both"]
+        near = F.when(union == 0, F.lit(1.0)).otherwise(n["both"] / F.greatest(union, F.lit(1)))
+        part = F.when(F.size(a) == 0, F.lit(1.0)).when(n["x"] > 0, n["both"] / F.greatest(n["x"], F.lit(1)))
+        return F.struct(near.alias("near"), part.alias("part"))
+
+    return let(sizes, told)
 
 
 def resemblance(a: Column, b: Column, scale: int = SCALE) -> Column:
     """Share of common shingles among all, estimated from two sketches; 1 for two wordless texts."""
-    x, y = _comparable(a, b, scale)
-    union = F.size(F.array_union(x, y))
-    return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(union, F.lit(1)))
+    return likeness(a, b, scale)["near"]
 
 
 def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
@@ -74,8 +85,7 @@ def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
 
     Null if there is no estimate: b is long, and no hash of a lies below the threshold.
     """
-    x, y = _comparable(a, b, scale)
-    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.lit(1)))
+    return likeness(a, b, scale)["part"]
 
 
 def as_text(sketch: Column) -> Column:
@@ -151,14 +161,15 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     part = F.floor(F.col("n_chars") / 3).cast("int")
     near = near.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - part), F.substring(F.col("next_text"), F.lit(1), part))).drop("text", "next_text")
     near = with_sketch(near, "edited", "edited_sketch")
+    near = near.withColumn("to_edited", likeness(F.col("edited_sketch"), F.col("sketch"))).withColumn("to_next", likeness(F.col("next_sketch"), F.col("sketch")))
     return near.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-        containment(F.col("edited_sketch"), F.col("sketch")).alias("contain_edited"),
-        containment(F.col("next_sketch"), F.col("sketch")).alias("contain_next"),
+        F.col("to_edited.near").alias("near_edited"),
+        F.col("to_next.near").alias("near_next"),
+        F.col("to_edited.part").alias("contain_edited"),
+        F.col("to_next.part").alias("contain_next"),
     )
