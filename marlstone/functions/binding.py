@@ -22,6 +22,7 @@ OPERATORS = {
     "<=": ("at most", "<=", "≤"),
 }
 _UNITS = "%|mmhg|mg/dl|mmol/l|ng/ml|pg/ml|µg/l|ug/l|mm|cm/sec|cm/s|seconds?|minutes?|hours?|days?|weeks?|months?|years?"
+_RANGE_UNITS = "%|mmhg|mg/dl|mmol/l|ng/ml|pg/ml|µg/l|ug/l|mm|cm/sec|cm/s"
 ROLES = (
     ("counterevidence", ("exclude", "contra", "negative")),
     ("diagnostic_criterion", ("criterion", "criteria", "test", "result")),
@@ -78,6 +79,21 @@ def quantity_compatible(observed: Column, criterion: Column) -> Column:
     return (F.size(limits) == 0) | met
 
 
+def ranges(text: Column) -> Column:
+    """(low, high, unit) of every range such as "120-140 mmHg" or "3 to 5"."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pattern = F.lit(rf"(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)\s*({_RANGE_UNITS})?")
+    parts = [F.regexp_extract_all(low, pattern, F.lit(k)).alias(n) for k, n in ((1, "low"), (2, "high"), (3, "unit"))]
+    return F.transform(F.arrays_zip(*parts), lambda x: F.struct(x["low"].cast("double").alias("low"), x["high"].cast("double").alias("high"), F.coalesce(x["unit"], F.lit("")).alias("unit")))
+
+
+def quantities_meet(finding: Column, criterion: Column) -> Column:
+    """Some stated value of the finding lies in some range of the criterion; without ranges its thresholds decide."""
+    seen, wanted = stated_quantities(finding), ranges(criterion)
+    inside = F.exists(wanted, lambda r: F.exists(seen, lambda q: (q["op"] == "=") & ((r["unit"] == "") | (q["unit"] == r["unit"])) & q["value"].between(r["low"], r["high"])))
+    return F.when(F.size(wanted) > 0, inside).otherwise(quantity_compatible(seen, stated_quantities(criterion)))
+
+
 def admissible(finding: Column, criterion: Column, found_tokens: Column, wanted_tokens: Column, role_: Column, threshold: float = 0.6) -> Column:
     """struct(admissible, score): shared tokens cover the criterion, polarity, time and quantities agree.
 
@@ -87,6 +103,6 @@ def admissible(finding: Column, criterion: Column, found_tokens: Column, wanted_
     score = F.size(F.array_intersect(found_tokens, wanted_tokens)) / F.greatest(F.size(F.array_distinct(wanted_tokens)), F.lit(1))
     covered = score >= F.when(role_ == "risk_factor", 0.4).otherwise(threshold)
     in_time = ~((role_ == "diagnostic_criterion") & (temporality(finding) == "historical"))
-    fits = quantity_compatible(stated_quantities(finding), stated_quantities(criterion))
+    fits = quantities_meet(finding, criterion)
     ok = covered & (polarity(finding) == polarity(criterion)) & in_time & fits & role_.isin("diagnostic_criterion", "clinical_feature", "risk_factor", "guideline")
     return F.struct(ok.alias("admissible"), F.round(score, 6).alias("score"))

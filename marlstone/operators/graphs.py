@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import term_key
+from marlstone.functions.text import lexical_key, look_up, qualifiers, term_key
 
 
 def path_distances(paths: DataFrame, path: str) -> DataFrame:
@@ -56,6 +56,41 @@ def aliases(terms: DataFrame, limit: int) -> DataFrame:
     return g.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("concept", "term", "place")
 
 
+# The category of a concept by its semantic type.
+SEMANTIC_CATEGORY = {
+    "Disease or Syndrome": "diagnosis",
+    "Sign or Symptom": "clinical_finding",
+    "Finding": "clinical_finding",
+    "Diagnostic Procedure": "therapy_or_procedure",
+    "Laboratory Procedure": "lab_or_measurement",
+    "Laboratory or Test Result": "lab_or_measurement",
+    "Body Part, Organ, or Organ Component": "anatomy",
+}
+
+
+def category(semantic_type: Column, vocabulary: Column, by_vocabulary: dict[str, str]) -> Column:
+    """The category of the semantic type, else that of the source vocabulary, else null."""
+    return F.coalesce(look_up(semantic_type, SEMANTIC_CATEGORY), look_up(vocabulary, by_vocabulary))
+
+
+def diagnosis_keys(terms: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``label, diagnosis_key`` of the distinct labels: the best concept's id and the label's qualifiers, else the lexical key."""
+    found = best_match(terms, labels, label).select("query", "concept")
+    named = labels.select(F.col(label).alias("label")).distinct().join(found, F.col("label") == F.col("query"), "left")
+    kept = qualifiers(F.col("label"))
+    by_concept = F.concat(F.lit("cui:"), F.lower("concept"), F.when(F.size(kept) > 0, F.concat(F.lit("|mod:"), F.array_join(kept, ","))).otherwise(""))
+    return named.select("label", F.when(F.col("concept").isNotNull(), by_concept).otherwise(lexical_key(F.col("label"))).alias("diagnosis_key"))
+
+
+def expand(terms: DataFrame, candidates: DataFrame, key: str, candidate: str, limit: int = 5) -> DataFrame:
+    """``key, term``: aliases of the concepts that a text's candidate terms name, without those that drop a qualifier of the candidate."""
+    found = best_match(terms, candidates, candidate).select("query", "concept")
+    wanted = candidates.select(key, F.col(candidate).alias("query")).distinct().join(found, "query")
+    other = wanted.join(aliases(terms, limit).select("concept", "term"), "concept")
+    kept = F.size(F.array_except(qualifiers(F.col("query")), qualifiers(F.col("term")))) == 0
+    return other.filter(kept).select(key, "term").distinct()
+
+
 def subset(terms: DataFrame, wanted: DataFrame) -> DataFrame:
     """All terms of the concepts that any wanted key names."""
     keys = wanted.select(term_key(F.col("wanted")).alias("key")).distinct()

@@ -49,14 +49,19 @@ def top_k(scored: DataFrame, k: int, group: str, score: str, tie: str) -> DataFr
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
-    """``query, doc, score, rank`` of the k best documents with a positive score."""
+def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """``query, doc, score`` of every document with a positive score."""
     tf, df, terms, n, avg_len = _matched(docs, queries, doc, query)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.lit(float(avg_len))))
     part = idf * saturated * F.least(F.col("qtf"), F.lit(MAX_QUERY_TF))
     scored = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return top_k(scored.filter("score > 0"), k, "query", "score", "doc")
+    return scored.filter("score > 0")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
+    """``query, doc, score, rank`` of the k best documents with a positive score."""
+    return top_k(bm25_scores(docs, queries, doc, query), k, "query", "score", "doc")
 
 
 def idf_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:

@@ -18,8 +18,8 @@ def stub(prompt: str) -> str:
 
 
 def cache_key(*parts: str):
-    """SHA-256 of the parts with NUL between them."""
-    return F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256)
+    """SHA-256 of the parts with NUL between them; a null part counts as U+0001, so that no part can be skipped."""
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(F.col(p).cast("string"), F.lit("\1")) for p in parts]).cast("binary"), 256)
 
 
 def complete(requests: DataFrame, completer: Completer, prompt: str = "prompt", attempts: int = 3) -> DataFrame:

@@ -54,15 +54,15 @@ def wilson_interval(spark, sf_dir):
     return r.select("lang", "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-_PAIRED = f"""p AS (SELECT lang, count(*) AS pairs, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS base_only, sum((quality = 0 AND toxic = 1)::INT)::BIGINT AS other_only FROM {_LABELLED} WHERE doc_id % 5 = 0 GROUP BY lang),
+_PAIRED = f"""p AS (SELECT lang, count(*) AS pairs, sum((quality = 1 AND toxic = 0)::INT)::BIGINT AS base_only, sum((quality = 0 AND toxic = 1)::INT)::BIGINT AS other_only FROM {_LABELLED} GROUP BY lang),
 t AS (SELECT *, CASE WHEN base_only + other_only = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(base_only, other_only) + 1),
   lambda i: exp(lgamma(base_only + other_only + 1) - lgamma(i + 1) - lgamma(base_only + other_only - i + 1) - (base_only + other_only) * ln(2::DOUBLE))))) END AS p FROM p)"""
 
 
 @query("paired_exact", f"WITH {_PAIRED} SELECT lang, pairs, base_only, other_only, round(p, 6) AS p_value FROM t")
 def paired_exact(spark, sf_dir):
-    """Exact test of quality against toxicity on every fifth labelled document, by language."""
-    return metrics.paired_counts(_labelled(spark, sf_dir).filter("doc_id % 5 = 0"), ["lang"], "quality", "toxic")
+    """Exact test of quality against toxicity on all labelled documents, by language."""
+    return metrics.paired_counts(_labelled(spark, sf_dir), ["lang"], "quality", "toxic")
 
 
 @query("holm", f"""WITH {_PAIRED}, s AS (SELECT lang, round(p, 6) AS p_value, (count(*) OVER () - row_number() OVER (ORDER BY round(p, 6), lang) + 1) * round(p, 6) AS step FROM t)
@@ -72,19 +72,6 @@ def holm(spark, sf_dir):
     return metrics.holm(tests, "p_value", "lang").select("lang", "p_value", F.round("p_holm", 6).alias("p_holm"))
 
 
-@query("paired_exact_all")
-def paired_exact_all(spark, sf_dir):
-    """Exact test of quality against toxicity on all labelled documents, by language; ``paired_exact`` takes every fifth."""
-    return metrics.paired_counts(_labelled(spark, sf_dir), ["lang"], "quality", "toxic")
-
-
-@query("holm_all")
-def holm_all(spark, sf_dir):
-    """Holm's adjustment of the tests on all labelled documents."""
-    tests = paired_exact_all(spark, sf_dir).select("lang", "p_value")
-    return metrics.holm(tests, "p_value", "lang").select("lang", "p_value", F.round("p_holm", 6).alias("p_holm"))
-
-
 @query("bootstrap_ci", f"""WITH d AS (SELECT lang, quality, b, ('0x' || substr(md5('17:' || b || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {_LABELLED}, range(1, 201) r(b)),
 w AS (SELECT lang, b, quality, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT + (u >= 0.9994058151824183::DOUBLE)::INT + (u >= 0.999916758850712::DOUBLE)::INT AS w FROM d),
 m AS (SELECT lang, b, sum(w * quality)::DOUBLE / nullif(sum(w), 0) AS m FROM w GROUP BY lang, b)

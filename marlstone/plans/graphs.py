@@ -121,3 +121,29 @@ def ancestor_label(spark, sf_dir):
     """The last label that all of a family's paths share above the family."""
     p = _paths(spark, sf_dir)
     return p.groupBy("n_name").agg(F.count(F.lit(1)).alias("members"), F.min(F.element_at("path", 1)).alias("ancestor"))
+
+
+@query("concept_categories", "SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'diagnosis' WHEN 'LARGE' THEN 'anatomy' ELSE CASE WHEN p_size < 25 THEN 'procedure' END END AS category FROM part")
+def concept_categories(spark, sf_dir):
+    """A semantic type's category beats its vocabulary's."""
+    kind = F.when(F.col("p_type") == "SMALL", "Disease or Syndrome").when(F.col("p_type") == "LARGE", "Body Part, Organ, or Organ Component").otherwise("Gene")
+    vocabulary = F.when(F.col("p_size") < 25, "CPT").otherwise("ABC")
+    return table(spark, sf_dir, "part").select("p_partkey", graphs.category(kind, vocabulary, {"CPT": "procedure"}).alias("category"))
+
+
+@query("concept_keys", f"""WITH t AS (SELECT concept, term, source_rank, preferred, {_KEY.format("term")} AS key FROM {_TERMS}), l AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN 'Unheard ' || p_partkey ELSE p_name END AS label FROM part),
+m AS (SELECT label, concept FROM (SELECT label, concept, row_number() OVER (PARTITION BY label ORDER BY source_rank, preferred DESC, length(term) DESC, term, concept) AS n FROM (SELECT *, {_KEY.format("label")} AS key FROM l) JOIN t USING (key)) WHERE n = 1)
+SELECT label, CASE WHEN concept IS NOT NULL THEN 'cui:' || lower(concept) ELSE regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') END AS diagnosis_key FROM l LEFT JOIN m USING (label)""")
+def concept_keys(spark, sf_dir):
+    """Labels by their concept, others by their letters."""
+    label = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Unheard "), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    return graphs.diagnosis_keys(_terms(spark, sf_dir), table(spark, sf_dir, "part").select(label.alias("l")), "l")
+
+
+@query("concept_expansion", f"""WITH t AS (SELECT concept, term, source_rank, preferred, {_KEY.format("term")} AS key FROM {_TERMS}), q AS (SELECT DISTINCT p_size, p_name AS query, {_KEY.format("p_name")} AS key FROM part),
+m AS (SELECT query, concept FROM (SELECT query, concept, row_number() OVER (PARTITION BY query ORDER BY source_rank, preferred DESC, length(term) DESC, term, concept) AS n FROM (SELECT DISTINCT query, key FROM q) JOIN t USING (key)) WHERE n = 1),
+g AS (SELECT concept, term, min(source_rank) AS r, max(preferred) AS p FROM {_TERMS} GROUP BY ALL), a AS (SELECT concept, term FROM (SELECT concept, term, row_number() OVER (PARTITION BY concept ORDER BY r, p DESC, length(term), term) AS place FROM g) WHERE place <= 5)
+SELECT DISTINCT p_size, term FROM q JOIN m USING (query) JOIN a USING (concept)""")
+def concept_expansion(spark, sf_dir):
+    """Other names of the concepts that a group's part names stand for."""
+    return graphs.expand(_terms(spark, sf_dir), table(spark, sf_dir, "part").select("p_size", "p_name"), "p_size", "p_name")

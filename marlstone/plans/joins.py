@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import holds, tokens
+from marlstone.operators.model import cache_key
 from marlstone.plans.ranking import toks
 from marlstone.plans.registry import query, table, texts
 
@@ -140,28 +141,32 @@ def strict_binding(spark, sf_dir):
 
 
 @query("shared_modality_join", """WITH k AS (SELECT user_id, event_type, list_sort(list(DISTINCT (props->>'$.k')::INT % 10)) AS ks FROM events WHERE value > 150 GROUP BY ALL)
-SELECT a.user_id AS a, b.user_id AS b, a.event_type, len(list_intersect(a.ks, b.ks)) AS shared FROM k a JOIN k b ON a.event_type = b.event_type AND a.user_id < b.user_id AND list_has_any(a.ks, b.ks) WHERE a.user_id % 100 = 0""")
+SELECT a.user_id AS a, b.user_id AS b, a.event_type, len(list_intersect(a.ks, b.ks)) AS shared FROM k a JOIN k b ON a.event_type = b.event_type AND a.user_id <> b.user_id AND list_has_any(a.ks, b.ks) WHERE a.user_id % 100 = 0""")
 def shared_modality_join(spark, sf_dir):
-    """Users divisible by 100 against later ones of the same event type whose key sets meet."""
-    k = table(spark, sf_dir, "events").filter("value > 150").groupBy("user_id", "event_type").agg(F.collect_set(F.get_json_object("props", "$.k").cast("int") % 10).alias("ks"))
-    a, b = k.filter("user_id % 100 = 0").select(F.col("user_id").alias("a"), "event_type", F.col("ks").alias("ka")), k.select(F.col("user_id").alias("b"), "event_type", F.col("ks").alias("kb"))
-    met = a.join(b, "event_type").filter((F.col("a") < F.col("b")) & F.arrays_overlap("ka", "kb"))
-    return met.select("a", "b", "event_type", F.size(F.array_intersect("ka", "kb")).cast("long").alias("shared"))
+    """The stated query set, users divisible by 100, against all others of the same event type whose key sets meet."""
+    k = _user_keys(spark, sf_dir)
+    met = k.filter("user_id % 100 = 0").withColumnRenamed("user_id", "a").join(k.withColumnRenamed("user_id", "b"), ["event_type", "k"]).filter("a <> b")
+    return met.groupBy("a", "b", "event_type").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _user_keys(spark, sf_dir):
+    """Distinct (user, type, key): pairs of users meet on type and key, never on the type alone."""
+    return table(spark, sf_dir, "events").filter("value > 150").select("user_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("k")).distinct()
 
 
 @query("shared_modality_pairs")
 def shared_modality_pairs(spark, sf_dir):
     """All pairs of users of the same event type whose key sets meet; ``shared_modality_join`` asks for some users only."""
-    k = table(spark, sf_dir, "events").filter("value > 150").select("user_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("k")).distinct()
+    k = _user_keys(spark, sf_dir)
     met = k.withColumnRenamed("user_id", "a").join(k.withColumnRenamed("user_id", "b"), ["event_type", "k"]).filter("a < b")
     return met.groupBy("a", "b", "event_type").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("cache_misses", "SELECT doc_id, sha256(lang || chr(0) || text) AS cache_key FROM documents WHERE sha256(lang || chr(0) || text) NOT IN (SELECT sha256(lang || chr(0) || text) FROM documents WHERE doc_id % 2 = 0)")
+@query("cache_misses", "SELECT doc_id, sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) AS cache_key FROM documents WHERE sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) NOT IN (SELECT sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) FROM documents WHERE doc_id % 2 = 0)")
 def cache_misses(spark, sf_dir):
     """Requests whose content hash is not among the answers held (those of even ids)."""
     docs = table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", F.sha2(F.concat_ws("\0", "lang", "text").cast("binary"), 256).alias("cache_key"))
+    keyed = docs.select("doc_id", cache_key("lang", "text").alias("cache_key"))
     return keyed.join(keyed.filter("doc_id % 2 = 0").select("cache_key").distinct(), "cache_key", "left_anti").select("doc_id", "cache_key")
 
 

@@ -90,7 +90,7 @@ o AS (SELECT query, source, lang, sum(CASE rn WHEN 1 THEN score WHEN 2 THEN 0.5:
 
 def _scored_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = lexical.bm25(texts(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), 1 << 30)
+    scored = lexical.bm25_scores(texts(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return scored.join(docs.select(F.col("doc_id").alias("doc"), "source", "lang"), "doc")
 
 

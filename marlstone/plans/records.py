@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import binding as B
 from marlstone.functions import text as T
+from marlstone.functions import typed
+from marlstone.operators import answers
 from marlstone.plans.registry import query, table
 
 _KINDS = "(SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN 'Risk Factors' WHEN 'MEDIUM' THEN 'Diagnostic Criteria' WHEN 'LARGE' THEN 'Symptoms' WHEN 'PROMO' THEN 'Exclusion: contraindication' ELSE p_type END AS kind, p_name FROM part)"
@@ -66,19 +68,19 @@ def evidence_namespaces(spark, sf_dir):
     """Identifiers by prefix, in an order in which the shorter knowledge prefix wins."""
     k = F.col("o_orderkey")
     ident = F.concat(F.when(k % 5 == 0, "S-").when(k % 5 == 1, "KFA-").when(k % 5 == 2, "K").when(k % 5 == 3, "P-D").otherwise("X"), k.cast("string"))
-    name = F.when(F.startswith("id", F.lit("S-")), "patient").when(F.startswith("id", F.lit("K")), "knowledge").when(F.startswith("id", F.lit("P-")), "pair").otherwise("other")
-    return table(spark, sf_dir, "orders").select("o_orderkey", ident.alias("id")).select("o_orderkey", name.alias("namespace"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ident.alias("id")).select("o_orderkey", typed.namespace(F.col("id")).alias("namespace"))
 
 
-@query("activation_refill", """WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'P'),
-o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (k > 2)::INT, k, o_orderstatus) AS place FROM r)
-SELECT o_custkey, o_orderkey, place, k > 2 AS refill FROM o WHERE place <= 4""")
+@query("activation_refill", """WITH w AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderkey % 3 = 0 AS named FROM orders),
+c AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey), o_orderstatus) AS n FROM w WHERE named GROUP BY 1, 2),
+r AS (SELECT o_custkey, o_orderstatus, o_orderkey, named, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY NOT named, CASE WHEN named THEN o_orderkey END, o_totalprice DESC, o_orderkey) AS place FROM w JOIN (SELECT o_custkey, o_orderstatus FROM c WHERE n <= 2) USING (o_custkey, o_orderstatus))
+SELECT o_custkey, o_orderstatus, o_orderkey, place, NOT named AS refill FROM r WHERE place <= 2""")
 def activation_refill(spark, sf_dir):
-    """Two pairs of each owner first, refilled with others to four."""
-    o = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
-    k = F.row_number().over(Window.partitionBy("o_custkey", "o_orderstatus").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy((F.col("k") > 2).cast("int"), "k", "o_orderstatus"))
-    return o.withColumn("k", k).withColumn("place", place).filter("place <= 4").select("o_custkey", "o_orderkey", "place", (F.col("k") > 2).alias("refill"))
+    """A customer's first two order states that were named, each with two orders: those named, then its dearest others."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("candidate_id"), F.col("o_orderkey").alias("pair_id"), F.col("o_totalprice").alias("score"))
+    named = o.filter("pair_id % 3 = 0").select("case_id", "candidate_id", "pair_id", F.col("pair_id").alias("rank"), F.col("pair_id").alias("position"))
+    got = answers.activations(named, o, 2, 2)
+    return got.select(F.col("case_id").alias("o_custkey"), F.col("candidate_id").alias("o_orderstatus"), F.col("pair_id").alias("o_orderkey"), "place", "refill")
 
 
 @query("anchor_score", """WITH b AS (SELECT l_suppkey, l_orderkey, arg_max({'p': l_extendedprice, 'q': l_quantity}, ({'p': l_extendedprice, 'n': -l_linenumber})) AS best FROM lineitem GROUP BY ALL)

@@ -41,6 +41,22 @@ def bundle(tables: dict[str, DataFrame], path: str) -> None:
         csv(df, f"{path}/{name}")
 
 
+def manifest(df: DataFrame, path: str) -> None:
+    """A run's manifest, one row, as one JSON file that appears whole or not at all and replaces an older one."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def audit_log(rows: DataFrame, path: str) -> None:
+    """Append rows to a log; each gets a ``request_id`` above all that are there, rising in the rows' order.
+
+    Ids rise but leave gaps between partitions, so no task has to see all rows; one writer at a time.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old = spark.read.parquet(path).agg(F.max("request_id")).first()[0] if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    rows.withColumn("request_id", F.monotonically_increasing_id() + F.lit(0 if old is None else old + 1)).write.mode("append").parquet(path)
+
+
 def markdown(df: DataFrame, columns: list[str], title: str) -> Column:
     """One Markdown row of a report for each row of ``df``; the report joins a bounded summary."""
     return F.concat(F.lit(f"{title} | "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]))

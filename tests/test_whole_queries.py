@@ -18,7 +18,7 @@ def test_paired_tests_take_all_labelled_documents(spark, sf_dir):
         pairs[lang] += 1
         base[lang] += quality == 1 and toxic == 0
         other[lang] += quality == 0 and toxic == 1
-    got = {r["lang"]: r for r in QUERIES["paired_exact_all"](spark, sf_dir).collect()}
+    got = {r["lang"]: r for r in QUERIES["paired_exact"](spark, sf_dir).collect()}
     p = {}
     for lang in pairs:
         n, low = base[lang] + other[lang], min(base[lang], other[lang])
@@ -29,7 +29,7 @@ def test_paired_tests_take_all_labelled_documents(spark, sf_dir):
     for i, k in enumerate(sorted(p, key=lambda k: (round(p[k], 6), k))):
         most = max(most, (len(p) - i) * p[k])
         want[k] = min(1.0, most)
-    holm = {r["lang"]: r["p_holm"] for r in QUERIES["holm_all"](spark, sf_dir).collect()}
+    holm = {r["lang"]: r["p_holm"] for r in QUERIES["holm"](spark, sf_dir).collect()}
     assert set(holm) == set(want) and all(abs(holm[k] - want[k]) < 1e-5 for k in want)
 
 
