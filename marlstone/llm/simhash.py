@@ -36,6 +36,8 @@ _SEED = 42
 _PROBE_COST = 100.0
 #: Thresholds that would probe more values of one partition than this are never chosen.
 _MOST_PROBES = 100_000
+#: Bits of a text's parity; up to about twice as many shingles they tell texts apart before these are compared whole.
+PARITY = 1024
 #: Shingles are ordered by how often about so many documents hold them; the order affects time, not results.
 _SAMPLE = 8192
 _MOST_COMMON = 1 << 20
@@ -495,62 +497,70 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Ite
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``token, key, size`` sorted by the first two, one for each key of every token with several keys."""
-    for token, key, size in _whole_groups(batches):
+    """Of rows ``token, key, size, at`` sorted by the first two, one for each key of every token with several keys."""
+    for token, key, size, at in _whole_groups(batches):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, size = token[new], key[new], size[new]
+        token, key, size, at = token[new], key[new], size[new], at[new]
         same = token[1:] == token[:-1]
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, key, size)], ["token", "key", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, key, size, at)], ["token", "key", "size", "at"])
 
 
 def _size_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs ``u, v`` of the keys of a token whose roots differ and whose sizes allow ``least``; rows are sorted by token, size."""
-    for token, size, key, root in _whole_groups(batches):
+    """Pairs ``u, v`` of the keys of a token whose roots differ and which may share ``least``; rows are sorted by token, size.
+
+    Two sets meet first in the first token that both prefixes have; what either has from there on bounds
+    what they share, as do their sizes and parities.  So a token of many texts that differ gives no
+    pairs, though each two of them are compared.
+    """
+    for token, size, key, root, at, odd in _whole_groups(batches):
+        bits = np.frombuffer(b"".join(odd), np.uint64).reshape(len(odd), -1)
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
-        at = np.cumsum(new) << 32
-        count = np.searchsorted(at + size, at + np.floor(size / least + 1e-6).astype(np.int64), "right") - np.arange(len(token)) - 1
-        ends, done = np.cumsum(count), 0
+        group = np.cumsum(new) << 32
+        count = np.searchsorted(group + size, group + np.floor(size / least + 1e-6).astype(np.int64), "right") - np.arange(len(token)) - 1
+        ends, done, found = np.cumsum(count), 0, []
         while done < len(token):
             before = ends[done - 1] if done else 0
-            to = max(done + 1, int(np.searchsorted(ends, before + (1 << 20), "right")))
+            to = max(done + 1, int(np.searchsorted(ends, before + (1 << 18), "right")))
             n = count[done:to]
             x = np.repeat(np.arange(done, to), n)
             y = x + 1 + np.arange(len(x)) - np.repeat(ends[done:to] - n - before, n)
-            apart = root[x] != root[y]
-            x, y = key[x[apart]], key[y[apart]]
-            if len(x):
-                u, v = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            need = (size[x].astype(np.int64) + size[y]) * (least / (1 + least)) - 1e-9
+            fits = (root[x] != root[y]) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= need)
+            x, y = x[fits], y[fits]
+            for k in range(0, len(x), 1 << 15):
+                i, j = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
+                ok = may_share(bits[i], size[i], bits[j], size[j], least)
+                i, j = key[i[ok]], key[j[ok]]
+                if len(i):
+                    found.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1))
             done = to
+        if found:  # a passage's tokens name the same pairs
+            u, v = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def parity_of(s: np.ndarray) -> bytes:
-    """At least two bits a shingle, each telling whether an odd number of the shingles ``s`` falls on it."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
-    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    """``PARITY`` bits, each telling whether an odd number of the shingles ``s`` falls on it."""
+    odd = np.bincount(((s >> np.uint64(8)) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_share(a: bytes, n: int, b: bytes, m: int, least: float) -> bool:
-    """Whether sets of n and m shingles with parities a and b can share ``least``: each bit that differs takes a shingle that only one set has."""
-    width = min(len(a), len(b)) * 8
-    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
-    d = x ^ y
-    while d.bit_length() > width:
-        d = (d >> width) ^ (d & ((1 << width) - 1))
-    return d.bit_count() <= (n + m) * (1 - least) / (1 + least) + 1e-9
+def may_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles with parities a and b, rows of longs, can share ``least``: each bit that differs takes a shingle that only one set has."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return differ <= (n.astype(np.int64) + m) * ((1 - least) / (1 + least)) + 1e-9
 
 
 def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least: float, n: int) -> DataFrame:
     """Pairs ``u, v`` of text keys of different roots; all pairs that share ``least`` of their shingles are among them.
 
     Exact prefix filter: all sets are put in one order, rare shingles first, and sets that share
-    ``least`` meet in their first ``1 - least``.  Of the pairs that meet, those stay whose parities
-    allow ``least``.  ``roots`` has ``key, root``; ``n`` is about the number of texts.
+    ``least`` meet in their first ``1 - least``.  Of the pairs that meet, those stay whose places in
+    the order and parities allow ``least``.  ``roots`` has ``key, root``; ``n`` is about the number of texts.
     """
     spark = docs.sparkSession
     plain = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -573,30 +583,21 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
             each = np.array([len(t) for t in tokens], np.int64)
             size = np.repeat(np.array([len(s) for s in sets], np.int32), each)
             if len(size):
-                key = np.repeat(b.column(0).to_numpy(), each)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(size)], ["token", "key", "size"])
-
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = plain.mapInArrow(prefixes, "token long, key long, size int").repartition(width, "token").sortWithinPartitions("token", "key")
-    met = materialize(rows.mapInArrow(_shared_rows, "token long, key long, size int"))
-    dealt = met.join(roots, "key").select("token", "size", "key", "root").repartition(width, "token").sortWithinPartitions("token", "size")
-    pairs = materialize(dealt.mapInArrow(lambda batches: _size_pairs(batches, least), "u long, v long").distinct())
+                key, at = np.repeat(b.column(0).to_numpy(), each), np.concatenate([np.arange(k, dtype=np.int32) for k in each])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(size), pa.array(at)], ["token", "key", "size", "at"])
 
     def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles_of(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(map(parity_of, sets), pa.binary())], ["key", "n", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((parity_of(shingles_of(t.as_py(), words)) for t in b.column(1)), pa.binary())], ["key", "odd"])
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [may_share(x, n, y, m, least) for x, n, y, m in zip(*[c.to_pylist() for c in b.columns[2:]])]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["u", "v"])
-
-    wanted = materialize(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct())
-    marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(parities, "key long, n int, odd binary")
-    marks = materialize(marks.groupBy("key").agg(F.first("n").alias("n"), F.first("odd").alias("odd")))
-    a, b = marks.select(F.col("key").alias("u"), F.col("odd").alias("ou"), F.col("n").alias("nu")), marks.select(F.col("key").alias("v"), F.col("odd").alias("ov"), F.col("n").alias("nv"))
-    return materialize(pairs.join(a, "u").join(b, "v").select("u", "v", "ou", "nu", "ov", "nv").mapInArrow(possible, "u long, v long"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = plain.mapInArrow(prefixes, "token long, key long, size int, at int").repartition(width, "token").sortWithinPartitions("token", "key")
+    met = materialize(rows.mapInArrow(_shared_rows, "token long, key long, size int, at int"))
+    wanted = materialize(met.select("key").distinct())
+    marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(parities, "key long, odd binary")
+    marks = materialize(marks.groupBy("key").agg(F.first("odd").alias("odd")).join(roots, "key"))
+    dealt = met.join(marks, "key").select("token", "size", "key", "root", "at", "odd").repartition(width, "token").sortWithinPartitions("token", "size")
+    return materialize(dealt.mapInArrow(lambda batches: _size_pairs(batches, least), "u long, v long").distinct())
 
 
 def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:

@@ -15,6 +15,24 @@ def test_parities_never_refuse_a_close_pair():
             b = np.unique(np.concatenate([a[rng.random(n) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 3 + 1)).astype(np.uint64)]))
             shared = len(np.intersect1d(a, b))
             if shared >= SHARE * (len(a) + len(b) - shared):
-                assert simhash.may_share(simhash.parity_of(a), len(a), simhash.parity_of(b), len(b), SHARE)
+                x, y = (np.frombuffer(simhash.parity_of(v), np.uint64)[None] for v in (a, b))
+                assert simhash.may_share(x, np.array([len(a)]), y, np.array([len(b)]), SHARE).all()
                 none = np.zeros(0, np.uint64)
                 assert np.intersect1d(simhash.prefix_of(a, SHARE, none, none), simhash.prefix_of(b, SHARE, none, none)).size
+
+
+def test_pairs_of_a_token_are_those_that_may_share():
+    """Every close pair comes out once at least; sets that share only a common passage do not."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    passage = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, 40).astype(np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[: len(s) - k], rng.integers(0, 1 << 63, k).astype(np.uint64)])) for s, k in zip(sets, range(2, 30))]
+    none = np.zeros(0, np.uint64)
+    rows = sorted((int(t.view(np.int64)), len(s), k, at) for k, s in enumerate(sets) for at, t in enumerate(simhash.prefix_of(s, SHARE, none, none)))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.int32()), pa.array([simhash.parity_of(sets[r[2]]) for r in rows])], ["token", "size", "key", "root", "at", "odd"])
+    got = {(u, v) for b in simhash._size_pairs(iter([batch]), SHARE) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())}
+    close = {(i, j) for i in range(len(sets)) for j in range(i) if (c := len(np.intersect1d(sets[i], sets[j]))) >= SHARE * (len(sets[i]) + len(sets[j]) - c)}
+    close = {(min(p), max(p)) for p in close}
+    assert len(close) > 5 and close <= got and len(got) < 2 * len(close) + 20
