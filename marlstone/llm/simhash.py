@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import Memo, held, word_lists
-from marlstone.llm.common import let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
+from marlstone.llm.common import BROADCAST_ROWS, let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
 
 BITS = 64
 RADIUS = 3
@@ -496,16 +496,39 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Ite
         yield tuple(map(np.concatenate, zip(*kept)))
 
 
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key, the first column, among a task's rows; a copied text is worked on once a task."""
+    seen: set[int] = set()
+    for b in batches:
+        keys = b.column(0).to_pylist()
+        new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+        if new:
+            yield b if len(new) == len(keys) else b.take(pa.array(new))
+
+
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``token, key, size, at`` sorted by the first two, one for each key of every token with several keys."""
-    for token, key, size, at in _whole_groups(batches):
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, size, at = token[new], key[new], size[new], at[new]
-        same = token[1:] == token[:-1]
+    """Of rows ``token, key, size, at`` sorted by the first two, one for each key of every token with several keys.
+
+    Only a batch and the row before it are held, however many rows a token has.
+    """
+    last, told = None, False
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(cols[0]):
+            continue
+        if last is not None:
+            cols = [np.concatenate(x) for x in zip(last, cols)]
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        cols = [c[new] for c in cols]
+        same = cols[0][1:] == cols[0][:-1]
         several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        known = told and len(several) == 1
+        if told:
+            several[0] = False
+        last, told = [c[-1:] for c in cols], known or bool(several[-1])
         if several.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (token, key, size, at)], ["token", "key", "size", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in cols], ["token", "key", "size", "at"])
 
 
 def _size_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -513,9 +536,9 @@ def _size_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
 
     Two sets meet first in the first token that both prefixes have; what either has from there on bounds
     what they share, as do their sizes and parities.  So a token of many texts that differ gives no
-    pairs, though each two of them are compared.
+    pairs, though each two of them are compared.  Rows of the same ``side`` but 0 meet in another cell.
     """
-    for token, size, key, root, at, odd in _whole_groups(batches):
+    for token, size, key, root, at, odd, side in _whole_groups(batches):
         bits = np.frombuffer(b"".join(odd), np.uint64).reshape(len(odd), -1)
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
@@ -529,7 +552,7 @@ def _size_pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.
             x = np.repeat(np.arange(done, to), n)
             y = x + 1 + np.arange(len(x)) - np.repeat(ends[done:to] - n - before, n)
             need = (size[x].astype(np.int64) + size[y]) * (least / (1 + least)) - 1e-9
-            fits = (root[x] != root[y]) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= need)
+            fits = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 0)) & (np.minimum(size[x] - at[x], size[y] - at[y]) >= need)
             x, y = x[fits], y[fits]
             for k in range(0, len(x), 1 << 15):
                 i, j = x[k : k + (1 << 15)], y[k : k + (1 << 15)]
@@ -555,18 +578,37 @@ def may_share(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, least:
     return differ <= (n.astype(np.int64) + m) * ((1 - least) / (1 + least)) + 1e-9
 
 
-def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least: float, n: int) -> DataFrame:
+def _in_cells(met: DataFrame, cell: int) -> DataFrame:
+    """``met`` with ``side``: rows of a token of over ``cell`` rows go to the cells of a triangular grid, in which each two still meet once.
+
+    ``token`` then names the cell.  Off the diagonal only rows of different sides are to be compared; elsewhere the side is 0.
+    """
+    hot = materialize(met.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).withColumn("cuts", F.ceil(F.col("n") / F.lit(cell)).cast("long")).drop("n"))
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if not found:
+        return met.withColumn("side", F.lit(0))
+    cuts = F.coalesce(F.col("cuts"), F.lit(1).cast("long"))
+    own = met.join(maybe_broadcast(hot, found), "token", "left").withColumn("mine", F.pmod(F.xxhash64("key"), cuts))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)))
+    side = F.when(F.col("other") == F.col("mine"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    name = F.when(F.col("cuts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")))
+    return dealt.select(name.alias("token"), "key", "size", "at", side.alias("side"))
+
+
+def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least: float, n: int, cell: int = CELL) -> DataFrame:
     """Pairs ``u, v`` of text keys of different roots; all pairs that share ``least`` of their shingles are among them.
 
     Exact prefix filter: all sets are put in one order, rare shingles first, and sets that share
     ``least`` meet in their first ``1 - least``.  Of the pairs that meet, those stay whose places in
     the order and parities allow ``least``.  ``roots`` has ``key, root``; ``n`` is about the number of texts.
+    A token in the prefixes of more than ``cell`` texts is dealt to a grid of cells, so that no task
+    compares more than a cell's share.
     """
     spark = docs.sparkSession
     plain = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _first_seen(batches):
             for t in b.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py(), words).view(np.int64))], ["token"])
 
@@ -577,7 +619,7 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
     shared = spark.sparkContext.broadcast((common[order], times[order]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _first_seen(batches):
             sets = [shingles_of(t.as_py(), words) for t in b.column(1)]
             tokens = [prefix_of(s, least, *shared.value) if len(s) else s for s in sets]
             each = np.array([len(t) for t in tokens], np.int64)
@@ -587,7 +629,7 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(size), pa.array(at)], ["token", "key", "size", "at"])
 
     def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _first_seen(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((parity_of(shingles_of(t.as_py(), words)) for t in b.column(1)), pa.binary())], ["key", "odd"])
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -596,7 +638,7 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
     wanted = materialize(met.select("key").distinct())
     marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(parities, "key long, odd binary")
     marks = materialize(marks.groupBy("key").agg(F.first("odd").alias("odd")).join(roots, "key"))
-    dealt = met.join(marks, "key").select("token", "size", "key", "root", "at", "odd").repartition(width, "token").sortWithinPartitions("token", "size")
+    dealt = _in_cells(met, cell).join(marks, "key").select("token", "size", "key", "root", "at", "odd", "side").repartition(width, "token").sortWithinPartitions("token", "size")
     return materialize(dealt.mapInArrow(lambda batches: _size_pairs(batches, least), "u long, v long").distinct())
 
 
