@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import sys
 import types
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+
 _BLANKS = frozenset(b" \t\n\x0b\f\r")
 
 
@@ -37,6 +40,22 @@ def held(key: tuple, make: Callable):
     return cache[key]
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches that gives freed memory back to the system at a task's end.
+
+    A worker waits for its next task beside a JVM that may need the room meanwhile.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 class Memo(dict):
     """Answers of ``make``, at most ``limit`` of them.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import Memo, held
+from marlstone.llm.batches import Memo, held, tidy
 
 #: Pre-tokens whose ids a worker keeps.
 MEMO = 500_000
@@ -164,4 +164,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
                 of_bytes.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return plain.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return plain.mapInArrow(tidy(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import tidy
 from marlstone.llm.common import materialize, maybe_broadcast
 
 #: A gram belongs to a language if its rate there is at least this share of its highest rate.
@@ -73,7 +74,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 words = {}
         yield from (count(w, name) for name, w in words.items() if w)
 
-    return plain.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return plain.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class Filter:
@@ -179,7 +180,7 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", into: tuple[str
             told = [own.predict(t.as_py()) for t in b.column(place)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in told], pa.string()), *[pa.array([x[k] for x in told], pa.float64()) for k in (1, 2)]], [*names, *into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def in_training(crc: Column, folds: int, held_out: int) -> Column:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.batches import Memo, held, word_lists
+from marlstone.llm.batches import Memo, held, tidy, word_lists
 from marlstone.llm.common import BROADCAST_ROWS, let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
 
 BITS = 64
@@ -41,6 +41,8 @@ PARITY = 1024
 #: Shingles are ordered by how often about so many documents hold them; the order affects time, not results.
 _SAMPLE = 8192
 _MOST_COMMON = 1 << 20
+#: Texts whose shingles a task holds at once.
+_ROWS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +82,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             fps = np.array([fingerprint_of(t.as_py(), words) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *(["key"] if key else [])])
 
-    return plain.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long{', key long' if key else ''}")
+    return plain.mapInArrow(tidy(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, fp long{', key long' if key else ''}")
 
 
 def _ball(width: int, radius: int) -> int:
@@ -338,7 +340,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, matrix: tuple[
                     cols = [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), role, np.int8)), *[c.slice(at, 2048).take(pa.array(of)) for c in b.columns]]
                     yield pa.RecordBatch.from_arrays(cols, ["part", "key", "role", *own])
 
-    rows = fps.mapInArrow(probe, f"part int, key long, role byte, fp long{extra}")
+    rows = fps.mapInArrow(tidy(probe), f"part int, key long, role byte, fp long{extra}")
     kept = fps.select("fp").mapInArrow(lambda batches: _own_rows(batches, groups), "part int, key long")
     hot = materialize(kept.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).withColumn("cuts", F.ceil(F.col("n") / F.lit(cell)).cast("int")).drop("n"))
     if hot.limit(1).count():
@@ -380,7 +382,10 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, matrix: tuple[
 
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*order).repartition(width, "part", "key", "cell").sortWithinPartitions("part", "key", "cell")
-    return dealt.mapInArrow(match, "ru long, rv long, u long, v long, bits long" if rooted else "u long, v long")
+    if rooted:
+        return dealt.mapInArrow(tidy(match), "ru long, rv long, u long, v long, bits long")
+    # in one function, as each mapInArrow of a stage has workers of its own
+    return dealt.mapInArrow(tidy(lambda batches: _contract(match(batches))), "u long, v long")
 
 
 def _own_rows(batches: Iterator[pa.RecordBatch], groups: list[list[int]]) -> Iterator[pa.RecordBatch]:
@@ -407,16 +412,18 @@ def _contract(batches: Iterator[pa.RecordBatch], most: int = ONE_TASK) -> Iterat
         yield from flush()
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK, contracted: bool = False) -> DataFrame:
     """``node, root`` of every node of ``edges`` (u, v) but the roots themselves: the smallest node it reaches.
 
-    Each task first replaces its own links by stars.  Up to ``one_task`` links are then joined by one
+    Each task first replaces its own links by stars, unless they are ``contracted``.  Up to ``one_task`` links are then joined by one
     task; more, by alternating large-star and small-star rounds, each written to the shared folder,
     until the set of links no longer changes.  Smallest neighbours are written before they are joined
     back, so that the join reads two plain tables and a hot node's rows can be split.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
-    edges = materialize(edges.mapInArrow(_contract, "u long, v long").distinct())
+    if not contracted:
+        edges = edges.mapInArrow(tidy(_contract), "u long, v long")
+    edges = materialize(edges.distinct())
     if edges.count() <= one_task:
         # rows of a task are few enough to be one run, whatever the batches
         whole = edges.coalesce(1).mapInArrow(lambda batches: _contract(batches, one_task + 1), "u long, v long")
@@ -497,13 +504,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Ite
 
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each key, the first column, among a task's rows; a copied text is worked on once a task."""
+    """The first row of each key, the first column, among a task's rows, in small batches; a copied text is worked on once a task."""
     seen: set[int] = set()
     for b in batches:
         keys = b.column(0).to_pylist()
         new = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
-        if new:
-            yield b if len(new) == len(keys) else b.take(pa.array(new))
+        for at in range(0, len(new), _ROWS):
+            yield b.take(pa.array(new[at : at + _ROWS]))
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -612,7 +619,7 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
             for t in b.column(1):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py(), words).view(np.int64))], ["token"])
 
-    sample = plain.filter(F.pmod(F.col("key"), F.lit(max(1, n // _SAMPLE))) == 0).mapInArrow(every, "token long")
+    sample = plain.filter(F.pmod(F.col("key"), F.lit(max(1, n // _SAMPLE))) == 0).mapInArrow(tidy(every), "token long")
     often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(_MOST_COMMON).toArrow()
     common, times = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
@@ -633,13 +640,13 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((parity_of(shingles_of(t.as_py(), words)) for t in b.column(1)), pa.binary())], ["key", "odd"])
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = plain.mapInArrow(prefixes, "token long, key long, size int, at int").repartition(width, "token").sortWithinPartitions("token", "key")
-    met = materialize(rows.mapInArrow(_shared_rows, "token long, key long, size int, at int"))
+    rows = plain.mapInArrow(tidy(prefixes), "token long, key long, size int, at int").repartition(width, "token").sortWithinPartitions("token", "key")
+    met = materialize(rows.mapInArrow(tidy(_shared_rows), "token long, key long, size int, at int"))
     wanted = materialize(met.select("key").distinct())
-    marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(parities, "key long, odd binary")
+    marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(tidy(parities), "key long, odd binary")
     marks = materialize(marks.groupBy("key").agg(F.first("odd").alias("odd")).join(roots, "key"))
     dealt = _in_cells(met, cell).join(marks, "key").select("token", "size", "key", "root", "at", "odd", "side").repartition(width, "token").sortWithinPartitions("token", "size")
-    return materialize(dealt.mapInArrow(lambda batches: _size_pairs(batches, least), "u long, v long").distinct())
+    return materialize(dealt.mapInArrow(tidy(lambda batches: _size_pairs(batches, least)), "u long, v long").distinct())
 
 
 def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
@@ -674,7 +681,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = materialize(fingerprints(docs.withColumn("__h_key", text_key(F.col(text))), doc_id, text, words, "__h_key"))
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("key").alias("key")))
     matrix = bit_matrix(fps)
-    roots = components(links(fps, radius, matrix=matrix))
+    roots = components(links(fps, radius, matrix=matrix), contracted=True)
 
     def rooted() -> DataFrame:
         return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
