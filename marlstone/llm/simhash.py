@@ -665,11 +665,11 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, wor
     return both.filter(shared >= least * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: tuple[int, ...] = (), least: float = 0.8, verify_words: int = 5) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: tuple[int, ...] = (), least: float = 0.8, verify_words: int = 5, exact: bool | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked, equal ones too; ``component_id`` is the smallest
-    id reachable.  With ``wide``, so are all texts that share at least ``least`` of all their
+    id reachable.  With ``wide`` or ``exact``, so are all texts that share at least ``least`` of all their
     ``verify_words``-word shingles.  Each of ``wide``, in rising order, first links the components whose
     closest fingerprints differ in so many bits at most, if their texts pass; what has joined at fewer
     bits counts as one.  That is quick but misses pairs, so all texts of components that are still apart
@@ -693,7 +693,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = links(materialize(rooted()), reach, matrix=matrix)
         pairs = materialize(near.groupBy("ru", "rv").agg(F.min(F.struct("bits", "u", "v")).alias("best")).select("best.u", "best.v"))
         roots = joined_by(verified(pairs, fps.select(F.col("fp").alias("node"), "key"), docs, text, verify_words, least))
-    if wide:
+    if wide if exact is None else exact:
         keys = materialize(marked.select("fp", "key").distinct().join(rooted(), "fp").select("key", "root"))
         pairs = shared_pairs(docs, keys, text, verify_words, least, matrix[0])
         more = verified(pairs, keys.select(F.col("key").alias("node"), "key"), docs, text, verify_words, least)
