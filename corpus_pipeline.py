@@ -15,8 +15,8 @@ from marlstone.llm.common import documents, materialize, null_safe
 
 #: A text stays if its language's filter holds at least this share of its n-grams.
 MIN_COVER = 0.3
-#: Most texts that share 0.8 of their five-word shingles differ in so many SimHash bits at most; the exact pass after that reach gets the rest.
-WIDE = (8,)
+#: This reach joins most groups of near copies before the exact pass, which gets the rest; it affects time, not results.
+WIDE = (6,)
 #: Stands for a missing id while rows are dealt by it.
 NO_ID = -(1 << 63)
 
@@ -51,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their five-word shingles link too.  Rows of one id are one document, of which one row stays;
     rows without an id, if a component has no other, stay once for each text.
     """
-    found = simhash.near_components(docs, wide=WIDE)
+    found = simhash.near_components(docs, wide=WIDE, exact=True)
     # one plain key, so that the join and the removal of repeated rows share one shuffle of the texts
     key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__d_id")
     keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
