@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from marlstone.sources.readers import spread
 RUN_ROWS = 1024
 #: A relation is broadcast only if it was counted and has at most this many rows of bounded width.
 BROADCAST_ROWS = 20_000
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +67,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{_ROOTS[app]}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs inside deletes its shuffle files when it ends, rather than when the driver next collects garbage.
+
+    Only for runs whose result is written or collected, which read no other run's shuffles.
+    """
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffle files behind it are deleted at once, so a job of many steps needs the disk of one.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import Memo, held, tidy, word_lists
-from marlstone.llm.common import BROADCAST_ROWS, let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
+from marlstone.llm.common import BROADCAST_ROWS, freed_shuffles, let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
 
 BITS = 64
 RADIUS = 3
@@ -620,7 +620,8 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
                 yield pa.RecordBatch.from_arrays([pa.array(shingles_of(t.as_py(), words).view(np.int64))], ["token"])
 
     sample = plain.filter(F.pmod(F.col("key"), F.lit(max(1, n // _SAMPLE))) == 0).mapInArrow(tidy(every), "token long")
-    often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(_MOST_COMMON).toArrow()
+    with freed_shuffles(spark):
+        often = sample.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n")).limit(_MOST_COMMON).toArrow()
     common, times = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(common)
     shared = spark.sparkContext.broadcast((common[order], times[order]))
