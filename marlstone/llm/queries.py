@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import binout, bpe, langid, mixing, ngram, quality, sharding, simhash, sketch, tokencount
+from marlstone.llm import binout, bpe, langid, merkle, minhash, mixing, negatives, ngram, quality, sharding, simhash, sketch, tokencount
 from marlstone.llm.common import documents, id_crc
 
 
@@ -68,6 +68,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_documents(documents(spark, sf_dir))
+
+
+def op12_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(documents(spark, sf_dir))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.usable(vectors, label), F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op4_kneser_ney": op4_kneser_ney,
     "op2_scaled_sketch": op2_scaled_sketch,
@@ -79,6 +93,9 @@ QUERIES = {
     "op1_lpt_sharding": op1_lpt_sharding,
     "op3_systematic_mix": op3_systematic_mix,
     "op8_host_rules": op8_host_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_components": op12_minhash_components,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -120,4 +137,42 @@ b AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) /
 v AS (SELECT source, n + strength AS seen, (k + mean * strength) / (n + strength) AS rate, 3.0 * mean / (1 - mean + 3.0 * mean) AS most FROM h, b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate - 1.645 * sqrt(rate * (1 - rate) / (seen + 1)) <= most AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE f AS (SELECT lang, doc_id, n_chars IS NOT NULL AND xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 7 = 0 AS odd, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+l AS (SELECT lang, doc_id, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+             CASE WHEN odd THEN sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) END AS found FROM f),
+i AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM l),
+up AS (SELECT g, 0 AS level, idx, n, leaf AS h FROM i
+       UNION ALL SELECT g, level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY g, level, idx // 2),
+tops AS (SELECT g, h AS subroot, (SELECT count(DISTINCT g) FROM i) AS n FROM up WHERE n = 1),
+roots AS (SELECT 0 AS level, g AS idx, n, subroot AS h FROM tops
+          UNION ALL SELECT level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM roots WHERE n > 1 GROUP BY level, idx // 2),
+nodes AS (SELECT g, level, idx, n, h FROM up UNION ALL SELECT -1, level, idx, n, h FROM roots),
+steps AS (SELECT g, level, idx, n = 1 AS top, coalesce(lag(h) OVER w, '') AS before, coalesce(lead(h) OVER w, '') AS after FROM nodes WINDOW w AS (PARTITION BY g, level, idx // 2 ORDER BY idx)),
+walk AS (SELECT g AS tree, idx AS row, g, 0 AS level, idx, '' AS proof, coalesce(found, leaf) AS h FROM i
+         UNION ALL
+         SELECT tree, row, CASE WHEN top THEN -1 ELSE w.g END, CASE WHEN top THEN 0 ELSE w.level + 1 END, CASE WHEN top THEN w.g ELSE w.idx // 2 END,
+                CASE WHEN top THEN proof ELSE proof || before || after END, CASE WHEN top THEN w.h ELSE sha256(before || w.h || after) END
+         FROM walk w JOIN steps s ON s.g = w.g AND s.level = w.level AND s.idx = w.idx WHERE NOT (w.g = -1 AND top)),
+ends AS (SELECT w.* FROM walk w JOIN steps s ON w.g = -1 AND s.g = -1 AND s.top AND s.level = w.level)
+SELECT i.doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM i JOIN tops USING (g) JOIN ends e ON e.tree = i.g AND e.row = i.idx, (SELECT h FROM roots WHERE n = 1) r""",
+    "op12_minhash_components": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, q.v FROM r JOIN (SELECT u, v FROM p UNION ALL SELECT v, u FROM p) q ON r.v = q.u),
+c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
+    "op13_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT q.vec_id AS anchor_id, c.vec_id AS id, q.label = c.label AS same, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM a WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank
+      FROM p JOIN a USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
