@@ -93,16 +93,3 @@ def quantities_meet(finding: Column, criterion: Column) -> Column:
     inside = F.exists(wanted, lambda r: F.exists(seen, lambda q: (q["op"] == "=") & ((r["unit"] == "") | (q["unit"] == r["unit"])) & q["value"].between(r["low"], r["high"])))
     return F.when(F.size(wanted) > 0, inside).otherwise(quantity_compatible(seen, stated_quantities(criterion)))
 
-
-def admissible(finding: Column, criterion: Column, found_tokens: Column, wanted_tokens: Column, role_: Column, threshold: float = 0.6) -> Column:
-    """struct(admissible, score): shared tokens cover the criterion, polarity, time and quantities agree.
-
-    A risk factor needs 0.4 of its tokens, any other role ``threshold``; a diagnostic criterion is
-    not met by a historical finding.
-    """
-    score = F.size(F.array_intersect(found_tokens, wanted_tokens)) / F.greatest(F.size(F.array_distinct(wanted_tokens)), F.lit(1))
-    covered = score >= F.when(role_ == "risk_factor", 0.4).otherwise(threshold)
-    in_time = ~((role_ == "diagnostic_criterion") & (temporality(finding) == "historical"))
-    fits = quantities_meet(finding, criterion)
-    ok = covered & (polarity(finding) == polarity(criterion)) & in_time & fits & role_.isin("diagnostic_criterion", "clinical_feature", "risk_factor", "guideline")
-    return F.struct(ok.alias("admissible"), F.round(score, 6).alias("score"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions import binding as B
+from marlstone.functions import atoms as A
+from marlstone.functions.atoms import POLARITY_ONLY
 from marlstone.functions.clinical import binding_tokens
 from marlstone.functions.text import morphologically_compatible
 
-# Tests by their names, the words of a test, and words that say nothing but polarity.
+# Tests by their names, words that assert a diagnosis, and the ends of a patient's clauses.
 TEST_MODALITIES = (
     ("ctpa", r"\b(?:ctpa|ct pulmonary angiograph(?:y|ram))\b"),
     ("cta", r"\b(?:cta|ct angiograph(?:y|ram))\b"),
@@ -28,10 +29,7 @@ TEST_MODALITIES = (
     ("stress_test", r"\b(?:stress test|ett)\b"),
     ("ecg", r"\b(?:ecg|ekg|electrocardiogra(?:m|phy)|tracing)\b"),
 )
-DIAGNOSTIC_TEST = r"(?i)\b(?:ct(?:pa)?|mri|mra|x[- ]?ray|radiograph|ultrasound|echo(?:cardiogram)?|angiograph(?:y|ram)|endoscop(?:y|ic)|egd|colonoscopy|biopsy|pathology|culture|pcr|scan|imaging|spirometr(?:y|ic)|pulmonary function test|pft|stress test|monitoring|tracing)\b"
-POLARITY_ONLY = ("absent", "absence", "denied", "denies", "negative", "normal", "unremarkable", "without")
 ASSERTION = r"(?i)\b(?:diagnos(?:ed|is)|has|have|with|confirmed|present|current|acute)\b"
-CLAUSE = r"(?<=[.!?])\s+|[;\r\n]+"
 PATIENT_CLAUSE = r"(?<=[.!?])\s+|[;:\r\n]+"
 ABNORMAL_LAB = r"(?i)([A-Za-z][A-Za-z0-9/-]{1,30})\s*[-:=]\s*[<>]?\s*\d+(?:\.\d+)?\*"
 
@@ -45,61 +43,83 @@ def test_modalities(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.regexp_like(text, F.lit(f"(?i){p}")), F.lit(n)) for n, p in TEST_MODALITIES]))
 
 
-def _subject(text: Column) -> Column:
-    return F.array_except(binding_tokens(text), F.array(*map(F.lit, POLARITY_ONLY)))
+def _subject(tokens: Column) -> Column:
+    return F.array_except(tokens, F.array(*map(F.lit, POLARITY_ONLY)))
 
 
 def assess(finding: Column, criterion: Column, role: Column) -> Column:
-    """struct(admissible, score) of a finding against a criterion, by binding tokens."""
-    return B.admissible(finding, criterion, binding_tokens(finding), binding_tokens(criterion), role)
+    """A finding's text against a criterion's text: see ``atoms.assess``."""
+    return A.let(A.atom(finding), lambda f: A.let(A.clause_atoms(criterion), lambda c: A.assess(f, c, role)))
+
+
+def authority_of(finding: Column, criterion: Column, candidate: Column, role: Column) -> Column:
+    """What decides a pair of atoms without review: an executed measurement, an asserted test result, a stated absence or a named current diagnosis; else ``semantic_review``.
+
+    ``criterion`` has the clause atoms; the best clause decides.  ``candidate`` is the diagnosis as an atom.
+    """
+
+    def decide(told: Column) -> Column:
+        def of(clause: Column) -> Column:
+            shared = F.size(F.array_intersect(_subject(finding["tokens"]), _subject(clause["tokens"]))) > 0
+            measured = (F.size(clause["quantities"]) > 0) & (F.size(finding["quantities"]) > 0) & shared
+            own, wanted = test_modalities(finding["text"]), test_modalities(clause["text"])
+            now = (finding["polarity"] == "present") & (finding["temporality"] != "historical")
+            shown = (F.size(own) > 0) & (own == wanted) & now & finding["completed"] & shared
+            named = (F.size(candidate["tokens"]) > 0) & (F.size(F.array_except(candidate["tokens"], finding["tokens"])) == 0)
+            review = F.lit("semantic_review")
+            return (
+                F.when(~(told["admissible"] & (role == "diagnostic_criterion")), review)
+                .when(measured, "exact_measurement")
+                .when((F.size(own) > 0) | (F.size(wanted) > 0), F.when(shown, "exact_positive_test").otherwise(review))
+                .when((finding["polarity"] == "absent") & (clause["polarity"] == "absent") & shared, "explicit_negation")
+                .when(named & F.regexp_like(finding["text"], F.lit(ASSERTION)) & now, "explicit_current_diagnosis")
+                .otherwise(review)
+            )
+
+        return A.let(F.get(criterion, told["clause"]), of)
+
+    return A.let(A.assess(finding, criterion, role), decide)
 
 
 def authority(finding: Column, criterion: Column, candidate: Column, role: Column) -> Column:
-    """What decides the pair without review: an executed measurement, an asserted test result, a stated absence or a named current diagnosis; else ``semantic_review``."""
-    shared = F.size(F.array_intersect(_subject(finding), _subject(criterion))) > 0
-    measured = (F.size(B.stated_quantities(criterion)) > 0) & (F.size(B.stated_quantities(finding)) > 0) & shared
-    own, wanted = test_modalities(finding), test_modalities(criterion)
-    now = (B.polarity(finding) == "present") & (B.temporality(finding) != "historical")
-    shown = (F.size(own) > 0) & (own == wanted) & now & B.completed_result(finding) & shared
-    named = binding_tokens(candidate)
-    asserted = (F.size(named) > 0) & (F.size(F.array_except(named, binding_tokens(finding))) == 0) & F.regexp_like(finding, F.lit(ASSERTION)) & now
-    review = F.lit("semantic_review")
-    return (
-        F.when(~(assess(finding, criterion, role)["admissible"] & (role == "diagnostic_criterion")), review)
-        .when(measured, "exact_measurement")
-        .when((F.size(own) > 0) | (F.size(wanted) > 0), F.when(shown, "exact_positive_test").otherwise(review))
-        .when((B.polarity(finding) == "absent") & (B.polarity(criterion) == "absent") & shared, "explicit_negation")
-        .when(asserted, "explicit_current_diagnosis")
-        .otherwise(review)
-    )
+    """``authority_of`` the texts."""
+    return A.let(A.atom(finding), lambda f: A.let(A.clause_atoms(criterion), lambda c: authority_of(f, c, A.atom(candidate), role)))
 
 
-def family_test(finding: Column, family: Column) -> Column:
-    """struct(admissible, score): a completed, current, positive test that names a family; good for the family only."""
-    wanted, have = F.array_distinct(binding_tokens(family)), binding_tokens(finding)
-    matched = F.filter(wanted, lambda w: F.exists(have, lambda t: morphologically_compatible(w, t)))
-    part = F.size(matched) / F.greatest(F.size(wanted), F.lit(1))
-    now = (B.polarity(finding) == "present") & (B.temporality(finding) != "historical")
-    ok = now & (part >= 0.75) & F.regexp_like(finding, F.lit(DIAGNOSTIC_TEST)) & B.completed_result(finding)
+def family_test_of(finding: Column, family: Column) -> Column:
+    """struct(admissible, score) of atoms: a completed, current, positive test that names a family by concept or by three in four of its words; good for the family only."""
+    matched = F.filter(family["tokens"], lambda w: F.exists(finding["tokens"], lambda t: morphologically_compatible(w, t)))
+    part = F.size(matched) / F.greatest(F.size(family["tokens"]), F.lit(1))
+    now = (finding["polarity"] == "present") & (finding["temporality"] != "historical")
+    ok = now & (F.arrays_overlap(finding["concepts"], family["concepts"]) | (part >= 0.75)) & finding["names_test"] & finding["completed"]
     return F.struct(ok.alias("admissible"), F.when(ok, 1.0).otherwise(F.round(part, 6)).alias("score"))
 
 
-def asserts_diagnosis(finding: Column, criterion: Column, diagnosis: Column) -> Column:
-    """Finding, criterion and diagnosis state one proposition: of each two neighbours one's words hold the other's."""
+def family_test(finding: Column, family: Column) -> Column:
+    """``family_test_of`` the texts."""
+    return A.let(A.atom(finding), lambda f: A.let(A.atom(family), lambda g: family_test_of(f, g)))
+
+
+def asserts_diagnosis_of(finding: Column, criterion: Column, diagnosis: Column) -> Column:
+    """Three atoms state one proposition: each two neighbours share a concept, or one's words hold the other's."""
 
     def same(a: Column, b: Column) -> Column:
-        x, y = _subject(a), _subject(b)
+        x, y = _subject(a["tokens"]), _subject(b["tokens"])
         inside = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
-        return (F.size(x) > 0) & (F.size(y) > 0) & inside
+        return F.arrays_overlap(a["concepts"], b["concepts"]) | ((F.size(x) > 0) & (F.size(y) > 0) & inside)
 
-    now = (B.polarity(finding) == "present") & (B.polarity(criterion) == "present") & (B.temporality(finding) != "historical")
+    now = (finding["polarity"] == "present") & (criterion["polarity"] == "present") & (finding["temporality"] != "historical")
     return now & same(finding, criterion) & same(criterion, diagnosis)
 
 
+def asserts_diagnosis(finding: Column, criterion: Column, diagnosis: Column) -> Column:
+    """``asserts_diagnosis_of`` the texts."""
+    return A.let(A.atom(finding), lambda f: A.let(A.atom(criterion), lambda c: A.let(A.atom(diagnosis), lambda d: asserts_diagnosis_of(f, c, d))))
+
+
 def atomic_criteria(text: Column) -> Column:
     """The clauses of a criterion, flattened; the whole text if it has none."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE), _flat), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.coalesce(text, F.lit(""))))
+    return A.clauses(text)
 
 
 def patient_spans(text: Column) -> Column:

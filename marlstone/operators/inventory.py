@@ -83,21 +83,6 @@ def family_inventory(facts: DataFrame, case: str, family: str, most: int = 8) ->
     return f.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
-def shortlist(findings: DataFrame, facts: DataFrame, case: str, family: str, most: int = 3) -> DataFrame:
-    """For each family of a case the ``most`` facts that its findings cover best, on at least one shared token.
-
-    ``findings`` has the case, ``finding_id`` and ``tokens``; ``facts`` the case, family, ``fact_id`` and
-    ``tokens``.  They meet on (case, token), so no finding is compared with facts it shares nothing with.
-    """
-    a = findings.select(case, "finding_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    b = facts.select(case, family, "fact_id", F.size(F.array_distinct("tokens")).alias("__n"), F.explode(F.array_distinct("tokens")).alias("token"))
-    met = a.join(b, [case, "token"]).groupBy(case, family, "fact_id", "finding_id", "__n").agg(F.count(F.lit(1)).alias("__c"))
-    best = met.groupBy(case, family, "fact_id").agg(F.max(F.struct((F.col("__c") / F.col("__n")).alias("s"), (-F.col("finding_id")).alias("f"))).alias("__b"))
-    rows = best.select(case, family, "fact_id", (-F.col("__b.f")).alias("finding_id"), F.round("__b.s", 6).alias("cover"))
-    order = Window.partitionBy(case, family).orderBy(F.col("cover").desc(), "fact_id")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-
-
 def atomic_facts(facts: DataFrame) -> DataFrame:
     """Each clause of a fact as a fact of its own, named by its parent, node, place and text."""
     atoms = facts.select("*", F.posexplode(typed.atomic_criteria(F.col("text"))).alias("__i", "atom"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import binding as B
 from marlstone.functions import typed
 from marlstone.operators import audits, inventory
 from marlstone.plans.registry import query, table
@@ -226,19 +225,6 @@ def family_inventory(spark, sf_dir):
     return inventory.family_inventory(facts, "l_suppkey", "p_type", 3)
 
 
-@query("family_shortlist", """WITH c AS (SELECT conv_id, turn, role, list_distinct(string_split(lower(text), ' ')) AS t FROM conversations),
-a AS (SELECT conv_id, turn, unnest(t) AS w FROM c WHERE role = 'user'), b AS (SELECT conv_id, turn % 3 AS family, turn, len(t) AS n, unnest(t) AS w FROM c WHERE role = 'assistant'),
-m AS (SELECT b.conv_id, family, b.turn AS fact_id, a.turn AS finding_id, count(*)::DOUBLE / any_value(n) AS s FROM a JOIN b USING (conv_id, w) GROUP BY ALL),
-f AS (SELECT conv_id, family, fact_id, arg_max(finding_id, (s, -finding_id)) AS finding_id, round(max(s), 6) AS cover FROM m GROUP BY ALL)
-SELECT conv_id, family, fact_id, finding_id, cover, place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, family ORDER BY cover DESC, fact_id) AS place FROM f) WHERE place <= 2""".replace("arg_max(finding_id, (s, -finding_id))", "arg_max(finding_id, {'s': s, 'f': -finding_id})"))
-def family_shortlist(spark, sf_dir):
-    """For each conversation the answers, by place in three families, that its questions cover best."""
-    c = table(spark, sf_dir, "conversations").withColumn("tokens", F.split(F.lower("text"), " "))
-    findings = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("finding_id"), "tokens")
-    facts = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") % 3).alias("family"), F.col("turn").alias("fact_id"), "tokens")
-    return inventory.shortlist(findings, facts, "conv_id", "family", 2)
-
-
 @query("hybrid_routes", f"""WITH x AS (SELECT *, CASE p_type WHEN 'PROMO' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS weight, l_discount >= 0.09 AS met, l_returnflag = 'R' AND l_quantity > 45 AS event FROM {_FACTS}),
 s AS (SELECT l_suppkey, k, r FROM (SELECT l_suppkey, k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, k) AS r FROM x) WHERE r <= 64), d AS (SELECT l_suppkey, k, r FROM (SELECT l_suppkey, k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, k) AS r FROM x) WHERE r <= 64),
 f AS (SELECT l_suppkey, k, (coalesce(1.0::DOUBLE / (20.0::DOUBLE + s.r), 0) + coalesce(1.0::DOUBLE / (20.0::DOUBLE + d.r), 0)) * weight + CASE WHEN met THEN 0.08::DOUBLE ELSE 0 END AS score FROM (SELECT coalesce(s.l_suppkey, d.l_suppkey) AS l_suppkey, coalesce(s.k, d.k) AS k, s.r AS sr, d.r AS dr FROM s FULL JOIN d ON s.l_suppkey = d.l_suppkey AND s.k = d.k) j JOIN x USING (l_suppkey, k) LEFT JOIN s USING (l_suppkey, k) LEFT JOIN d USING (l_suppkey, k)),
@@ -260,50 +246,3 @@ def hybrid_routes(spark, sf_dir):
     raised = inventory.structured_floor(fused, told, ["l_suppkey", "k"], ["l_suppkey"]).join(facts.select("l_suppkey", "k", "p_brand", "p_type"), ["l_suppkey", "k"])
     routes = inventory.hybrid_candidates(raised, ["l_suppkey"], "p_brand", "p_type", "k", (F.col("p_type") == "PROMO").cast("double"), 48, 5, 8)
     return routes.select("l_suppkey", "p_brand", "p_type", "route")
-
-
-_PAIRS = (
-    ("Troponin 45 ng/ml today", "Troponin at least 40 ng/ml", "myocardial infarction", "exact_measurement"),
-    ("Troponin 35 ng/ml today", "Troponin at least 40 ng/ml", "myocardial infarction", "semantic_review"),
-    ("CT scan showed pulmonary embolism", "CT pulmonary embolism", "pulmonary embolism", "exact_positive_test"),
-    ("CT scan ordered for pulmonary embolism", "CT pulmonary embolism", "pulmonary embolism", "semantic_review"),
-    ("Denies chest pain", "absence of chest pain", "myocardial infarction", "explicit_negation"),
-    ("Patient has acute asthma", "asthma", "asthma", "explicit_current_diagnosis"),
-    ("Patient reports asthma symptoms", "asthma", "asthma", "semantic_review"),
-    ("History of asthma", "asthma", "asthma", "semantic_review"),
-)
-
-
-def _pairs(spark, sf_dir):
-    at = (F.col("o_orderkey") % len(_PAIRS)).cast("int")
-    pick = lambda k: F.get(F.array(*[F.lit(p[k]) for p in _PAIRS]), at)
-    return table(spark, sf_dir, "orders").select("o_orderkey", pick(0).alias("finding"), pick(1).alias("criterion"), pick(2).alias("candidate"))
-
-
-@query("binding_authority", f"SELECT o_orderkey, [{', '.join(repr(p[3]) for p in _PAIRS)}][1 + o_orderkey % {len(_PAIRS)}] AS authority FROM orders")
-def binding_authority(spark, sf_dir):
-    """What decides a finding and a criterion without review."""
-    f, c, d = F.col("finding"), F.col("criterion"), F.col("candidate")
-    return _pairs(spark, sf_dir).select("o_orderkey", typed.authority(f, c, d, F.lit("diagnostic_criterion")).alias("authority"))
-
-
-@query("asserted_diagnoses", f"SELECT o_orderkey, o_orderkey % {len(_PAIRS)} IN (2, 3, 5, 6) AS asserted FROM orders")
-def asserted_diagnoses(spark, sf_dir):
-    """Whether finding, criterion and diagnosis state one thing."""
-    f, c, d = F.col("finding"), F.col("criterion"), F.col("candidate")
-    return _pairs(spark, sf_dir).select("o_orderkey", typed.asserts_diagnosis(f, c, d).alias("asserted"))
-
-
-@query("family_tests", f"SELECT o_orderkey, o_orderkey % {len(_PAIRS)} = 2 AS admissible, [0.0, 0.0, 1.0, 1.0, 0.0, 1.0, 1.0, 1.0][1 + o_orderkey % {len(_PAIRS)}]::DOUBLE AS score FROM orders")
-def family_tests(spark, sf_dir):
-    """Completed tests that name the family."""
-    t = typed.family_test(F.col("finding"), F.col("candidate"))
-    return _pairs(spark, sf_dir).select("o_orderkey", t["admissible"].alias("admissible"), t["score"].alias("score"))
-
-
-@query("range_binding", """SELECT o_orderkey, (o_orderkey % 200) BETWEEN 120 AND 140 AND o_orderkey % 3 = 0 AS in_range, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 200) > 130 ELSE FALSE END AS above FROM orders""")
-def range_binding(spark, sf_dir):
-    """Pressures, two in three without the unit, against a range and a threshold."""
-    k = F.col("o_orderkey")
-    finding = F.concat(F.lit("pressure "), (k % 200).cast("string"), F.when(k % 3 == 0, " mmHg").otherwise(""))
-    return table(spark, sf_dir, "orders").select("o_orderkey", B.quantities_meet(finding, F.lit("pressure 120-140 mmHg")).alias("in_range"), B.quantities_meet(finding, F.lit("pressure above 130 mmHg")).alias("above"))

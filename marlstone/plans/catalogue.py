@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import audits, bundles, evaluation, graphs, joins, ranking, readings, records, streams, texts, vectors  # noqa: F401  registers
+from marlstone.plans import audits, binding, bundles, evaluation, graphs, joins, ranking, readings, records, streams, texts, vectors  # noqa: F401  registers
 from marlstone.plans.registry import ORACLE, QUERIES
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import binding as B
-from marlstone.functions import text as T
 from marlstone.functions import typed
 from marlstone.operators import answers
 from marlstone.plans.registry import query, table
@@ -53,16 +52,6 @@ def clinical_atoms(spark, sf_dir):
     return _findings(spark, sf_dir).select("o_orderkey", B.polarity(f).alias("polarity"), B.temporality(f).alias("temporality"), B.completed_result(f).alias("completed"), F.coalesce(first["value"], F.lit(-1.0)).alias("first_value"), F.coalesce(first["op"], F.lit("")).alias("op"))
 
 
-@query("typed_binding", f"""WITH f AS (SELECT o_orderkey, finding, o_orderkey % 6 AS kind, nullif(regexp_extract(finding, '(\\d+(\\.\\d+)?)', 1), '')::DOUBLE AS v FROM {_FINDINGS})
-SELECT o_orderkey, round(CASE WHEN kind IN (1, 2, 5) THEN 1.0::DOUBLE WHEN kind = 4 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 6) AS score, kind IN (2, 4, 5) AND v >= 100 AS admissible FROM f""")
-def typed_binding(spark, sf_dir):
-    """Whether each finding satisfies "pressure at least 100 mmHg" as a diagnostic criterion."""
-    criterion = F.lit("pressure at least 100 mmHg")
-    words = lambda c: F.filter(T.tokens(c), lambda x: ~F.regexp_like(x, F.lit("^[0-9]+$")) & ~x.isin("least"))
-    bound = B.admissible(F.col("finding"), criterion, words(F.col("finding")), words(criterion), F.lit("diagnostic_criterion"))
-    return _findings(spark, sf_dir).select("o_orderkey", bound.alias("b")).select("o_orderkey", "b.score", "b.admissible")
-
-
 @query("evidence_namespaces", """SELECT o_orderkey, CASE WHEN starts_with(id, 'S-') THEN 'patient' WHEN starts_with(id, 'K') THEN 'knowledge' WHEN starts_with(id, 'P-') THEN 'pair' ELSE 'other' END AS namespace FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'S-' WHEN 1 THEN 'KFA-' WHEN 2 THEN 'K' WHEN 3 THEN 'P-D' ELSE 'X' END || o_orderkey AS id FROM orders)""")
 def evidence_namespaces(spark, sf_dir):
     """Identifiers by prefix, in an order in which the shorter knowledge prefix wins."""
