@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
@@ -81,6 +82,31 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+#: Scratch folders of each ``settled`` step that is under way, in this thread.
+_STEPS = threading.local()
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write what ``build`` returns and delete the scratch tables made for it, which nothing else may read."""
+    steps = _STEPS.__dict__.setdefault("open", [])
+    steps.append([])
+    try:
+        df = build()
+    except BaseException:
+        _delete(spark, steps.pop())
+        raise
+    used = steps.pop()
+    made = materialize(df)
+    _delete(spark, used)
+    return made
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
@@ -88,6 +114,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
+    if steps := _STEPS.__dict__.get("open"):
+        steps[-1].append(path)
     with freed_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

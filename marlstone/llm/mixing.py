@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize, maybe_broadcast, null_safe, rank_by_class, word_array
+from marlstone.llm.common import materialize, maybe_broadcast, null_safe, rank_by_class, settled, word_array
 
 WEIGHTS = (1, 2, 3)
 MAX_COPIES = 3
@@ -43,8 +45,9 @@ def offset_of(source: Column, seed: str = SEED) -> Column:
     return F.conv(digest, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def word_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"))
+def word_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, source, size`` in words of every row, and the columns ``carry``."""
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(word_array(F.col(text))).cast("long").alias("size"), *carry)
 
 
 def _expected(left: Column, rest: Column) -> Column:
@@ -75,8 +78,12 @@ def mix(sized: DataFrame, seed: str = SEED) -> DataFrame:
     document takes too much or too little is made up for by the shorter ones.
     A null source is a source; null or empty texts have size 0; rows of one id are told apart by
     nothing but their order; a source without words has target 0 and no copies; no rows give none.
-    Other columns are ignored.
+    Other columns pass through.
     """
+    return settled(sized.sparkSession, lambda: _mix(sized, seed))
+
+
+def _mix(sized: DataFrame, seed: str) -> DataFrame:
     sized = materialize(sized)
     targets = materialize(source_targets(sized))
     few = targets.count()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.batches import Memo, held, tidy, word_lists
-from marlstone.llm.common import BROADCAST_ROWS, freed_shuffles, let, lower_ascii, materialize, maybe_broadcast, null_safe, word_array
+from marlstone.llm.common import BROADCAST_ROWS, freed_shuffles, let, lower_ascii, materialize, maybe_broadcast, null_safe, settled, word_array
 
 BITS = 64
 RADIUS = 3
@@ -420,6 +420,10 @@ def components(edges: DataFrame, one_task: int = ONE_TASK, contracted: bool = Fa
     until the set of links no longer changes.  Smallest neighbours are written before they are joined
     back, so that the join reads two plain tables and a hot node's rows can be split.
     """
+    return settled(edges.sparkSession, lambda: _components(edges, one_task, contracted))
+
+
+def _components(edges: DataFrame, one_task: int, contracted: bool) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     if not contracted:
         edges = edges.mapInArrow(tidy(_contract), "u long, v long")
@@ -427,7 +431,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK, contracted: bool = Fa
     if edges.count() <= one_task:
         # rows of a task are few enough to be one run, whatever the batches
         whole = edges.coalesce(1).mapInArrow(lambda batches: _contract(batches, one_task + 1), "u long, v long")
-        return materialize(whole.select(F.col("u").alias("node"), F.col("v").alias("root")))
+        return whole.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     while True:
         sign = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -611,6 +615,10 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
     A token in the prefixes of more than ``cell`` texts is dealt to a grid of cells, so that no task
     compares more than a cell's share.
     """
+    return settled(docs.sparkSession, lambda: _shared_pairs(docs, roots, text, words, least, n, cell))
+
+
+def _shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least: float, n: int, cell: int) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
@@ -647,7 +655,7 @@ def shared_pairs(docs: DataFrame, roots: DataFrame, text: str, words: int, least
     marks = plain.join(maybe_broadcast(wanted, wanted.count()), "key", "left_semi").mapInArrow(tidy(parities), "key long, odd binary")
     marks = materialize(marks.groupBy("key").agg(F.first("odd").alias("odd")).join(roots, "key"))
     dealt = _in_cells(met, cell).join(marks, "key").select("token", "size", "key", "root", "at", "odd", "side").repartition(width, "token").sortWithinPartitions("token", "size")
-    return materialize(dealt.mapInArrow(tidy(lambda batches: _size_pairs(batches, least)), "u long, v long").distinct())
+    return dealt.mapInArrow(tidy(lambda batches: _size_pairs(batches, least)), "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
@@ -655,6 +663,10 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, wor
 
     ``names`` has ``node, key``: the key of the text a node stands for; only texts of some pair are read whole.
     """
+    return settled(docs.sparkSession, lambda: _verified(pairs, names, docs, text, words, least))
+
+
+def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
     nodes = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(names, "node"))
     plain = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     wanted = maybe_broadcast(nodes.select("key").distinct(), nodes.count())
@@ -667,7 +679,7 @@ def verified(pairs: DataFrame, names: DataFrame, docs: DataFrame, text: str, wor
 
 
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, wide: tuple[int, ...] = (), least: float = 0.8, verify_words: int = 5, exact: bool | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``.
+    """``doc_id, fp, component_id, key, root`` of every row of ``docs``; ``key`` is the text's, ``root`` the same throughout a component.
 
     Fingerprints within ``radius`` bits are linked, equal ones too; ``component_id`` is the smallest
     id reachable.  With ``wide`` or ``exact``, so are all texts that share at least ``least`` of all their
@@ -679,6 +691,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     get their component's smallest id that isn't null; repeated rows get one answer each; no rows
     give none.  Other columns are ignored.
     """
+    return settled(docs.sparkSession, lambda: _near_components(docs, doc_id, text, words, radius, wide, least, verify_words, wide if exact is None else exact))
+
+
+def _near_components(docs: DataFrame, doc_id: str, text: str, words: int, radius: int, wide: tuple[int, ...], least: float, verify_words: int, exact) -> DataFrame:
     marked = materialize(fingerprints(docs.withColumn("__h_key", text_key(F.col(text))), doc_id, text, words, "__h_key"))
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("key").alias("key")))
     matrix = bit_matrix(fps)
@@ -694,7 +710,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = links(materialize(rooted()), reach, matrix=matrix)
         pairs = materialize(near.groupBy("ru", "rv").agg(F.min(F.struct("bits", "u", "v")).alias("best")).select("best.u", "best.v"))
         roots = joined_by(verified(pairs, fps.select(F.col("fp").alias("node"), "key"), docs, text, verify_words, least))
-    if wide if exact is None else exact:
+    if exact:
         keys = materialize(marked.select("fp", "key").distinct().join(rooted(), "fp").select("key", "root"))
         pairs = shared_pairs(docs, keys, text, verify_words, least, matrix[0])
         more = verified(pairs, keys.select(F.col("key").alias("node"), "key"), docs, text, verify_words, least)
@@ -702,5 +718,5 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         roots = joined_by(more.join(u, "u").join(v, "v").select("ru", "rv").distinct())
     joined = materialize(rooted())
     lowest = materialize(joined.groupBy("root").agg(F.min("low").alias("component_id")))
-    named = joined.join(lowest, "root").select("fp", "component_id")
-    return null_safe(marked.select("doc_id", "fp"), named, ["fp"])
+    named = joined.join(lowest, "root").select("fp", "component_id", "root")
+    return null_safe(marked.select("doc_id", "fp", "key"), named, ["fp"]).select("doc_id", "fp", "component_id", "key", "root")
