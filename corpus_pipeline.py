@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, langid, mixing, quality, simhash
-from marlstone.llm.common import documents, materialize, null_safe
+from marlstone.llm.common import documents, materialize, maybe_broadcast, null_safe
 
 #: A text stays if its language's filter holds at least this share of its n-grams.
 MIN_COVER = 0.3
 #: This reach joins most groups of near copies before the exact pass, which gets the rest; it affects time, not results.
 WIDE = (6,)
-#: Stands for a missing id while rows are dealt by it.
-NO_ID = -(1 << 63)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,26 +43,47 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash component.
+    """Keep one document of each SimHash component: the smallest id's, of its texts the one of the smallest key.
 
     Fingerprints of three-word shingles link at three bits; at any distance, texts that share 0.8 of
-    their five-word shingles link too.  Rows of one id are one document, of which one row stays;
-    rows without an id, if a component has no other, stay once for each text.
+    their five-word shingles link too.  Rows without an id take part, and stay only for components that have no other.
+    Of rows alike in id and text the one of the smallest hash of its other columns stays.
     """
     found = simhash.near_components(docs, wide=WIDE, exact=True)
-    # one plain key, so that the join and the removal of repeated rows share one shuffle of the texts
-    key = F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("__d_id")
-    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.select("*", key).join(keepers, "__d_id", "left_semi")
-    kept = kept.withColumn("__d_text", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return kept.dropDuplicates(["__d_id", "__d_text"]).select(*docs.columns)
+    each = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("__d_rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "__d_rows")).alias("f")
+    keepers = materialize(each.groupBy("root").agg(first).select("f.doc_id", F.col("f.key").alias("__d_key"), "f.__d_rows"))
+    marked = docs.withColumn("__d_key", simhash.text_key(F.col("text")))
+    return one_of_each(marked, keepers, ["doc_id", "__d_key"], "__d_rows", docs.columns).select(*docs.columns)
+
+
+def one_of_each(rows: DataFrame, wanted: DataFrame, key: list[str], times: str, columns: list[str]) -> DataFrame:
+    """The row of each wanted ``key``, with the other columns of ``wanted``.
+
+    Where ``times`` says that several rows have the key, the one of the smallest hash of the columns of ``documents``
+    besides id and text; only these are gathered, and only if there are any.
+    """
+    single = null_safe(rows, wanted.filter(F.col(times) == 1), key)
+    repeated = wanted.filter(F.col(times) > 1)
+    n = repeated.count()
+    if not n:
+        return single.select(*columns, *[c for c in wanted.columns if c not in columns])
+    more = [c for c in wanted.columns if c not in columns]
+    others = F.xxhash64(*[F.col(c) for c in ("source", "lang", "n_chars") if c in columns], F.lit(0))
+    found = null_safe(rows, maybe_broadcast(repeated, n), key)
+    whole = F.struct(*[F.col(c) for c in [*columns, *more]])
+    return single.select(*columns, *more).unionByName(found.groupBy(*key).agg(F.min_by(whole, others).alias("__row")).select("__row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents so that each source's words come near its target."""
-    copies = mixing.mix(mixing.word_sizes(docs)).groupBy("doc_id").agg(F.max("copies").alias("__m_copies"))
-    kept = copies.filter("__m_copies > 0")
-    joined = null_safe(docs, kept, ["doc_id"])
+    """Repeat or drop documents so that each source's words come near its target.
+
+    Rows alike in id, source and text are told apart by nothing, so one of them stands for all their copies.
+    """
+    key = ["doc_id", "source", "__m_key"]
+    marked = docs.withColumn("__m_key", simhash.text_key(F.col("text")))
+    copies = mixing.mix(mixing.word_sizes(marked, carry=["__m_key"])).groupBy(*key).agg(F.sum("copies").alias("__m_copies"), F.count(F.lit(1)).alias("__m_rows"))
+    joined = one_of_each(marked, materialize(copies.filter("__m_copies > 0")), key, "__m_rows", docs.columns)
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m_copies")))
     return joined.withColumn("__m_copy", times).select(*docs.columns)
 
