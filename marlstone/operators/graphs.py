@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import lexical_key, look_up, qualifiers, term_key
+from marlstone.sources.scratch import written
 
 
 def path_distances(paths: DataFrame, path: str) -> DataFrame:
@@ -30,6 +31,67 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return found
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """``ancestor, node, distance``: every node below every other at any depth, by the fewest steps; ``edges`` is (parent, child).
+
+    Paths double in each round, so a chain of n edges takes log n rounds, each written, until no new pair shows.
+    A cycle is an error that names some of its nodes.
+    """
+    found = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("distance")).distinct())
+    size = found.count()
+    while True:
+        loop = found.filter("ancestor = node").select("node").limit(5).collect()
+        if loop:
+            raise ValueError(f"edges form a cycle through {sorted(r['node'] for r in loop)}")
+        above, below = found.select("ancestor", F.col("node").alias("via"), F.col("distance").alias("a")), found.select(F.col("ancestor").alias("via"), "node", F.col("distance").alias("b"))
+        longer = above.join(below, "via").select("ancestor", "node", (F.col("a") + F.col("b")).alias("distance"))
+        found = written(found.union(longer).groupBy("ancestor", "node").agg(F.min("distance").alias("distance")))
+        grown = found.count()
+        if grown == size:
+            return found
+        size = grown
+
+
+def tree_paths(edges: DataFrame) -> DataFrame:
+    """``node, path, is_leaf``: the labels from the root to every node of a forest, whatever its depth; ``edges`` is (parent, child)."""
+    up = closure(edges)
+    steps = up.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("distance", "ancestor")), asc=False).alias("up"))
+    paths = steps.select("node", F.concat(F.transform("up", lambda s: s["ancestor"]), F.array("node")).alias("path"))
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
+    every = paths.union(roots.select("node", F.array("node")))
+    inner = edges.select(F.col("parent").alias("node")).distinct().withColumn("__p", F.lit(True))
+    return every.join(inner, "node", "left").select("node", "path", F.col("__p").isNull().alias("is_leaf"))
+
+
+def common_prefix(low: Column, high: Column) -> Column:
+    """The longest common prefix of two arrays."""
+    least = F.least(F.size(low), F.size(high))
+    differ = F.array_position(F.zip_with(F.slice(low, F.lit(1), least), F.slice(high, F.lit(1), least), lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    return F.slice(low, F.lit(1), F.when(differ == 0, least).otherwise((differ - 1).cast("int")))
+
+
+def shared_ancestors(rows: DataFrame, by: list[str], path: str) -> DataFrame:
+    """``by..., prefix, label``: the longest prefix of all paths of a group, and its last label, null if there is none.
+
+    All share what the first and the last in array order share, so the minimum and the maximum, which merge, are enough.
+    """
+    ends = rows.groupBy(*by).agg(F.min(path).alias("__low"), F.max(path).alias("__high"))
+    prefix = common_prefix(F.col("__low"), F.col("__high"))
+    return ends.select(*by, prefix.alias("prefix")).withColumn("label", F.try_element_at("prefix", F.lit(-1)))
+
+
+def concepts(lines: DataFrame, languages: list[str], source_rank: dict[str, int]) -> DataFrame:
+    """``concept, term, source, source_rank, preferred`` of terminology lines, one row a concept, term and source.
+
+    ``lines`` has ``concept, language, source, term, is_preferred, file, line_no``.  Other languages and sources are left out; of
+    several lines the last in the files' order says whether the term is preferred.
+    """
+    ranks = F.create_map(*[F.lit(x) for pair in source_rank.items() for x in pair])
+    kept = lines.filter(F.col("language").isin(*languages)).withColumn("source_rank", F.try_element_at(ranks, F.col("source"))).filter("source_rank is not null")
+    last = F.max_by(F.when(F.col("is_preferred") == "Y", 1).otherwise(0), F.struct("file", "line_no"))
+    return kept.groupBy("concept", "term", "source", "source_rank").agg(last.alias("preferred"))
+
+
 def rebuttals(claims: DataFrame, case: str, claim: str, score: str) -> DataFrame:
     """Edges between every two claims of a case, from the stronger to the weaker; a case has a few claims."""
     a = claims.select(case, F.col(claim).alias("source"), F.col(score).alias("s"))

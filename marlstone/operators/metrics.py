@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +60,67 @@ def bootstrap(rows: DataFrame, by: list[str], key: str, value: str, resamples: i
     return means.groupBy(*by).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"))
 
 
+def _stream(seed: int, *parts) -> np.random.Generator:
+    """Random numbers that depend on the seed and the parts alone."""
+    digest = hashlib.sha256("\0".join([str(seed), *map(str, parts)]).encode()).digest()
+    return np.random.Generator(np.random.Philox(key=np.frombuffer(digest[:16], np.uint64)))
+
+
+def resampled_sizes(sizes: Sequence[int], resamples: int, seed: int, group: str) -> np.ndarray:
+    """How many of the n draws of each resample fall into each cell, an array [resample, cell]: multinomial, by the cells' sizes."""
+    sizes = np.asarray(sizes, np.int64)
+    return _stream(seed, "sizes", group).multinomial(int(sizes.sum()), sizes / sizes.sum(), size=resamples)
+
+
+def resampled_sums(values: np.ndarray, draws: np.ndarray, seed: int, group: str, cell: int) -> np.ndarray:
+    """The sum of ``draws[b]`` draws from ``values`` for each resample b, in turn from one stream."""
+    rng = _stream(seed, "rows", group, cell)
+    out = np.zeros(len(draws))
+    for b, n in enumerate(draws):
+        out[b] = values[rng.integers(0, len(values), n)].sum() if n else 0.0
+    return out
+
+
+def paired_bootstrap(pairs: DataFrame, by: str, key: str, baseline: str, comparison: str, resamples: int = 2000, seed: int = 17, cell_rows: int = 65_536) -> DataFrame:
+    """``by, pairs, mean, low, high``: the mean of comparison less baseline in each group, and its 95 % percentile interval by resampling.
+
+    A resample draws whole pairs, so both sides share it.  A group's pairs are dealt to cells of about ``cell_rows`` by a hash
+    of the key; a multinomial draw says how many of each resample's draws fall into each cell, and the cell draws them from its own
+    pairs, in the order of key and difference.  So a cell gives one array of ``resamples`` sums, and only these are shuffled by group.
+    The same for any partitions.  Pairs with a null side take no part; a null group is a group; groups without pairs give no row.
+    """
+    name, diff = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")), F.col(comparison).cast("double") - F.col(baseline).cast("double")
+    rows = pairs.select(F.col(by).alias("by"), name.alias("g"), F.col(key).cast("string").alias("k"), diff.alias("d")).filter("d is not null")
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).withColumn("cells", F.greatest(F.round(F.col("n") / cell_rows), F.lit(1)).cast("long")).drop("n")
+    dealt = rows.join(counts, "g").withColumn("cell", F.pmod(F.xxhash64("k", "d"), F.col("cells")).cast("int")).drop("cells")
+    sizes = dealt.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("s"))
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g, s in zip(f["g"], f["s"]):
+                drawn = resampled_sizes([x["n"] for x in s], resamples, seed, g)
+                yield pd.DataFrame({"g": g, "cell": [x["cell"] for x in s], "draws": [d.tolist() for d in drawn.T]})
+
+    def sums(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["k", "d"], kind="stable")
+        g, cell, d = f["g"].iloc[0], int(f["cell"].iloc[0]), f["d"].to_numpy()
+        total = resampled_sums(d, np.asarray(f["draws"].dropna().iloc[0]), seed, g, cell)
+        return pd.DataFrame({"by": [f["by"].iloc[0]], "g": [g], "cell": [cell], "n": [len(d)], "total": [d.sum()], "sums": [total.tolist()]})
+
+    draws = sizes.mapInPandas(split, "g string, cell int, draws array<long>")
+    first = dealt.withColumn("__r", F.row_number().over(Window.partitionBy("g", "cell").orderBy("k", "d")))
+    # the draws ride on one row of each cell
+    told = first.join(draws.withColumn("__r", F.lit(1)), ["g", "cell", "__r"], "left").drop("__r")
+    kind = f"by {pairs.schema[by].dataType.simpleString()}, g string, cell int, n long, total double, sums array<double>"
+    per_cell = told.groupBy("g", "cell").applyInPandas(sums, kind)
+
+    in_order = lambda c: F.aggregate(F.sort_array(F.collect_list(F.struct("cell", c))), F.lit(0.0), lambda t, x: t + x[c])
+    whole = per_cell.groupBy("g").agg(F.first("by").alias("by"), F.sum("n").alias("pairs"), in_order("total").alias("total"))
+    means = per_cell.select("g", "cell", F.posexplode("sums").alias("b", "x")).groupBy("g", "b").agg(in_order("x").alias("x"))
+    ends = means.join(whole.select("g", "pairs"), "g").groupBy("g").agg(*[F.percentile(F.col("x") / F.col("pairs"), q).alias(c) for c, q in (("low", 0.025), ("high", 0.975))])
+    return whole.join(ends, "g").select(F.col("by").alias(by), "pairs", (F.col("total") / F.col("pairs")).alias("mean"), "low", "high")
+
+
 def hash_order(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"), 256)
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,11 +96,26 @@ def premises(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     return rows.withColumn("premise_id", F.concat(F.lit("source-chunk:"), F.substring(F.sha2(identity, 256), 1, 20)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, value`` of every line of the text files at ``path``; ``line_no`` counts from 0 in each file.
+
+    A line's number is its place in its block of the file, plus the lines of the blocks before: the same however the
+    files are split.  Bytes that are no UTF-8 are left out.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("value"))
+    blocks = raw.groupBy("file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return raw.join(starts, ["file", "__block"]).select("file", (F.col("__id") + F.col("__shift")).alias("line_no"), "value")
+
+
 def pipe_delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Pipe-delimited lines without quotes, with an empty field after the last pipe and a line number."""
-    raw = spark.read.text(path)
+    """``file, line_no`` and the fields of pipe-delimited lines without quotes, with an empty field after the last pipe.
+
+    (file, line_no) is the lines' order, whatever the partitions.
+    """
     fields = F.split("value", "\\|")
-    return raw.select(F.monotonically_increasing_id().alias("line_no"), *[F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    return numbered_lines(spark, path).select("file", "line_no", *[F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

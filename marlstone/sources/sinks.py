@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.sources import readers
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     """Overwrite or append; the committer makes either appear whole or not at all."""
@@ -36,14 +40,75 @@ def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Several tables as CSV folders below ``path``."""
-    for name, df in tables.items():
-        csv(df, f"{path}/{name}")
+    """Several tables as CSV folders below ``path``, published together with a manifest of their files' digests."""
+    publish(tables, path, "csv", header=True)
 
 
 def manifest(df: DataFrame, path: str) -> None:
-    """A run's manifest, one row, as one JSON file that appears whole or not at all and replaces an older one."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A run's manifest, one row, as JSON in place of an older one; readers see either, whole."""
+    publish({"manifest": df.coalesce(1)}, path, "json")
+
+
+#: Steps of ``publish`` in order; a test stops it after each.
+STEPS = ("tables", "manifest", "pointer", "commit")
+
+
+def publish(tables: dict[str, DataFrame], path: str, kind: str = "parquet", after=lambda step: None, **options) -> str:
+    """Write the ``tables`` as a new version below ``path`` and make it the current one; returns the version's name.
+
+    Tables go to a folder of their own, then a manifest of all files with lengths and digests, then a pointer file under another name,
+    and at last one rename of that over ``CURRENT``.  Until then readers follow the old version, which is left as it is.
+    ``after`` is called after each of ``STEPS``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    name = uuid.uuid4().hex
+    version = f"{path.rstrip('/')}/versions/{name}"
+    for t, df in tables.items():
+        df.write.format(kind).options(**options).save(f"{version}/{t}")
+    after("tables")
+    listed = readers.digests(spark, version).filter(~F.col("path").rlike("/[._][^/]*$"))
+    relative = F.regexp_replace("path", rf"^.*\Q/{name}/\E", "")
+    listed.select(relative.alias("path"), "length", "sha256").coalesce(1).write.json(f"{version}/_manifest")
+    after("manifest")
+    _put(spark, f"{path.rstrip('/')}/.{name}", name)
+    after("pointer")
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri() if "://" in path else jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.{name}"), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/CURRENT"), how)
+    after("commit")
+    return name
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the current version."""
+    name = spark.read.text(f"{path.rstrip('/')}/CURRENT").first()["value"]
+    return f"{path.rstrip('/')}/versions/{name}"
+
+
+def published(spark: SparkSession, path: str, table: str, kind: str = "parquet", **options) -> DataFrame:
+    """A table of the current version."""
+    return spark.read.format(kind).options(**options).load(f"{current(spark, path)}/{table}")
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` of the current version's files that are missing, not listed, or other than their manifest says."""
+    version = current(spark, path)
+    listed = spark.read.schema("path string, length long, sha256 string").json(f"{version}/_manifest")
+    name = version.rsplit("/", 1)[-1]
+    there = readers.digests(spark, version).filter(~F.col("path").rlike("/[._][^/]*$") & ~F.contains("path", F.lit("/_manifest/"))).select(F.regexp_replace("path", rf"^.*\Q/{name}/\E", "").alias("path"), F.col("length").alias("n"), F.col("sha256").alias("h"))
+    both = listed.join(there, "path", "full")
+    return both.filter(~(F.col("length").eqNullSafe(F.col("n")) & F.col("sha256").eqNullSafe(F.col("h")))).select("path")
 
 
 def audit_log(rows: DataFrame, path: str) -> None:
