@@ -83,3 +83,25 @@ def candidate_score(position: Column, compatibility: Column, label_overlap: Colu
 def length_weight(n_tokens: Column) -> Column:
     """1 up to 64 tokens, falling with the root of the length beyond."""
     return 1 / F.sqrt(F.greatest(F.greatest(n_tokens, F.lit(1)) / 64.0, F.lit(1.0)))
+
+
+def blank_tokens(text: Column) -> Column:
+    """Pieces of a text, each a word with the blanks before it."""
+    return F.regexp_extract_all(text, F.lit(r"[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r]+"), F.lit(0))
+
+
+def chunk_plan(docs: DataFrame, doc: str, text: str, most: int, pieces=blank_tokens, reserved: int = 2) -> DataFrame:
+    """``doc, chunk, n_tokens, weight, body``: a text in chunks of ``most - reserved`` tokens, in order, that join to the whole text.
+
+    ``pieces`` cuts a text into tokens that stand one after another from its start; what follows the last belongs to the last chunk.
+    ``weight`` is the chunk's share of the tokens, for a mean over chunks.  A text without tokens is one chunk; null texts have none.
+    """
+    room = most - reserved
+    if room < 1:
+        raise ValueError("no room for a token")
+    cut = docs.filter(F.col(text).isNotNull()).select(doc, F.col(text).alias("__t"), pieces(F.col(text)).alias("__p"))
+    n = F.greatest(F.ceil(F.size("__p") / room), F.lit(1)).cast("int")
+    each = cut.withColumn("__n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("chunk"))
+    own = F.slice("__p", F.col("chunk") * room + 1, F.lit(room))
+    rest = F.when(F.col("chunk") == F.col("__n") - 1, F.substring("__t", F.length(F.array_join("__p", "")) + 1, F.length("__t"))).otherwise("")
+    return each.select(doc, "chunk", F.size(own).alias("n_tokens"), (F.size(own) / F.greatest(F.size("__p"), F.lit(1))).alias("weight"), F.concat(F.array_join(own, ""), rest).alias("body"))

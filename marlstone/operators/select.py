@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,45 +26,45 @@ def round_robin(rows: DataFrame, within: list[str], family: str, inside: list, f
     return deep.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
 
 
-def _allocate(facts: pd.DataFrame, budget: int) -> pd.DataFrame:
-    taken: dict[int, int] = {}
-    used: set = set()
-    picked: list[int] = []
-    routes = facts.groupby("route_position", sort=True)
-    options = {p: g.sort_values("fact_position") for p, g in routes}
-    siblings = {p: int(g["siblings"].iloc[0]) for p, g in options.items()}
-    todo = list(options)
-
-    def take(p: int) -> bool:
-        for at, row in options[p].iterrows():
-            if row["source_id"] not in used:
-                used.add(row["source_id"])
-                picked.append(at)
-                taken[p] = taken.get(p, 0) + 1
-                return True
-        return False
-
-    for p in todo:
-        if len(picked) < budget:
-            take(p)
-    while len(picked) < budget:
-        ready = sorted(todo, key=lambda p: (taken.get(p, 0), -siblings[p], p))
-        if not any(take(p) for p in ready):
-            break
-    out = facts.loc[picked].copy()
-    out["allocated"] = range(1, len(out) + 1)
-    return out
+def _allocated(routes: Column, budget: int, source: str) -> Column:
+    """Places ``n, route, fact`` in the order in which the budget of a query is spent over its ``routes``, as a fold.
+
+    A route is struct(route_position, siblings, tie, options); options are struct(fact_position, source_id) in order.  The first
+    steps offer each route one source in turn, the rest one to the route with fewest, most siblings, smallest tie.
+    """
+    kind = f"struct<used:array<{source}>,taken:array<int>,picked:array<struct<n:int,route:int,fact:int>>>"
+    start = F.struct(F.array().cast(f"array<{source}>").alias("used"), F.transform(routes, lambda r: F.lit(0)).alias("taken"), F.array().cast("array<struct<n:int,route:int,fact:int>>").alias("picked")).cast(kind)
+
+    def step(s: Column, i: Column) -> Column:
+        def offer(r: Column, j: Column) -> Column:
+            free = F.get(F.filter(r["options"], lambda o: ~F.array_contains(s["used"], o["source_id"])), F.lit(0))
+            mine = free.isNotNull() & ((i > F.size(routes)) | (j == i - 1))
+            return F.when(mine, F.struct(F.get(s["taken"], j).alias("taken"), (-r["siblings"]).alias("few"), r["tie"].alias("tie"), j.alias("at"), r["route_position"].cast("int").alias("route"), free["fact_position"].cast("int").alias("fact"), free["source_id"].alias("source")))
+
+        def spend(best: Column) -> Column:
+            one = F.struct((F.size(s["picked"]) + 1).alias("n"), best["route"].alias("route"), best["fact"].alias("fact"))
+            more = F.struct(F.array_append(s["used"], best["source"]).alias("used"), F.transform(s["taken"], lambda t, j: F.when(j == best["at"], t + 1).otherwise(t)).alias("taken"), F.array_append(s["picked"], one).alias("picked")).cast(kind)
+            return F.when((F.size(s["picked"]) < budget) & best.isNotNull(), more).otherwise(s)
+
+        best = F.array_min(F.array_compact(F.transform(routes, offer)))
+        return F.get(F.transform(F.array(best), spend), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(1), F.size(routes) + budget), start, step)["picked"]
 
 
 def allocate_facts(facts: DataFrame, query: str, budget: int = 12) -> DataFrame:
     """A budget of facts per query over its routes: one each, then to the route with fewest so far.
 
-    Ties go to more siblings, then to the earlier route; a source is used once.  Needs columns
-    ``route_position, fact_position, source_id, siblings``; each query has a handful of routes, so a
-    group is small by construction.  Adds ``allocated``.
+    Ties go to more siblings, then to the smaller ``tie`` (the route's position, if there is no such column); a source is used once.
+    Needs columns ``route_position, fact_position, source_id, siblings``, the first two integers, which name a fact.  Adds ``allocated``.
+    A query's routes stand in one array, of as many routes and facts as its caller selected.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema.fields) + ", allocated int"
-    return facts.groupBy(query).applyInPandas(lambda g: _allocate(g, budget), schema)
+    tie = F.col("tie") if "tie" in facts.columns else F.col("route_position")
+    source = facts.schema["source_id"].dataType.simpleString()
+    routes = facts.groupBy(query, "route_position").agg(F.min("siblings").cast("long").alias("siblings"), F.min(tie).cast("long").alias("tie"), F.array_sort(F.collect_list(F.struct("fact_position", "source_id"))).alias("options"))
+    whole = routes.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("route_position", "siblings", "tie", "options"))).alias("routes"))
+    picked = whole.select(query, F.inline(_allocated(F.col("routes"), budget, source)))
+    return facts.join(picked.select(query, F.col("n").alias("allocated"), F.col("route").alias("route_position"), F.col("fact").alias("fact_position")), [query, "route_position", "fact_position"]).select(*facts.columns, "allocated")
 
 
 def _match(pairs: pd.DataFrame, least: float) -> pd.DataFrame:
