@@ -30,6 +30,20 @@ def evidence_score(scored: DataFrame, by: list[str], score: str, out: str = "evi
     return top.groupBy(*by).agg(diminishing(F.collect_list(score)).alias(out))
 
 
+def evidence_levels(scored: DataFrame, by: list[str], sub: str, score: str, whole: str = "graph", own: str = "own") -> DataFrame:
+    """``by..., sub, own, whole``: the diminishing sums of each ``sub`` and of all of its ``by``, in one pass.
+
+    The three best of a group are among the three best of its parts, so rows are dealt by ``by`` once, pruned to three a part, and
+    both sums come from these.
+    """
+    order = Window.partitionBy(*by, sub).orderBy(F.col(score).desc())
+    width = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scored.filter(F.col(score) > 0).select(*by, sub, score).repartition(width, *by)
+    parts = dealt.withColumn("__r", F.row_number().over(order)).filter("__r <= 3").groupBy(*by, sub).agg(F.collect_list(score).alias("__s"))
+    every = F.flatten(F.collect_list("__s").over(Window.partitionBy(*by)))
+    return parts.withColumn("__all", every).select(*by, sub, diminishing(F.col("__s")).alias(own), diminishing(F.col("__all")).alias(whole))
+
+
 def margin(scored: DataFrame, group: list[str], score: str, tie: str) -> DataFrame:
     """Add ``margin``: own score less the best other of the group, 0 if there is none."""
     order = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(tie))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import tokens
+from marlstone.sources.scratch import written
 
 K1, B = 1.2, 0.75
 MAX_QUERY_TF = 2
@@ -25,22 +26,28 @@ def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text")
     return queries.select(F.col(query).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+#: Stands among a document's tokens once, so that documents without any are counted too; no token is empty.
+_MARK = ""
+
+
 def _matched(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> tuple[DataFrame, DataFrame, DataFrame, int, float]:
-    """Postings of the queries' terms, document frequencies, query terms, and corpus totals.
+    """Postings ``doc, doc_len, n_terms, term, tf`` of the queries' terms, document frequencies, query terms, and corpus totals.
 
-    Only tokens that some query has leave the map side; the totals take one more pass over lengths.
+    Texts are cut into tokens once: only tokens that some query has, and a mark for each document, leave the map side, and
+    what they come to is written.  Frequencies, totals and scores are read from that.
     """
     terms = query_terms(queries, query)
-    wanted = terms.select("term").distinct()
+    wanted = written(terms.select("term").distinct().union(terms.sparkSession.createDataFrame([(_MARK,)], "term string")))
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     toks = docs.select(F.col(doc).alias("doc"), tokens(F.col("text")).alias("toks"))
-    total = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avg_len")).first()
-    each = toks.select("doc", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).join(wanted, "term", "left_semi")
+    each = toks.select("doc", F.size("toks").alias("doc_len"), F.size(F.array_distinct("toks")).alias("n_terms"), F.explode(F.array_append("toks", F.lit(_MARK))).alias("term")).join(wanted, "term", "left_semi")
     # dealt by document alone: the counts here and the scores by (query, document) later need no other shuffle
-    tf = each.repartition("doc").groupBy("doc", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = written(each.repartition("doc").groupBy("doc", "doc_len", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")))
+    marks, tf = counted.filter(F.col("term") == _MARK), counted.filter(F.col("term") != _MARK)
+    total = marks.agg(F.sum("tf").alias("n"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avg_len")).first()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf, df, terms, total["n"], total["avg_len"] or 1.0
+    return tf, df, terms, total["n"] or 0, total["avg_len"] or 1.0
 
 
 def top_k(scored: DataFrame, k: int, group: str, score: str, tie: str) -> DataFrame:
@@ -67,11 +74,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", q
 def idf_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """Idf of shared terms times frequencies capped at 2, over the root of the document's distinct terms."""
     tf, df, terms, n, _ = _matched(docs, queries, doc, query)
-    distinct = docs.select(F.col(doc).alias("doc"), F.size(F.array_distinct(tokens(F.col("text")))).alias("n_terms"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.least(F.col("tf"), F.lit(2)) * F.least(F.col("qtf"), F.lit(2))
-    summed = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.sum(part).alias("total"))
-    scored = summed.join(distinct, "doc").select("query", "doc", F.round(F.col("total") / F.sqrt(F.col("n_terms")), 6).alias("score"))
+    summed = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.sum(part).alias("total"), F.max("n_terms").alias("n_terms"))
+    scored = summed.select("query", "doc", F.round(F.col("total") / F.sqrt(F.col("n_terms")), 6).alias("score"))
     return top_k(scored, k, "query", "score", "doc")
 
 

@@ -1,6 +1,6 @@
 """Retrieval in one chain: rankings fused, structured evidence executed, whole graphs of the seeds, diverse routes, a budget of facts.
 
-Every step is a join or a rank over (query, ...); structured evidence meets on the names of measurements and on
+Every step is a join or a rank over (query, ...), and what several later steps read is written once; structured evidence meets on the names of measurements and on
 (modality, concept), so no query is compared with all premises.
 """
 
@@ -14,6 +14,7 @@ from marlstone.functions.text import content_id, holds, label_key, tokens
 from marlstone.operators import inventory, lexical, select
 from marlstone.operators.binding import concept_terms
 from marlstone.operators.fusion import evidence_score, margin, route_score
+from marlstone.sources.scratch import written
 
 # Words of a past event, of a positive and of a negative result, and premises that say nothing.
 HISTORICAL = r"(?i)\b(?:history of|historical|previous(?:ly)?|prior|remote|resolved)\b"
@@ -74,7 +75,7 @@ def structured(queries: DataFrame, premises: DataFrame, terms: DataFrame | None
         own, theirs = _events(queries, "query", current_text(F.col("text")), terms), _events(premises, "premise", F.col("text"), terms)
         both = own.join(theirs, ["modality", "concept"]).select("query", "premise").distinct()
         marks = marks.union(both.select("query", "premise", F.lit(False), F.lit(0.8)))
-    return marks.groupBy("query", "premise").agg(F.bool_or("any").alias("threshold_met"), F.max("s").alias("strength"))
+    return written(marks.groupBy("query", "premise").agg(F.bool_or("any").alias("threshold_met"), F.max("s").alias("strength")))
 
 
 def candidate_choices(queries: DataFrame, premises: DataFrame, dense: DataFrame, evidence: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -87,12 +88,12 @@ def candidate_choices(queries: DataFrame, premises: DataFrame, dense: DataFrame,
     by_query = Window.partitionBy("query").orderBy(F.col("score").desc(), "premise")
     useful = premises.filter(~meaningless(F.col("text")))
     scored = lexical.bm25_scores(docs, asked).withColumnRenamed("doc", "premise").join(useful.select("premise"), "premise")
-    sparse = scored.withColumn("rank", F.row_number().over(by_query))
+    sparse = written(scored.withColumn("rank", F.row_number().over(by_query)))
     ranks = sparse.select("query", "premise").union(dense.select("query", "premise")).distinct().join(useful.select("premise", "weight"), "premise")
     told = ranks.join(evidence, ["query", "premise"], "left").select("query", "premise", "weight", F.coalesce("threshold_met", F.lit(False)).alias("threshold_met"))
-    fused = inventory.fuse(sparse, dense, told, ["query", "premise"])
+    fused = written(inventory.fuse(sparse, dense, told, ["query", "premise"]))
     strong = evidence.filter("strength > 0").select("query", "premise", (F.col("strength") == 1).alias("threshold_met"), (F.col("strength") < 1).alias("event_met"))
-    raised = inventory.structured_floor(fused, strong, ["query", "premise"], ["query"])
+    raised = written(inventory.structured_floor(fused, strong, ["query", "premise"], ["query"]))
     # the seeds come from the best fused facts and the executed ones
     before = fused.withColumn("__r", F.row_number().over(by_query)).filter(F.col("__r") <= SEEDS).select("query", "premise")
     pool = before.union(strong.select("query", "premise")).distinct().join(raised, ["query", "premise"])
@@ -100,7 +101,7 @@ def candidate_choices(queries: DataFrame, premises: DataFrame, dense: DataFrame,
     by_graph = evidence_score(seeds, ["query", "graph"], "score", "__g")
     best = Window.partitionBy("query").orderBy(F.col("__g").desc(), "graph")
     kept = by_graph.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= GRAPHS).drop("__r")
-    members = kept.join(useful.filter(~generic(F.col("label"))).select("premise", "graph", "label"), "graph").join(raised.select("query", "premise", "score"), ["query", "premise"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    members = written(kept.join(useful.filter(~generic(F.col("label"))).select("premise", "graph", "label"), "graph").join(raised.select("query", "premise", "score"), ["query", "premise"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
     route = ["query", "graph", "label"]
     inside = Window.partitionBy(*route).orderBy(F.col("score").desc(), "premise")
     first = members.withColumn("__n", F.row_number().over(inside)).filter(F.col("__n") <= SOURCES)
@@ -120,13 +121,13 @@ def diverse_routes(choices: DataFrame, evidence: DataFrame, routes: int = ROUTES
     A generic label gives way to a specific one of its graph.  Choices with executed evidence come first, then by place; the first of each graph
     before any second.  Each route gets a source, then the route with fewest; a source is used once, and routes without one are left out.
     """
-    g = generic(F.col("label"))
+    choices, g = written(choices), generic(F.col("label"))
     specific = F.bool_or(~g).over(Window.partitionBy("query", "graph"))
     viable = choices.withColumn("__s", specific).filter(~(g & F.col("__s"))).drop("__s")
     strong = viable.select("query", "place", F.explode("sources").alias("premise")).join(evidence.select("query", "premise", "strength"), ["query", "premise"]).groupBy("query", "place").agg(F.max("strength").alias("__x"))
     known = viable.join(strong, ["query", "place"], "left").withColumn("__x", F.coalesce("__x", F.lit(0.0)))
     chosen = select.cover_then_fill(known.withColumnRenamed("place", "original"), ["query"], "graph", [F.col("__x").desc(), F.col("original")], routes)
-    siblings = chosen.withColumn("siblings", F.count(F.lit(1)).over(Window.partitionBy("query", "graph")))
+    siblings = written(chosen.withColumn("siblings", F.count(F.lit(1)).over(Window.partitionBy("query", "graph"))))
     each = siblings.select("query", F.col("place").alias("route_position"), "siblings", F.col("original").alias("tie"), F.posexplode("sources").alias("fact_position", "source_id"))
     taken = select.allocate_facts(each, "query", facts).groupBy("query", "route_position").agg(F.transform(F.array_sort(F.collect_list(F.struct("allocated", "source_id"))), lambda x: x["source_id"]).alias("sources"))
     rows = siblings.drop("sources").join(taken.withColumnRenamed("route_position", "place"), ["query", "place"])

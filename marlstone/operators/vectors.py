@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marlstone.functions.numeric import norm
 
@@ -69,6 +70,60 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, vec_id: str = "vec_id
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _query_blocks(queries: DataFrame, *columns: str) -> Iterator[list]:
+    """Rows of the queries, ``QUERY_BLOCK`` at a time."""
+    block: list = []
+    for r in queries.select(*columns).toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def pooled(queries: DataFrame, corpus: DataFrame, group: str, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """``query, doc, top, mean``: for each group of query vectors, the highest and the mean cosine of every corpus vector.
+
+    A block of queries is broadcast; each task makes the products and keeps one row a group and vector, so as many rows
+    leave it as there are groups, not queries.  Null groups are left out.
+    """
+    spark, kind = queries.sparkSession, queries.schema[group].dataType.simpleString()
+    arrow = to_arrow_type(queries.schema[group].dataType)
+    found = None
+    for rows in _query_blocks(queries.filter(F.col(group).isNotNull()), group, vector):
+        names = sorted({r[group] for r in rows})
+        at = {g: k for k, g in enumerate(names)}
+        of = np.array([at[r[group]] for r in rows])
+        mat = np.array([r[vector] for r in rows], np.float64)
+        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+        order = np.argsort(of, kind="stable")
+        shared = spark.sparkContext.broadcast((names, np.searchsorted(of[order], np.arange(len(names))), np.bincount(of), mat[order]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, starts, sizes, q = shared.value
+            for b in batches:
+                m = _matrix(b.column(1))
+                if not len(m):
+                    continue
+                m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+                for low in range(0, len(m), PRODUCT):
+                    scores = q @ m[low : low + PRODUCT].T
+                    n = scores.shape[1]
+                    top, total = np.maximum.reduceat(scores, starts, axis=0), np.add.reduceat(scores, starts, axis=0)
+                    docs = np.tile(b.column(0).to_numpy()[low : low + PRODUCT], len(names))
+                    groups = pa.array(names, arrow).take(pa.array(np.repeat(np.arange(len(names)), n)))
+                    yield pa.RecordBatch.from_arrays([groups, pa.array(docs), pa.array(top.ravel()), pa.array(total.ravel()), pa.array(np.repeat(sizes, n).astype(np.int64))], ["query", "doc", "top", "total", "n"])
+
+        part = corpus.select(vec_id, vector).mapInArrow(run, f"query {kind}, doc long, top double, total double, n long")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return spark.createDataFrame([], f"query {kind}, doc long, top double, mean double")
+    one = F.col("n") > 0  # blocks of one group meet again; a single block needs no shuffle
+    merged = found if queries.filter(F.col(group).isNotNull()).count() <= QUERY_BLOCK else found.groupBy("query", "doc").agg(F.max("top").alias("top"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return merged.filter(one).select("query", "doc", "top", (F.col("total") / F.col("n")).alias("mean"))
+
+
 def positions(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """One row per component: ``pos`` and ``x`` (double) beside the other columns."""
     return df.select("*", F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double")).drop(vector)

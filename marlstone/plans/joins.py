@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import holds, tokens
+from marlstone.operators.lexical import BROADCAST_TERMS
 from marlstone.operators.model import cache_key
 from marlstone.plans.ranking import toks
 from marlstone.plans.registry import query, table, texts
@@ -44,7 +45,10 @@ def theta_best_match(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
     d = texts(spark, sf_dir, "doc_id", "text").select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("t"))
     terms = q.select("item_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
-    shared = d.select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("term")).join(terms, "term").groupBy("item_id", "doc_id", "nq", "nd").agg(F.count(F.lit(1)).alias("shared"))
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    each = d.select("doc_id", F.size("t").alias("nd"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    shared = each.join(terms, "term").groupBy("item_id", "doc_id", "nq", "nd").agg(F.count(F.lit(1)).alias("shared"))
     scored = shared.select("item_id", "doc_id", F.round(F.col("shared") / F.col("nq"), 6).alias("coverage"), F.round(F.col("shared") / (F.col("nq") + F.col("nd") - F.col("shared")), 6).alias("jaccard"))
     order = Window.partitionBy("item_id").orderBy(F.col("coverage").desc(), F.col("jaccard").desc(), "doc_id")
     return scored.withColumn("n", F.row_number().over(order)).filter("n = 1").select("item_id", "doc_id", "coverage", "jaccard", (F.col("coverage") >= 0.75).alias("admissible"))

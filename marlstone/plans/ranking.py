@@ -107,10 +107,8 @@ r AS (SELECT query, source, lang, own, graph, own - coalesce(CASE WHEN row_numbe
 SELECT query, source, lang, round(own + 0.35::DOUBLE * graph + 0.10::DOUBLE * (CASE WHEN lang = 'en' THEN 1 ELSE 0 END) + 0.40::DOUBLE * margin, 4) AS route FROM r""")
 def route_score(spark, sf_dir):
     """(source, lang) routes by own evidence, the source's, and the margin over the source's other routes."""
-    scored = _scored_documents(spark, sf_dir)
-    graph = fusion.evidence_score(scored, ["query", "source"], "score", "graph")
-    own = fusion.evidence_score(scored, ["query", "source", "lang"], "score", "own")
-    routes = fusion.margin(own.join(graph, ["query", "source"]), ["query", "source"], "own", "lang")
+    levels = fusion.evidence_levels(_scored_documents(spark, sf_dir), ["query", "source"], "lang", "score")
+    routes = fusion.margin(levels, ["query", "source"], "own", "lang")
     overlap = (F.col("lang") == "en").cast("double")
     return routes.select("query", "source", "lang", F.round(fusion.route_score(F.col("own"), F.col("graph"), overlap, F.col("margin")), 4).alias("route"))
 

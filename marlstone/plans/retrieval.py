@@ -10,6 +10,7 @@ from marlstone.operators import graphs, lexical, metrics, retrieval, vectors
 from marlstone.plans.graphs import _PATHS, _paths
 from marlstone.plans.ranking import toks
 from marlstone.plans.registry import query, table, texts
+from marlstone.sources.scratch import written
 
 _DOCS = "(SELECT doc_id, source, lang, coalesce(text, '') || '. ' || source || ' > ' || (doc_id % 50) AS text FROM documents)"
 _ITEMS = "(SELECT item_id, text || '. src' || (item_id % 20) || ' = ' || item_id || CASE WHEN item_id % 3 = 0 THEN ' previously' ELSE '' END AS text FROM benchmark)"
@@ -46,7 +47,7 @@ def _chain(spark, sf_dir):
     queries = items.select(F.col("item_id").alias("query"), said.alias("text"))
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     asked, held = vecs.join(items.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi"), vecs.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    dense = vectors.nearest(asked, held, 64).select("query", F.col("doc").alias("premise"), "rank")
+    dense = written(vectors.nearest(asked, held, 64).select("query", F.col("doc").alias("premise"), "rank"))
     evidence = retrieval.structured(queries, premises)
     return retrieval.candidate_choices(queries, premises, dense, evidence), evidence
 

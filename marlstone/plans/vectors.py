@@ -27,14 +27,8 @@ _POOLED = f"""p AS (SELECT q.label AS query, v.vec_id AS doc, max({_COS}) AS top
 
 
 def _pooled(spark, sf_dir):
-    """Per query label and vector: the highest and the mean cosine over the label's query vectors.
-
-    The queries are a bounded set, held by every task; products are made in the map stage.
-    """
-    emb = table(spark, sf_dir, "embeddings")
-    near = vectors.nearest(_asked(spark, sf_dir), emb, 1 << 30, decimals=15)
-    labels = _asked(spark, sf_dir).select(F.col("vec_id").alias("query"), "label")
-    return near.join(F.broadcast(labels), "query").groupBy(F.col("label").alias("query"), "doc").agg(F.max("score").alias("top"), F.avg("score").alias("mean"))
+    """Per query label and vector: the highest and the mean cosine over the label's query vectors."""
+    return vectors.pooled(_asked(spark, sf_dir), table(spark, sf_dir, "embeddings"), "label")
 
 
 @query("pooled_nn", f"WITH {_POOLED} SELECT query, doc, top, mean, rank FROM (SELECT query, doc, round(top, 6) AS top, round(mean, 6) AS mean, row_number() OVER (PARTITION BY query ORDER BY round(top, 6) DESC, round(mean, 6) DESC, doc) AS rank FROM p) WHERE rank <= 8")
