@@ -79,8 +79,18 @@ def test_left_over_pairs_alone_find_the_same(spark, rows, monkeypatch):
     assert found(spark, rows, cell=4) == plain_components(rows)
 
 
+@pytest.mark.parametrize("all_texts", [True, False])
+def test_a_pivot_of_many_pairs_is_cut(spark, all_texts):
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[: 60 - k % 20]).encode()) for k in range(200)]
+    texts, pairs = spark.createDataFrame(rows, "key long, text binary"), spark.createDataFrame([(k, 0) for k in range(1, 200)] + [(5, 9)], "u long, v long")
+    got = {(r["u"], r["v"]): r["linked"] for r in minhash.confirmed(pairs, texts, 2, all_texts, cell=16).collect()}
+    assert len(got) == 200
+    assert all(linked == (100 * (59 - u % 20) >= 80 * 59) for (u, v), linked in got.items() if v == 0) and got[5, 9]
+
+
 def test_stars_alone_would_miss_some(spark, rows, monkeypatch):
-    """The last step has work to do here, so the test above it is not idle."""
+    """The last step has work to do here, so the tests above are not idle."""
     monkeypatch.setattr(minhash, "left_over", lambda members, *_: members.selectExpr("key as u", "key as v").limit(0))
     monkeypatch.setattr(minhash, "ROUNDS", (1,))
     assert found(spark, rows) != plain_components(rows)
@@ -119,6 +129,28 @@ def test_agreement_is_near_the_similarity(n):
     assert np.std(errors) < 0.05  # 200 independent draws: 0.035
 
 
+def test_parities_never_pass_over_a_near_pair():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 16, 17, 300, 4000):
+        for share in (0.8, 0.85, 1.0):
+            pool = rng.integers(0, 1 << 63, 3 * n + 3).astype(np.uint64)
+            both = max(1, round(n * share))
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n : n + n - both]]))
+            bits = minhash._Parities([minhash.parity_of(s) for s in (a, b)])
+            differ = bits.differing(0, np.array([1]))[0]
+            assert differ <= len(np.setxor1d(a, b))
+            if minhash._shared_enough(a, b):
+                assert differ * 180 <= (len(a) + len(b)) * 20
+
+
+def test_parities_of_different_lengths_fold():
+    s = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    more = np.append(s, np.uint64(12345 << 8))
+    bits = minhash._Parities([minhash.parity_of(x) for x in (s, more)])
+    assert bits.lengths.tolist() == [1, 2]
+    assert bits.differing(0, np.array([1])).tolist() == bits.differing(1, np.array([0])).tolist() == [1]
+
+
 def test_shingles_are_hashed_without_loss():
     text = " ".join(f"w{k % 997} x{k % 991}" for k in range(20000))
     assert len(shingles_of(text.encode(), 2)) == len(plain_set(text))

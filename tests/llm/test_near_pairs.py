@@ -6,6 +6,7 @@ import corpus_pipeline
 from marlstone.llm import simhash
 
 SHARE = 0.8
+WIDE = (6,)
 
 
 def grams(text):
@@ -28,7 +29,7 @@ def prose(rnd, n):
 
 def roots(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return simhash.near_components(df, wide=corpus_pipeline.WIDE).collect()
+    return simhash.near_components(df, wide=WIDE).collect()
 
 
 def test_appended_and_block_edited_copies(spark):
@@ -42,12 +43,14 @@ def test_appended_and_block_edited_copies(spark):
             at, m = rnd.randrange(n // 2), int(n * rnd.uniform(0.04, 0.1))
             x = w[:at] + prose(rnd, m) + w[at + m :]
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
-        far += share(rows[-2][1], rows[-1][1]) >= SHARE and bits(rows[-2][1], rows[-1][1]) > corpus_pipeline.WIDE[-1]
+        far += share(rows[-2][1], rows[-1][1]) >= SHARE and bits(rows[-2][1], rows[-1][1]) > WIDE[-1]
     got = {r["doc_id"]: r["component_id"] for r in roots(spark, rows)}
+    stage = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert far >= 5
     for k in range(160):
         want = share(rows[2 * k][1], rows[2 * k + 1][1]) >= SHARE or bits(rows[2 * k][1], rows[2 * k + 1][1]) <= simhash.RADIUS
         assert (got[2 * k + 1] == got[2 * k]) == want
+        assert 2 * k in stage and (2 * k + 1 not in stage) == want
 
 
 def test_a_refused_closest_pair_hides_no_other(spark):
