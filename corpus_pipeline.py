@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, langid, mixing, quality, simhash
-from marlstone.llm.common import documents, materialize, maybe_broadcast, null_safe
+from marlstone.llm import bpe, langid, minhash, mixing, quality, simhash
+from marlstone.llm.common import documents, materialize, maybe_broadcast, null_safe, settled
 
 #: A text stays if its language's filter holds at least this share of its n-grams.
 MIN_COVER = 0.3
-#: This reach joins most groups of near copies before the exact pass, which gets the rest; it affects time, not results.
-WIDE = (6,)
+#: Near copies share 0.8 of their shingles of so many words.
+NEAR_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +43,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the smallest id's, of its texts the one of the smallest key.
+    """Keep one document of each component: the smallest id's, of its texts the one of the smallest key.
 
-    Fingerprints of three-word shingles link at three bits; at any distance, texts that share 0.8 of
-    their five-word shingles link too.  Rows without an id take part, and stay only for components that have no other.
-    Of rows alike in id and text the one of the smallest hash of its other columns stays.
+    Components are those of the SimHash fingerprints of three-word shingles, linked at three bits, joined by all texts that share 0.8 of
+    their five-word shingles, found by MinHash bands and confirmed on whole sets.  Rows without an id take part, and stay only for
+    components that have no other.  Of rows alike in id and text the one of the smallest hash of its other columns stays.
     """
-    found = simhash.near_components(docs, wide=WIDE, exact=True)
-    each = found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("__d_rows"))
+    return settled(spark, lambda: _keepers(docs)).transform(lambda keepers: one_of_each(docs.withColumn("__d_key", simhash.text_key(F.col("text"))), keepers, ["doc_id", "__d_key"], "__d_rows", docs.columns).select(*docs.columns))
+
+
+def _keepers(docs: DataFrame) -> DataFrame:
+    """``doc_id, __d_key, __d_rows``: id, text key and number of the rows that stand for each component."""
+    prints = simhash.near_components(docs)
+    texts = minhash.linked(docs, words=NEAR_WORDS).filter("root is not null").select(F.col("text_key").alias("key"), F.xxhash64(F.lit("shingles"), "root").alias("v")).distinct()
+    named = prints.withColumn("u", F.xxhash64(F.lit("bits"), "root"))
+    roots = simhash.components(named.select("key", "u").distinct().join(texts, "key").select("u", "v").distinct())
+    each = named.groupBy("u", "doc_id", "key").agg(F.count(F.lit(1)).alias("__d_rows"))
+    joined = each.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "__d_rows")).alias("f")
-    keepers = materialize(each.groupBy("root").agg(first).select("f.doc_id", F.col("f.key").alias("__d_key"), "f.__d_rows"))
-    marked = docs.withColumn("__d_key", simhash.text_key(F.col("text")))
-    return one_of_each(marked, keepers, ["doc_id", "__d_key"], "__d_rows", docs.columns).select(*docs.columns)
+    return joined.groupBy("root").agg(first).select("f.doc_id", F.col("f.key").alias("__d_key"), "f.__d_rows")
 
 
 def one_of_each(rows: DataFrame, wanted: DataFrame, key: list[str], times: str, columns: list[str]) -> DataFrame:
@@ -63,7 +70,7 @@ def one_of_each(rows: DataFrame, wanted: DataFrame, key: list[str], times: str,
     Where ``times`` says that several rows have the key, the one of the smallest hash of the columns of ``documents``
     besides id and text; only these are gathered, and only if there are any.
     """
-    single = null_safe(rows, wanted.filter(F.col(times) == 1), key)
+    single = null_safe(rows, wanted.filter(F.col(times) == 1).hint("merge"), key)  # the same plan at every size
     repeated = wanted.filter(F.col(times) > 1)
     n = repeated.count()
     if not n:
