@@ -13,7 +13,8 @@ from marlstone.sources.sinks import canonical_json
 def corpus_audit(premises: DataFrame, graphs: int, extensions: int) -> DataFrame:
     """One row on a corpus of ``source_chunk_id, graph_id, node_id, text, diagnostic_path, is_extension``: counts and gates.
 
-    Distinct counts and conditional sums only, so any number of premises is one partial aggregation.
+    Three distinct counts, so each premise is expanded to three thin rows and combined before the shuffle; chunk ids, which may be
+    long, are counted by their digests.
     """
     missing = (F.coalesce("source_chunk_id", F.lit("")) == "") | (F.coalesce("node_id", F.lit("")) == "") | (F.coalesce(F.size("diagnostic_path"), F.lit(0)) <= 0)
     row = premises.agg(
@@ -21,7 +22,7 @@ def corpus_audit(premises: DataFrame, graphs: int, extensions: int) -> DataFrame
         F.countDistinct("graph_id").alias("graphs"),
         F.countDistinct(F.when(F.col("is_extension"), F.col("graph_id"))).alias("extension_graphs"),
         F.count_if(missing).alias("missing_provenance"),
-        F.countDistinct("source_chunk_id").alias("chunks"),
+        F.countDistinct(F.unhex(F.sha2(F.col("source_chunk_id").cast("binary"), 256))).alias("chunks"),
         F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"),
     )
     gates = {

@@ -132,7 +132,7 @@ def shape_signal(candidates: DataFrame, labels: DataFrame, case: str) -> DataFra
 
 
 def claim_aliases(claims: DataFrame, case: str) -> DataFrame:
-    """Every pair of claims of a case that stand on one node, each claim with the node's first claim as its alias: linear in the claims."""
+    """Each claim of a case with the first claim on its node as its alias, and how many stand on it: a row a claim, not a pair."""
     first = claims.groupBy(case, "node_id").agg(F.min("claim_id").alias("alias_of"), F.count(F.lit(1)).alias("claims"))
     return claims.join(first, [case, "node_id"]).select(case, "node_id", "claim_id", "alias_of", "claims")
 

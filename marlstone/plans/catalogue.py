@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import arguments, audits, binding, bundles, evaluation, graphs, joins, loaders, ranking, readings, records, retrieval, streams, texts, vectors  # noqa: F401  registers
+from marlstone.plans import arguments, audits, binding, bundles, evaluation, graphs, joins, loaders, ranking, readings, records, reports, retrieval, streams, texts, vectors  # noqa: F401  registers
 from marlstone.plans.registry import ORACLE, QUERIES
 
 

@@ -158,12 +158,34 @@ def _user_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("value > 150").select("user_id", "event_type", (F.get_json_object("props", "$.k").cast("int") % 10).alias("k")).distinct()
 
 
-@query("shared_modality_pairs")
+@query("shared_modality_pairs", """WITH k AS (SELECT user_id, event_type, list_sort(list(DISTINCT (props->>'$.k')::INT % 10)) AS ks FROM events WHERE value > 150 GROUP BY ALL),
+c AS (SELECT event_type, ks, min(user_id) AS class, count(*) AS users FROM k GROUP BY ALL)
+SELECT a.event_type, a.class AS class_a, b.class AS class_b, len(list_intersect(a.ks, b.ks)) AS shared, CASE WHEN a.class = b.class THEN a.users * (a.users - 1) // 2 ELSE a.users * b.users END AS pairs FROM c a JOIN c b ON a.event_type = b.event_type AND a.class <= b.class AND list_has_any(a.ks, b.ks) WHERE a.class < b.class OR a.users > 1""")
 def shared_modality_pairs(spark, sf_dir):
-    """All pairs of users of the same event type whose key sets meet; ``shared_modality_join`` asks for some users only."""
-    k = _user_keys(spark, sf_dir)
-    met = k.withColumnRenamed("user_id", "a").join(k.withColumnRenamed("user_id", "b"), ["event_type", "k"]).filter("a < b")
-    return met.groupBy("a", "b", "event_type").agg(F.count(F.lit(1)).alias("shared"))
+    """All pairs of users of one event type whose key sets meet, as pairs of classes of users with equal sets, by their smallest users.
+
+    ``pairs`` counts the users' pairs behind a row; ``shared_modality_classes`` says who is in a class.  There are as many classes as
+    different sets, not as users, so no pair of users is ever made.
+    """
+    c = _user_classes(spark, sf_dir).groupBy("event_type", "class").agg(F.first("ks").alias("ks"), F.count(F.lit(1)).alias("users"))
+    k = c.select("event_type", "class", "users", F.explode("ks").alias("k"))
+    met = k.withColumnsRenamed({"class": "class_a", "users": "users_a"}).join(k.withColumnsRenamed({"class": "class_b", "users": "users_b"}), ["event_type", "k"]).filter("class_a <= class_b")
+    rows = met.groupBy("event_type", "class_a", "class_b").agg(F.count(F.lit(1)).alias("shared"), F.first("users_a").alias("a"), F.first("users_b").alias("b"))
+    pairs = F.when(F.col("class_a") == F.col("class_b"), F.expr("a * (a - 1) div 2")).otherwise(F.col("a") * F.col("b"))
+    return rows.withColumn("pairs", pairs).filter("pairs > 0").select("event_type", "class_a", "class_b", "shared", "pairs")
+
+
+@query("shared_modality_classes", """WITH k AS (SELECT user_id, event_type, list_sort(list(DISTINCT (props->>'$.k')::INT % 10)) AS ks FROM events WHERE value > 150 GROUP BY ALL)
+SELECT user_id, event_type, min(user_id) OVER (PARTITION BY event_type, ks) AS class FROM k""")
+def shared_modality_classes(spark, sf_dir):
+    """Each user's class: the smallest user of the event type with the same key set."""
+    return _user_classes(spark, sf_dir).select("user_id", "event_type", "class")
+
+
+def _user_classes(spark, sf_dir):
+    sets = _user_keys(spark, sf_dir).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    lowest = sets.groupBy("event_type", "ks").agg(F.min("user_id").alias("class"))
+    return sets.join(lowest, ["event_type", "ks"])
 
 
 @query("cache_misses", "SELECT doc_id, sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) AS cache_key FROM documents WHERE sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) NOT IN (SELECT sha256(coalesce(lang, chr(1)) || chr(0) || coalesce(text, chr(1))) FROM documents WHERE doc_id % 2 = 0)")
