@@ -13,8 +13,8 @@ from marlstone.llm.common import let, word_array
 SHINGLE_WORDS = 5
 #: One shingle hash in this many is kept.
 SCALE = 8
-#: A text with fewer kept hashes than this has few shingles, and keeps all of them.
-FEW = 32
+#: Texts of at most so many distinct shingles have them all in a list beside the sketch.
+EXACT = 256
 #: Documents of one run of ids, and the most cuts the driver holds; beyond them runs grow, and their windows spill.
 RUN, MAX_RUNS = 512, 1 << 16
 
@@ -25,71 +25,68 @@ def threshold(scale: int = SCALE) -> int:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = SHINGLE_WORDS, scale: int = SCALE) -> DataFrame:
-    """Add ``out``: the sorted distinct hashes, below the threshold, of the text's ``words``-word shingles.
+    """Add ``out``, struct(kept, whole) of the text's ``words``-word shingles.
 
-    A text with fewer words has one shingle, the whole sequence; one without words has an empty sketch.
-    A sketch with fewer than ``FEW`` hashes below the threshold also has all those above it: short texts
-    compare exactly with each other, and by the hashes below the threshold with long ones.
+    ``kept``, the sketch, has the sorted distinct hashes below the threshold, whatever the length.  ``whole`` has all distinct hashes of
+    a text of at most ``EXACT`` of them, which a sketch can say little of, and is null for others.
+    A text with fewer words has one shingle, the whole sequence; one without words has none.
     """
     w, h = F.col("__sk_w"), F.col("__sk_h")
     shingles = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, words)]))
     n = F.size(w)
     df = df.withColumn("__sk_w", word_array(F.col(text)))
     df = df.withColumn("__sk_h", F.when(n >= words, F.slice(shingles, 1, F.greatest(n - (words - 1), F.lit(1)))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("__sk_k", F.array_distinct(_below(h, scale)))
-    kept = F.when(F.size("__sk_k") < FEW, F.array_distinct(h)).otherwise(F.col("__sk_k"))
-    return df.withColumn(out, F.sort_array(kept)).drop("__sk_w", "__sk_h", "__sk_k")
+    kept = F.sort_array(F.array_distinct(F.filter(h, lambda x: x < threshold(scale))))
+    # a text of many more shingles than that repeats most of them, and is not worth the look
+    whole = F.when(F.size(h) <= 8 * EXACT, let(F.array_distinct(h), lambda d: F.when(F.size(d) <= EXACT, F.sort_array(d))))
+    return df.withColumn(out, F.struct(kept.alias("kept"), whole.alias("whole"))).drop("__sk_w", "__sk_h")
 
 
-def _below(hashes: Column, scale: int) -> Column:
-    return F.filter(hashes, lambda x: x < threshold(scale))
+def merge(a: Column, b: Column) -> Column:
+    """What two texts' shingles together give: their sketch, and all of them if both texts have theirs and they are few."""
+    every = F.sort_array(F.array_union(a["whole"], b["whole"]))
+    return F.struct(F.sort_array(F.array_union(a["kept"], b["kept"])).alias("kept"), F.when(F.size(every) <= EXACT, every).alias("whole"))
 
 
-def is_whole(sketch: Column, scale: int = SCALE) -> Column:
-    """Whether a sketch has every shingle: fewer than ``FEW`` of its hashes, which are sorted, lie below the threshold."""
-    return F.coalesce(F.get(sketch, F.lit(FEW - 1)) >= threshold(scale), F.lit(True))
-
-
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts' shingles together, equal to the one made from all of them at once."""
-    both = F.sort_array(F.array_union(a, b))
-    return F.when(is_whole(both, scale), both).otherwise(_below(both, scale))
-
-
-def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Struct of ``near`` (``resemblance``) and ``part`` (``containment`` of a in b), from one intersection.
 
-    Compared are the hashes that either sketch would hold if its text had them: all of two whole
-    sketches, else those below the threshold.
+    Two texts with all their shingles compare by these, exactly; any other two by their sketches.
     """
-    whole = is_whole(a, scale) & is_whole(b, scale)
-    pair = F.struct(F.when(whole, a).otherwise(_below(a, scale)).alias("x"), F.when(whole, b).otherwise(_below(b, scale)).alias("y"))
+    whole = a["whole"].isNotNull() & b["whole"].isNotNull()
+    pair = F.struct(F.when(whole, a["whole"]).otherwise(a["kept"]).alias("x"), F.when(whole, b["whole"]).otherwise(b["kept"]).alias("y"))
     sizes = let(pair, lambda p: F.struct(F.size(p["x"]).alias("x"), F.size(p["y"]).alias("y"), F.size(F.array_intersect(p["x"], p["y"])).alias("both")))
 
     def told(n: Column) -> Column:
         union = n["x"] + n["y"] - n["both"]
-        near = F.when(union == 0, F.lit(1.0)).otherwise(n["both"] / F.greatest(union, F.lit(1)))
-        part = F.when(F.size(a) == 0, F.lit(1.0)).when(n["x"] > 0, n["both"] / F.greatest(n["x"], F.lit(1)))
+        near = F.when(union > 0, n["both"] / F.greatest(union, F.lit(1))).when(whole, 1.0).otherwise(0.0)
+        empty = F.coalesce(F.size(a["whole"]), F.lit(1)) == 0
+        part = F.when(empty, F.lit(1.0)).when(n["x"] > 0, n["both"] / F.greatest(n["x"], F.lit(1)))
         return F.struct(near.alias("near"), part.alias("part"))
 
     return let(sizes, told)
 
 
-def resemblance(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """Share of common shingles among all, estimated from two sketches; 1 for two wordless texts."""
-    return likeness(a, b, scale)["near"]
+def resemblance(a: Column, b: Column) -> Column:
+    """Share of common shingles among all, estimated from two sketches; 1 for two wordless texts, 0 where neither sketch has a hash."""
+    return likeness(a, b)["near"]
 
 
-def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+def containment(a: Column, b: Column) -> Column:
     """Share of a's shingles that b has too, estimated from two sketches; 1 for a wordless a.
 
-    Null if there is no estimate: b is long, and no hash of a lies below the threshold.
+    Null if there is no estimate: the texts have no lists of all shingles both, and a's sketch has no hash.
     """
-    return likeness(a, b, scale)["part"]
+    return likeness(a, b)["part"]
+
+
+def _hexed(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """The sketch's hashes in hexadecimal, then, for a text that has the list, a colon and all its hashes."""
+    return F.concat(_hexed(sketch["kept"]), F.when(sketch["whole"].isNotNull(), F.concat(F.lit(":"), _hexed(sketch["whole"]))).otherwise(""))
 
 
 def _numbers(values: list, kind: str) -> Column:
