@@ -15,6 +15,7 @@ Ids are packed in 64 lanes of BLOCK / 64: lane j of word row r holds bits j * wi
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -187,6 +188,24 @@ class Reader:
             yield None if self.null[k] else int(self.doc_ids[k]), int(self.firsts[k]), n, crc
 
 
+# The rules of tokenizers whose texts may be cut at blanks, lower-cased, and parted before a lone mark.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+
+
+def require_rules(tokenizer: dict) -> None:
+    """An error unless the tokenizer normalizes, cuts and ends words in the way that ``WordEncoder``'s shortcuts rely on."""
+    first = ((tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    there = {
+        "normalizer": (tokenizer.get("normalizer") or {}).get("normalizers") == NORMALIZERS,
+        "pattern": (first.get("pattern") or {}).get("Regex") == PATTERN and first.get("invert") is True,
+        "word end": tokenizer["model"].get("end_of_word_suffix") == WORD_END and not tokenizer["model"].get("continuing_subword_prefix"),
+    }
+    if not all(there.values()):
+        raise ValueError(f"this tokenizer has another {', '.join(k for k, ok in there.items() if not ok)}; its texts cannot be cut at blanks")
+
+
 class WordEncoder:
     """Ids of a text by the library, which sees each ASCII-blank-separated stretch once while it is held.
 
@@ -201,6 +220,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        require_rules(json.loads(self.tok.to_str()))
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -255,10 +275,14 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, out_dir: str, doc_
     """Encode all texts, append ``end_id`` to each, and write files in ascending id order.
 
     Returns (path, ids) of each file in order.  Null ids come first; repeated ids stay together; a
-    null text is empty.  A task writes under its attempt's own name and only files that a finished
+    null text is empty.  Ids are whole numbers, or text of such; other ids are an error rather than a null.  A task writes under its attempt's own name and only files that a finished
     task reports are used, so a lost executor's half-written file is never read.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    ident = F.col(doc_id).cast("long")
+    if docs.schema[doc_id].dataType.simpleString() == "string":
+        whole = F.regexp_like(F.col(doc_id), F.lit("^[+-]?[0-9]+\\z"))
+        ident = F.when(F.col(doc_id).isNull() | whole, F.col(doc_id).cast("long")).otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), F.col(doc_id))).cast("long"))
+    plain = docs.select(ident.alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
