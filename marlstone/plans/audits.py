@@ -81,14 +81,6 @@ def record_hashes(spark, sf_dir):
     return audits.replace_by_digest(hashed, ["p_name", "p_type"]).select("p_partkey", "prediction_sha256", "dropped_sha256")
 
 
-@query("canonical_ids", """SELECT o_orderkey, o_orderkey % 4 = 0 AS is_source, o_orderkey % 4 = 1 AS is_candidate FROM orders""")
-def canonical_ids(spark, sf_dir):
-    """Identifiers of the right form, of a wrong length and in capitals."""
-    k, digest = F.col("o_orderkey"), F.substring(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), 1, 20)
-    name = F.when(k % 4 == 0, F.concat(F.lit("source-chunk:"), digest)).when(k % 4 == 1, F.concat(F.lit("candidate:"), digest)).when(k % 4 == 2, F.concat(F.lit("source-chunk:"), digest, F.lit("\n"))).otherwise(F.concat(F.lit("candidate:A"), F.substring(digest, 1, 19)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("i")).select("o_orderkey", typed.is_source_id(F.col("i")).alias("is_source"), typed.is_candidate_id(F.col("i")).alias("is_candidate"))
-
-
 @query("log_spans", """WITH k AS (SELECT user_id, ts, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE event_type END AS kind FROM events),
 n AS (SELECT *, lead(kind) OVER w AS k2, lead(ts) OVER w AS t2 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, kind))
 SELECT user_id, CASE WHEN k2 IN ('completed', 'failed') THEN k2 ELSE 'open' END AS status, CASE WHEN k2 IN ('completed', 'failed') THEN (epoch_us(t2) - epoch_us(ts)) // 1000 END AS duration_ms FROM n WHERE kind = 'started'""")

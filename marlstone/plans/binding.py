@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import atoms as A
 from marlstone.functions import binding as B
-from marlstone.functions import typed
+from marlstone.functions import clinical, typed
 from marlstone.functions.clinical import BINDING_STOPWORDS, TROPONIN
 from marlstone.functions.text import content_id
 from marlstone.operators import binding
@@ -42,15 +42,23 @@ def _zip(pattern: str, *names: str) -> str:
     return f"list_transform(list_zip({', '.join(each)}), lambda z: {{{', '.join(f'{n!r}: z[{k}]' for k, n in enumerate(names, 1))}}})"
 
 
+def _bounded(pattern: str) -> str:
+    """The pattern with its outer word boundaries spelled out, as DuckDB's know ASCII only."""
+    inner = pattern.removeprefix("(?i)")
+    if inner.startswith(r"\b") and inner.endswith(r"\b"):
+        return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{inner[2:-2]})(?:$|[^\p{{L}}\p{{N}}_])"
+    return pattern
+
+
 def _atoms(source: str) -> str:
     """SQL for the atoms of the column t of ``source``, one row a distinct text."""
     cols = [
         f"{_WORDS} AS w",
         f"list_transform({_zip(_NUMBER, 'o', 'v', 'u')}, lambda q: {{'o': {_SIGN.replace('o IN', 'q.o IN')}, 'v': q.v::DOUBLE, 'u': coalesce(q.u, '')}}) AS quantities",
         f"list_transform({_zip(_SPAN, 'a', 'b', 'u')}, lambda q: {{'a': q.a::DOUBLE, 'b': q.b::DOUBLE, 'u': coalesce(q.u, '')}}) AS spans",
-        f"regexp_matches(t, '{B.NEGATION}') AS absent",
-        f"CASE WHEN regexp_matches(t, '{A.COMPARED}') OR regexp_matches(t, '{B.CURRENT}') THEN 'current' WHEN regexp_matches(t, '{B.HISTORICAL}') THEN 'historical' ELSE 'unspecified' END AS tense",
-        f"regexp_matches(t, '{A.NO_ST_ELEVATION}') AS no_st, regexp_matches(t, '{A.ST_DEPRESSION}') AS st, regexp_matches(t, '{A.DIAGNOSTIC_TEST}') AS test, regexp_matches(t, '{B.COMPLETED}') AND NOT regexp_matches(t, '{B.NONFINAL}') AS done",
+        f"regexp_matches(t, '{_bounded(B.NEGATION)}') AS absent",
+        f"CASE WHEN regexp_matches(t, '{_bounded(A.COMPARED)}') OR regexp_matches(t, '{_bounded(B.CURRENT)}') THEN 'current' WHEN regexp_matches(t, '{_bounded(B.HISTORICAL)}') THEN 'historical' ELSE 'unspecified' END AS tense",
+        f"regexp_matches(t, '{_bounded(A.NO_ST_ELEVATION)}') AS no_st, regexp_matches(t, '{A.ST_DEPRESSION}') AS st, regexp_matches(t, '{_bounded(A.DIAGNOSTIC_TEST)}') AS test, regexp_matches(t, '{_bounded(B.COMPLETED)}') AND NOT regexp_matches(t, '{_bounded(B.NONFINAL)}') AS done",
     ]
     return f"(SELECT *, list_distinct(w) AS tok, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM (SELECT t, {', '.join(cols)} FROM (SELECT DISTINCT t FROM {source})))"
 
@@ -89,6 +97,16 @@ def _bound(spark, sf_dir):
 _FAILED = "array_to_string(list_filter(list_transform(list_zip(['observation_present', 'concept_compatible', 'criterion_satisfied', 'temporality_compatible', 'quantity_compatible'], [f_absent = c_absent, semantic, covered, NOT (role = 'diagnostic_criterion' AND f_tense = 'historical'), fits]), lambda z: CASE WHEN NOT z[2] THEN z[1] END), lambda x: x IS NOT NULL), ',')"
 
 
+@query("clinical_atoms", f"""WITH s AS (SELECT list_distinct(list_filter({_parts("text", ";:")}, lambda x: len(x) >= 8)) AS spans FROM documents), found AS (SELECT DISTINCT unnest(spans) AS t FROM s)
+SELECT 'S-' || substr(sha256(t), 1, 16) AS finding_id, CASE WHEN absent THEN 'absent' ELSE 'present' END AS polarity, tense AS temporality, done AS completed, len(tok)::INT AS n_tokens, len(pairs)::INT AS n_pairs, len(quantities)::INT AS n_quantities, len(spans)::INT AS n_ranges,
+coalesce(quantities[1].v, -1) AS first_value, coalesce(quantities[1].o, '') AS op, coalesce(quantities[1].u, '') AS unit FROM {_atoms("found")}""")
+def clinical_atoms(spark, sf_dir):
+    """What each distinct sentence of the documents says: polarity, time, test state, tokens and quantities."""
+    f, first = F.col("finding"), F.get("finding.quantities", F.lit(0))
+    size = lambda n: F.size(f[n]).alias(f"n_{n}")
+    return _bound(spark, sf_dir)[0].select("finding_id", f["polarity"].alias("polarity"), f["temporality"].alias("temporality"), f["completed"].alias("completed"), size("tokens"), size("pairs"), size("quantities"), size("ranges"), F.coalesce(first["value"], F.lit(-1.0)).alias("first_value"), F.coalesce(first["op"], F.lit("")).alias("op"), F.coalesce(first["unit"], F.lit("")).alias("unit"))
+
+
 @query("typed_binding", f"WITH {_BOUND} SELECT finding_id, item_id, role, clause::INT AS clause, round(score, 6) AS score, {_FAILED} AS failed, {_FAILED} = '' AS admissible FROM b WHERE score >= 0.4 OR {_FAILED} = ''")
 def typed_binding(spark, sf_dir):
     """Each sentence against each item with which it shares enough: the best clause, its score and the critical questions it fails."""
@@ -115,7 +133,7 @@ def _subject(name: str) -> str:
 
 
 def _tests(text: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '(?i){p}') THEN '{n}' END" for n, p in typed.TEST_MODALITIES) + "], lambda x: x IS NOT NULL)"
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({text}, '{_bounded('(?i)' + p)}') THEN '{n}' END" for n, p in typed.TEST_MODALITIES) + "], lambda x: x IS NOT NULL)"
 
 
 _LABELLED = f"""l AS (SELECT item_id, {_LABEL} AS t FROM benchmark), la AS (SELECT item_id, tok AS label_tok FROM l JOIN {_atoms("l")} USING (t)),
@@ -125,7 +143,7 @@ p AS (SELECT *, {_FAILED} = '' AND role = 'diagnostic_criterion' AS executable,
 @query("binding_authority", f"""WITH {_BOUND}, {_LABELLED}
 SELECT finding_id, item_id, CASE WHEN NOT executable THEN 'semantic_review' WHEN len(c_quantities) > 0 AND len(f_quantities) > 0 AND subject THEN 'exact_measurement'
 WHEN len(own) > 0 OR len(asked) > 0 THEN CASE WHEN len(own) > 0 AND own = asked AND present AND f_done AND subject THEN 'exact_positive_test' ELSE 'semantic_review' END
-WHEN f_absent AND c_absent AND subject THEN 'explicit_negation' WHEN present AND len(label_tok) > 0 AND len(list_intersect(label_tok, ftok)) = len(label_tok) AND regexp_matches(finding, '{typed.ASSERTION}') THEN 'explicit_current_diagnosis' ELSE 'semantic_review' END AS authority FROM p""")
+WHEN f_absent AND c_absent AND subject THEN 'explicit_negation' WHEN present AND len(label_tok) > 0 AND len(list_intersect(label_tok, ftok)) = len(label_tok) AND regexp_matches(finding, '{_bounded(typed.ASSERTION)}') THEN 'explicit_current_diagnosis' ELSE 'semantic_review' END AS authority FROM p""")
 def binding_authority(spark, sf_dir):
     """What decides each bound pair without review; an item's first two words are its diagnosis."""
     found, wanted = _bound(spark, sf_dir)
@@ -195,6 +213,30 @@ def range_binding(spark, sf_dir):
     return rows.select("p_partkey", B.quantities_meet(F.col("size"), F.col("sizes")).alias("in_range"), B.quantities_meet(F.col("retail"), F.col("prices")).alias("above"))
 
 
+@query("named_thresholds", """WITH b AS (SELECT p_brand, round(avg(p_size), 1) AS size, floor(avg(p_retailprice)) AS price FROM part GROUP BY p_brand)
+SELECT p_partkey, p_size >= size AS large, floor(p_retailprice) < price AS low_sbp, p_size > floor(size) AS high_dbp FROM part JOIN b USING (p_brand)""")
+def named_thresholds(spark, sf_dir):
+    """Each part's size and price, in prose and as a blood pressure, against thresholds made of its brand's means."""
+    part = table(spark, sf_dir, "part")
+    brands = part.groupBy("p_brand").agg(F.round(F.avg("p_size"), 1).alias("size"), F.floor(F.avg("p_retailprice")).alias("price"))
+    text = F.concat(F.lit("rested; size is "), F.col("p_size").cast("string"), F.lit(", BP: "), F.floor("p_retailprice").cast("string"), F.lit("/"), F.col("p_size").cast("string"))
+    rows = part.join(brands, "p_brand").withColumn("text", text)
+    plain = lambda c: c.cast("decimal(18,1)").cast("string")
+    premise = {"large": F.concat(F.lit("unusual size >= "), plain(F.col("size"))), "low_sbp": F.concat(F.lit("low SBP < "), F.col("price").cast("string"), F.lit(" at rest")), "high_dbp": F.concat(F.lit("DBP > "), F.floor("size").cast("string"))}
+    return rows.select("p_partkey", *[clinical.threshold_met(F.col("text"), p).alias(n) for n, p in premise.items()])
+
+
+@query("canonical_ids", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'source-chunk:' ELSE 'candidate:' END || substr(sha256(coalesce(text, '')), 1, 17 + length(lang)::INT + (n_chars % 3)::INT) || CASE WHEN n_chars % 7 = 0 THEN chr(10) ELSE '' END AS id FROM documents)
+SELECT doc_id, id, regexp_matches(id, '^source-chunk:[0-9a-f]{20}\z') AS is_source, regexp_matches(id, '^candidate:[0-9a-f]{20}\z') AS is_candidate FROM d""".replace("\\\\z", "\\z"))
+def canonical_ids(spark, sf_dir):
+    """Identifiers made of texts' digests, of several lengths and some with a line end: which have the right form."""
+    d = table(spark, sf_dir, "documents")
+    length = (17 + F.length("lang") + (F.col("n_chars") % 3)).cast("int")
+    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.lit(1), length)
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "source-chunk:").otherwise("candidate:"), digest, F.when(F.col("n_chars") % 7 == 0, "\n").otherwise(""))
+    return d.select("doc_id", name.alias("id")).select("doc_id", "id", typed.is_source_id(F.col("id")).alias("is_source"), typed.is_candidate_id(F.col("id")).alias("is_candidate"))
+
+
 @query("cited_pairs", """WITH p AS (SELECT o_orderkey AS case_id, l_suppkey AS finding, l_partkey AS knowledge FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 c AS (SELECT DISTINCT l_orderkey AS case_id, l_linenumber // 3 AS claim, l_partkey AS k, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS f FROM lineitem),
 k AS (SELECT DISTINCT p.case_id, claim, finding, knowledge, EXISTS (SELECT 1 FROM c d WHERE d.case_id = c.case_id AND d.claim = c.claim AND d.f = p.finding) AS both_cited FROM p JOIN c ON c.case_id = p.case_id AND c.k = p.knowledge),

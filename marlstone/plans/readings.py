@@ -45,17 +45,6 @@ def propositions(spark, sf_dir):
     return _claims(spark, sf_dir).select("p_partkey", clinical.proposition_kind(c, r).alias("kind"), clinical.relation(c, r).alias("relation"), clinical.conjunctive(c).alias("conjunctive"), clinical.decisive_anchor(c, r).alias("anchor"))
 
 
-@query("named_thresholds", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 80 + o_orderkey % 90 >= 120 WHEN 1 THEN 60 + o_orderkey % 50 < 90 ELSE (o_orderkey % 70) / 10.0 > 4.5 END AS met FROM orders""")
-def named_thresholds(spark, sf_dir):
-    """Measurements in one text against named thresholds in another; blood pressure is read as sbp and dbp."""
-    k = F.col("o_orderkey")
-    num = lambda base, m: (F.lit(base) + k % m).cast("string")
-    bp = F.concat(F.lit("BP: "), num(80, 90), F.lit("/"), num(60, 50), F.lit(", rested"))
-    text = F.when(k % 3 == 2, F.concat(F.lit("potassium is "), ((k % 70) / 10.0).cast("string"))).otherwise(bp)
-    premise = F.when(k % 3 == 0, "raised SBP >= 120").when(k % 3 == 1, "low DBP < 90 at rest").otherwise("serum potassium > 4.5")
-    return table(spark, sf_dir, "orders").select("o_orderkey", clinical.threshold_met(text, premise).alias("met"))
-
-
 @query("normalized_answers", """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Asthma' WHEN 1 THEN c_mktsegment WHEN 2 THEN c_mktsegment WHEN 3 THEN lower(c_mktsegment) || ' fever' WHEN 4 THEN 'COPD' ELSE c_mktsegment END AS answer FROM customer""")
 def normalized_answers(spark, sf_dir):
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")

@@ -42,16 +42,6 @@ def _findings(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", finding.alias("finding"))
 
 
-@query("clinical_atoms", f"""SELECT o_orderkey, CASE WHEN regexp_matches(finding, '(?i)\\b(no|not|without|denies|denied|negative|absent|absence of|lacks|lack of)\\b') THEN 'absent' ELSE 'present' END AS polarity,
-CASE WHEN regexp_matches(finding, '(?i)\\b(current|currently|today|now|presented|acute|new|on admission)\\b') THEN 'current' WHEN regexp_matches(finding, '(?i)\\b(history of|historical|previous|previously|prior|status post|s/p|remote)\\b') THEN 'historical' ELSE 'unspecified' END AS temporality,
-regexp_matches(finding, 'showed|evidence of') AND NOT regexp_matches(finding, 'ordered|possible') AS completed, coalesce(nullif(regexp_extract(finding, '(\\d+(\\.\\d+)?)', 1), '')::DOUBLE, -1) AS first_value,
-CASE WHEN regexp_matches(finding, 'at least') THEN '>=' WHEN regexp_matches(finding, 'above') THEN '>' WHEN regexp_matches(finding, '\\d') THEN '=' ELSE '' END AS op FROM {_FINDINGS}""")
-def clinical_atoms(spark, sf_dir):
-    """Polarity, time, test state and the first quantity of each finding."""
-    f, first = F.col("finding"), F.get(B.stated_quantities(F.col("finding")), F.lit(0))
-    return _findings(spark, sf_dir).select("o_orderkey", B.polarity(f).alias("polarity"), B.temporality(f).alias("temporality"), B.completed_result(f).alias("completed"), F.coalesce(first["value"], F.lit(-1.0)).alias("first_value"), F.coalesce(first["op"], F.lit("")).alias("op"))
-
-
 @query("evidence_namespaces", """SELECT o_orderkey, CASE WHEN starts_with(id, 'S-') THEN 'patient' WHEN starts_with(id, 'K') THEN 'knowledge' WHEN starts_with(id, 'P-') THEN 'pair' ELSE 'other' END AS namespace FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'S-' WHEN 1 THEN 'KFA-' WHEN 2 THEN 'K' WHEN 3 THEN 'P-D' ELSE 'X' END || o_orderkey AS id FROM orders)""")
 def evidence_namespaces(spark, sf_dir):
     """Identifiers by prefix, in an order in which the shorter knowledge prefix wins."""
