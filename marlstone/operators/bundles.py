@@ -125,6 +125,19 @@ def fixed_bundle(bindings: DataFrame, siblings: DataFrame, by: str, k: int) -> D
     return rows.select(by, place.alias("place"), F.concat(F.lit("K"), place).alias("evidence_id"), "fact.source_id", "fact.rank", F.round(1 / F.col("fact.rank"), 6).alias("score"))
 
 
+def family_child_facts(premises: DataFrame, routes: DataFrame, allowed: DataFrame, by: str) -> DataFrame:
+    """``by, place, evidence_id, graph_id, source_id`` of all facts of the graphs that a query's ``routes`` (by, graph_id) select.
+
+    Only sources that the query may cite, in ``allowed`` (by, source_id), in the order of graph, path, node and source; ids are ``KF1`` on.
+    ``premises`` has ``graph_id, diagnostic_path, node_id, source_id``; a graph that several routes name counts once.
+    """
+    # by source first: a graph has many facts, a query may cite few
+    may = allowed.select(by, "source_id").distinct().join(premises.select("graph_id", "diagnostic_path", "node_id", "source_id"), "source_id")
+    may = may.join(routes.select(by, "graph_id").distinct(), [by, "graph_id"], "left_semi")
+    place = F.row_number().over(Window.partitionBy(by).orderBy("graph_id", "diagnostic_path", "node_id", "source_id"))
+    return may.withColumn("place", place).select(by, "place", F.concat(F.lit("KF"), F.col("place").cast("string")).alias("evidence_id"), "graph_id", "source_id")
+
+
 def question_set(cases: DataFrame, sections: DataFrame, expected: DataFrame, instruction: str) -> DataFrame:
     """``case_id, evidence, payload, gold_label, gold_category, problem`` of every expected case.
 

@@ -92,3 +92,12 @@ def package_gate(spark, sf_dir):
     files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.sha2(F.col("c_nationkey").cast("string"), 256).alias("sha256"))
     listed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.sha2(F.col("s_nationkey").cast("string"), 256).alias("sha256"))
     return bundles.package_gate(files, listed)
+
+
+@query("family_child_facts", """WITH r AS (SELECT DISTINCT o_custkey, o_orderstatus || o_orderpriority AS graph_id FROM orders WHERE o_totalprice > 200000)
+SELECT o_custkey, place, 'KF' || place AS evidence_id, graph_id, source_id FROM (SELECT o.o_custkey, graph_id, o_orderkey AS source_id, row_number() OVER (PARTITION BY o.o_custkey ORDER BY graph_id, [o_orderstatus, o_orderpriority], o_totalprice, o_orderkey) AS place FROM orders o JOIN r ON r.o_custkey = o.o_custkey AND graph_id = o_orderstatus || o_orderpriority)""")
+def family_child_facts(spark, sf_dir):
+    """A customer's orders of the kinds of its large ones: all facts of the selected families that it may cite."""
+    o = table(spark, sf_dir, "orders").withColumn("graph_id", F.concat("o_orderstatus", "o_orderpriority"))
+    premises = o.select("graph_id", F.array("o_orderstatus", "o_orderpriority").alias("diagnostic_path"), F.col("o_totalprice").alias("node_id"), F.col("o_orderkey").alias("source_id"))
+    return bundles.family_child_facts(premises, o.filter("o_totalprice > 200000"), o.select("o_custkey", F.col("o_orderkey").alias("source_id")), "o_custkey")
