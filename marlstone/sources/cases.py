@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from marlstone.sources.readers import json_trees, premises
 SECTIONS = ("chief_complaint", "history_of_present_illness", "past_medical_history", "family_history", "physical_exam", "pertinent_results")
 INPUTS = tuple(f"input{k}" for k in range(1, 7))
 CASES, GRAPHS = "Finished", "Diagnosis_flowchart"
-LAYOUTS = ("", "/unpacked", "/mimic_iv_ext_direct/unpacked")
+LAYOUTS = ("", "/unpacked")
 
 _TREE = "case_id string, n int, parent int, key string, problem string"
 
@@ -27,9 +27,9 @@ def _plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
 
-def dataset_root(spark: SparkSession, path: str) -> str:
-    """The first layout below ``path`` that has both the cases' and the graphs' folder, in any store that Spark reads."""
-    for layout in LAYOUTS:
+def dataset_root(spark: SparkSession, path: str, layouts: Sequence[str] = LAYOUTS) -> str:
+    """The first of the ``layouts`` below ``path`` that has both the cases' and the graphs' folder, in any store that Spark reads."""
+    for layout in layouts:
         root = f"{path.rstrip('/')}{layout}"
         there = [spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}") for name in (CASES, GRAPHS)]
         if all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in there):

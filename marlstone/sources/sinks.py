@@ -45,8 +45,12 @@ def bundle(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def manifest(df: DataFrame, path: str) -> None:
-    """A run's manifest, one row, as JSON in place of an older one; readers see either, whole."""
-    publish({"manifest": df.coalesce(1)}, path, "json")
+    """A run's manifest, one row, as one JSON file: written under another name and renamed over an older one, so readers see either, whole."""
+    rows = df.toJSON().take(2)
+    if len(rows) != 1:
+        raise ValueError("a manifest is one row")
+    beside, _, name = path.rstrip("/").rpartition("/")
+    _put(df.sparkSession, f"{beside}/.{name}-{uuid.uuid4().hex}", rows[0] + "\n", path)
 
 
 #: Steps of ``publish`` in order; a test stops it after each.
@@ -70,24 +74,34 @@ def publish(tables: dict[str, DataFrame], path: str, kind: str = "parquet", afte
     relative = F.regexp_replace("path", rf"^.*\Q/{name}/\E", "")
     listed.select(relative.alias("path"), "length", "sha256").coalesce(1).write.json(f"{version}/_manifest")
     after("manifest")
-    _put(spark, f"{path.rstrip('/')}/.{name}", name)
+    staged = f"{path.rstrip('/')}/.{name}"
+    _put(spark, staged, name)
     after("pointer")
-    jvm = spark._jvm
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri() if "://" in path else jvm.java.net.URI("file:///"), spark._jsc.hadoopConfiguration())
-    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/.{name}"), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/CURRENT"), how)
+    _rename(spark, staged, f"{path.rstrip('/')}/CURRENT")
     after("commit")
     return name
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
+def _put(spark: SparkSession, path: str, text: str, then: str | None = None) -> None:
+    """Write a small text to ``path`` and, if ``then`` is given, rename it over that."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    if then is not None:
+        _rename(spark, path, then)
+
+
+def _rename(spark: SparkSession, path: str, over: str) -> None:
+    """One rename of a file over another, which the store does whole or not at all."""
+    jvm = spark._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, over))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(old, new, how)
 
 
 def current(spark: SparkSession, path: str) -> str:

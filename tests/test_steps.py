@@ -177,7 +177,10 @@ def test_manifest_replaces_an_older_one(spark, tmp_path):
     path = str(tmp_path / "m")
     for n in (1, 2):
         sinks.manifest(spark.createDataFrame([(n,)], "n int"), path)
-        assert [r["n"] for r in sinks.published(spark, path, "manifest", "json").collect()] == [n]
+        assert [r["n"] for r in spark.read.json(path).collect()] == [n]
+    with pytest.raises(ValueError):
+        sinks.manifest(spark.range(2), path)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["m"]
 
 
 # ---- resampling

@@ -40,5 +40,13 @@ def test_shared_modality_pairs_are_all_pairs(spark):
     for user, kind, props in connect(SMALL).sql("SELECT user_id, event_type, props FROM events WHERE value > 150").fetchall():
         keys.setdefault((kind, user), set()).add(json.loads(props)["k"] % 10)
     want = {(a, b, kind, len(x & y)) for (kind, a), x in keys.items() for (other, b), y in keys.items() if kind == other and a < b and x & y}
-    got = [tuple(r) for r in QUERIES["shared_modality_pairs"](spark, SMALL).select("a", "b", "event_type", "shared").collect()]
+    members = {}
+    for r in QUERIES["shared_modality_classes"](spark, SMALL).collect():
+        members.setdefault((r["event_type"], r["class"]), []).append(r["user_id"])
+    got = []
+    for r in QUERIES["shared_modality_pairs"](spark, SMALL).collect():
+        a, b = (members[r["event_type"], r[c]] for c in ("class_a", "class_b"))
+        users = {(min(x, y), max(x, y)) for x in a for y in b if x != y}
+        assert len(users) == r["pairs"]
+        got += [(x, y, r["event_type"], r["shared"]) for x, y in users]
     assert want and len(got) == len(want) and set(got) == want
