@@ -41,7 +41,9 @@ def _matched(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> tuple
     if wanted.count() <= BROADCAST_TERMS:
         wanted = F.broadcast(wanted)
     toks = docs.select(F.col(doc).alias("doc"), tokens(F.col("text")).alias("toks"))
-    each = toks.select("doc", F.size("toks").alias("doc_len"), F.size(F.array_distinct("toks")).alias("n_terms"), F.explode(F.array_append("toks", F.lit(_MARK))).alias("term")).join(wanted, "term", "left_semi")
+    # sizes are taken before the rows are made, or they would be taken again for each
+    sized = toks.select("doc", "toks", F.size("toks").alias("doc_len"), F.size(F.array_distinct("toks")).alias("n_terms"))
+    each = sized.select("doc", "doc_len", "n_terms", F.explode(F.array_append("toks", F.lit(_MARK))).alias("term")).join(wanted, "term", "left_semi")
     # dealt by document alone: the counts here and the scores by (query, document) later need no other shuffle
     counted = written(each.repartition("doc").groupBy("doc", "doc_len", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")))
     marks, tf = counted.filter(F.col("term") == _MARK), counted.filter(F.col("term") != _MARK)
