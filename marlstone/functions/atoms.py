@@ -6,13 +6,12 @@ many pairs it is in.  Atoms are plain structs; a decision is an expression over
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlstone.functions import binding as B
 from marlstone.functions.clinical import binding_tokens
+from marlstone.functions.text import let
 
 # Words of elevation, and patterns of a starred value, of ST changes and of diagnostic tests.
 ELEVATION = ("above", "elevated", "exceeded", "high", "increase", "increased")
@@ -28,11 +27,6 @@ ROLES = ("diagnostic_criterion", "clinical_feature", "risk_factor", "guideline")
 QUESTIONS = ("observation_present", "concept_compatible", "criterion_satisfied", "temporality_compatible", "quantity_compatible", "scheme_role_compatible")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def flat(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
@@ -55,7 +49,8 @@ def rising(text: Column, tokens: Column) -> Column:
         own = F.filter(series, lambda x: x["name"] == name)
         return (F.size(own) > 1) & (F.try_element_at(own, F.lit(-1))["value"] > F.try_element_at(own, F.lit(1))["value"])
 
-    return let(read, lambda series: F.filter(F.array_distinct(F.transform(series, lambda x: x["name"])), lambda n: n.isNotNull() & F.array_contains(tokens, n) & climbs(series, n)))
+    names_of = let(read, lambda series: F.filter(F.array_distinct(F.transform(series, lambda x: x["name"])), lambda n: n.isNotNull() & F.array_contains(tokens, n) & climbs(series, n)))
+    return F.when(F.contains(text, F.lit("*")), names_of).otherwise(F.array().cast("array<string>"))
 
 
 def atom(text: Column, concepts: Column | None = None) -> Column:
@@ -65,8 +60,7 @@ def atom(text: Column, concepts: Column | None = None) -> Column:
     """
     raw, known = F.coalesce(text, F.lit("")), F.array().cast("array<string>") if concepts is None else F.coalesce(concepts, F.array().cast("array<string>"))
 
-    def read(words: Column) -> Column:
-        one_line = flat(raw)
+    def read(words: Column, one_line: Column) -> Column:
         starts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         pairs = F.array_distinct(F.transform(starts, lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))))
         return F.struct(
@@ -86,7 +80,7 @@ def atom(text: Column, concepts: Column | None = None) -> Column:
             B.completed_result(one_line).alias("completed"),
         )
 
-    return let(binding_tokens(raw), read)
+    return let(flat(raw), lambda one_line: let(binding_tokens(raw), lambda words: read(words, one_line)))
 
 
 def clauses(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import holds
+from marlstone.functions.text import holds, let
 
 # Words that decide polarity, time, and the state of a test.
 NEGATION = r"(?i)\b(?:no|not|without|denies|denied|negative|absent|absence of|lacks|lack of)\b"
@@ -56,12 +56,17 @@ def completed_result(text: Column) -> Column:
     return F.regexp_like(text, F.lit(COMPLETED)) & ~F.regexp_like(text, F.lit(NONFINAL))
 
 
+def _with_digits(text: Column) -> Column:
+    """The lower-cased text; an empty one in place of a text without digits, which no pattern of numbers matches."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.regexp_like(low, F.lit("[0-9]")), low).otherwise("")
+
+
 def stated_quantities(text: Column) -> Column:
     """(op, value, unit) of every number, with operator words read as signs and no operator as ``=``."""
     words = "|".join(w for ws in OPERATORS.values() for w in sorted(ws, key=len, reverse=True))
     pattern = F.lit(rf"({words})?\s*(\d+(?:\.\d+)?)\s*({_UNITS})?")
-    low = F.lower(F.coalesce(text, F.lit("")))
-    parts = [F.regexp_extract_all(low, pattern, F.lit(k)).alias(n) for k, n in ((1, "op"), (2, "value"), (3, "unit"))]
+    parts = lambda low: [F.regexp_extract_all(low, pattern, F.lit(k)).alias(n) for k, n in ((1, "op"), (2, "value"), (3, "unit"))]
 
     def read(x: Column) -> Column:
         sign = F.lit("=")
@@ -69,7 +74,7 @@ def stated_quantities(text: Column) -> Column:
             sign = F.when(x["op"].isin(*ws), s).otherwise(sign)
         return F.struct(sign.alias("op"), x["value"].cast("double").alias("value"), F.coalesce(x["unit"], F.lit("")).alias("unit"))
 
-    return F.transform(F.arrays_zip(*parts), read)
+    return let(_with_digits(text), lambda low: F.transform(F.arrays_zip(*parts(low)), read))
 
 
 def quantity_compatible(observed: Column, criterion: Column) -> Column:
@@ -81,10 +86,10 @@ def quantity_compatible(observed: Column, criterion: Column) -> Column:
 
 def ranges(text: Column) -> Column:
     """(low, high, unit) of every range such as "120-140 mmHg" or "3 to 5"."""
-    low = F.lower(F.coalesce(text, F.lit("")))
     pattern = F.lit(rf"(\d+(?:\.\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:\.\d+)?)\s*({_RANGE_UNITS})?")
-    parts = [F.regexp_extract_all(low, pattern, F.lit(k)).alias(n) for k, n in ((1, "low"), (2, "high"), (3, "unit"))]
-    return F.transform(F.arrays_zip(*parts), lambda x: F.struct(x["low"].cast("double").alias("low"), x["high"].cast("double").alias("high"), F.coalesce(x["unit"], F.lit("")).alias("unit")))
+    parts = lambda low: [F.regexp_extract_all(low, pattern, F.lit(k)).alias(n) for k, n in ((1, "low"), (2, "high"), (3, "unit"))]
+    read = lambda x: F.struct(x["low"].cast("double").alias("low"), x["high"].cast("double").alias("high"), F.coalesce(x["unit"], F.lit("")).alias("unit"))
+    return let(_with_digits(text), lambda low: F.transform(F.arrays_zip(*parts(low)), read))
 
 
 def quantities_meet(finding: Column, criterion: Column) -> Column:

@@ -88,13 +88,20 @@ def binding_tokens(text: Column) -> Column:
     """Tokens with numeric tails cut, troponin names joined and plurals made singular; three letters or more."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9][A-Za-z0-9/-]*"), F.lit(0))
 
-    def read(raw: Column) -> Column:
-        t = F.regexp_replace(F.regexp_replace(F.lower(raw), "^[-/]+|[-/]+$", ""), r"[-/:][<>]?\d.*$", "")
-        t = F.when(F.regexp_replace(t, "[^a-z0-9]", "").isin(*TROPONIN), F.lit("troponin")).otherwise(t)
+    # one pass a step, as an expression named twice is read twice; only words with a sign inside have a tail to cut
+    def cut(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("-")) | F.contains(t, F.lit("/")), F.regexp_replace(t, r"[-/:][<>]?\d.*$", "")).otherwise(t)
+
+    def named(t: Column) -> Column:
+        return F.when(F.translate(t, "-/", "").isin(*TROPONIN), F.lit("troponin")).otherwise(t)
+
+    def read(t: Column) -> Column:
         many, one = (F.length(t) > 5) & F.endswith(t, F.lit("ies")), (F.length(t) > 5) & F.endswith(t, F.lit("s")) & ~F.endswith(t, F.lit("ss"))
         return F.when(many, F.concat(F.substring(t, 1, F.length(t) - 3), F.lit("y"))).when(one, F.substring(t, 1, F.length(t) - 1)).otherwise(t)
 
-    return F.filter(F.transform(found, read), lambda t: (F.length(t) >= 3) & ~t.isin(*BINDING_STOPWORDS))
+    bare = F.transform(found, lambda raw: F.btrim(F.lower(raw), F.lit("-/")))
+    words = F.transform(F.transform(F.transform(bare, cut), named), read)
+    return F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*BINDING_STOPWORDS))
 
 
 def candidate_terms(text: Column, limit: int = 120) -> Column:

@@ -52,10 +52,11 @@ def assess(finding: Column, criterion: Column, role: Column) -> Column:
     return A.let(A.atom(finding), lambda f: A.let(A.clause_atoms(criterion), lambda c: A.assess(f, c, role)))
 
 
-def authority_of(finding: Column, criterion: Column, candidate: Column, role: Column) -> Column:
+def authority_of(finding: Column, criterion: Column, candidate: Column, role: Column, told: Column | None = None) -> Column:
     """What decides a pair of atoms without review: an executed measurement, an asserted test result, a stated absence or a named current diagnosis; else ``semantic_review``.
 
-    ``criterion`` has the clause atoms; the best clause decides.  ``candidate`` is the diagnosis as an atom.
+    ``criterion`` has the clause atoms; the best clause decides.  ``candidate`` is the diagnosis as an atom, ``told`` what
+    ``atoms.assess`` said of the pair, if it is known.
     """
 
     def decide(told: Column) -> Column:
@@ -78,7 +79,7 @@ def authority_of(finding: Column, criterion: Column, candidate: Column, role: Co
 
         return A.let(F.get(criterion, told["clause"]), of)
 
-    return A.let(A.assess(finding, criterion, role), decide)
+    return A.let(A.assess(finding, criterion, role) if told is None else told, decide)
 
 
 def authority(finding: Column, criterion: Column, candidate: Column, role: Column) -> Column:
@@ -142,7 +143,8 @@ def patient_spans(text: Column) -> Column:
         return F.when(F.size(own) >= 2, _flat(F.substring(t, first + 1, last - first)))
 
     series = F.filter(F.transform(F.array_distinct(F.transform(at, lambda m: m["name"])), span), lambda s: F.length(s).between(8, 2000))
-    return F.array_distinct(F.concat(clauses, series))
+    starred = F.when(F.contains(t, F.lit("*")), series).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(clauses, starred))
 
 
 def contains_extract(source: Column, extract: Column) -> Column:

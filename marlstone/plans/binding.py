@@ -11,6 +11,7 @@ from marlstone.functions.clinical import BINDING_STOPWORDS, TROPONIN
 from marlstone.functions.text import content_id
 from marlstone.operators import binding
 from marlstone.plans.registry import query, table, texts
+from marlstone.sources.scratch import written
 
 _BLANK = r"[ \t\n\x0B\f\r]"
 
@@ -85,13 +86,17 @@ met AS (SELECT finding_id, item_id, clause, {_ROLE} AS role, f.t AS finding, c.t
 {_judged("role")}"""
 
 
-def _bound(spark, sf_dir):
-    """The distinct sentences of all documents as findings, the benchmark's items as criteria of four roles."""
+def _found(spark, sf_dir):
+    """The distinct sentences of all documents as findings, written: each is read into an atom once."""
     spans = texts(spark, sf_dir, "text").select(F.explode(typed.patient_spans(F.col("text"))).alias("t")).distinct()
-    found = binding.findings(spans.withColumn("finding_id", content_id("S-", F.col("t"), 16)), ["finding_id"], "t")
+    return written(binding.findings(spans.withColumn("finding_id", content_id("S-", F.col("t"), 16)), ["finding_id"], "t"))
+
+
+def _bound(spark, sf_dir):
+    """The sentences as findings, the benchmark's items as criteria of four roles."""
     role = F.get(F.array(F.lit("diagnostic_criterion"), F.lit("clinical_feature"), F.lit("risk_factor"), F.lit("guideline")), (F.col("item_id") % 4).cast("int"))
     wanted = binding.criteria(table(spark, sf_dir, "benchmark").withColumn("role", role), ["item_id"], "text", "role")
-    return found, wanted
+    return _found(spark, sf_dir), written(wanted)
 
 
 _FAILED = "array_to_string(list_filter(list_transform(list_zip(['observation_present', 'concept_compatible', 'criterion_satisfied', 'temporality_compatible', 'quantity_compatible'], [f_absent = c_absent, semantic, covered, NOT (role = 'diagnostic_criterion' AND f_tense = 'historical'), fits]), lambda z: CASE WHEN NOT z[2] THEN z[1] END), lambda x: x IS NOT NULL), ',')"
@@ -104,7 +109,7 @@ def clinical_atoms(spark, sf_dir):
     """What each distinct sentence of the documents says: polarity, time, test state, tokens and quantities."""
     f, first = F.col("finding"), F.get("finding.quantities", F.lit(0))
     size = lambda n: F.size(f[n]).alias(f"n_{n}")
-    return _bound(spark, sf_dir)[0].select("finding_id", f["polarity"].alias("polarity"), f["temporality"].alias("temporality"), f["completed"].alias("completed"), size("tokens"), size("pairs"), size("quantities"), size("ranges"), F.coalesce(first["value"], F.lit(-1.0)).alias("first_value"), F.coalesce(first["op"], F.lit("")).alias("op"), F.coalesce(first["unit"], F.lit("")).alias("unit"))
+    return _found(spark, sf_dir).select("finding_id", f["polarity"].alias("polarity"), f["temporality"].alias("temporality"), f["completed"].alias("completed"), size("tokens"), size("pairs"), size("quantities"), size("ranges"), F.coalesce(first["value"], F.lit(-1.0)).alias("first_value"), F.coalesce(first["op"], F.lit("")).alias("op"), F.coalesce(first["unit"], F.lit("")).alias("unit"))
 
 
 @query("typed_binding", f"WITH {_BOUND} SELECT finding_id, item_id, role, clause::INT AS clause, round(score, 6) AS score, {_FAILED} AS failed, {_FAILED} = '' AS admissible FROM b WHERE score >= 0.4 OR {_FAILED} = ''")
@@ -146,15 +151,14 @@ WHEN len(own) > 0 OR len(asked) > 0 THEN CASE WHEN len(own) > 0 AND own = asked
 WHEN f_absent AND c_absent AND subject THEN 'explicit_negation' WHEN present AND len(label_tok) > 0 AND len(list_intersect(label_tok, ftok)) = len(label_tok) AND regexp_matches(finding, '{_bounded(typed.ASSERTION)}') THEN 'explicit_current_diagnosis' ELSE 'semantic_review' END AS authority FROM p""")
 def binding_authority(spark, sf_dir):
     """What decides each bound pair without review; an item's first two words are its diagnosis."""
-    found, wanted = _bound(spark, sf_dir)
-    bound = binding.bind(found, wanted, "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible")).select("finding_id", "item_id")
-    rows = bound.join(found, "finding_id").join(wanted, "item_id").join(_labels(spark, sf_dir), "item_id")
-    return rows.select("finding_id", "item_id", typed.authority_of(F.col("finding"), F.col("criterion"), F.col("label"), F.col("role")).alias("authority"))
+    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    rows = told.join(_labels(spark, sf_dir), "item_id")
+    return rows.select("finding_id", "item_id", typed.authority_of(F.col("finding"), F.col("criterion"), F.col("label"), F.col("role"), F.struct("admissible", "clause")).alias("authority"))
 
 
 def _labels(spark, sf_dir):
     label = F.array_join(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z ]", ""), " "), 1, 2), " ")
-    return table(spark, sf_dir, "benchmark").select("item_id", A.atom(label).alias("label"))
+    return written(table(spark, sf_dir, "benchmark").select("item_id", A.atom(label).alias("label")))
 
 
 def _same(a: str, b: str) -> str:
@@ -165,9 +169,8 @@ def _same(a: str, b: str) -> str:
 @query("asserted_diagnoses", f"WITH {_BOUND}, {_LABELLED} SELECT finding_id, item_id, present AND NOT c_absent AND {_same('ftok', 'ctok')} AND {_same('ctok', 'label_tok')} AS asserted FROM p")
 def asserted_diagnoses(spark, sf_dir):
     """Whether sentence, best clause and the item's first two words state one thing."""
-    found, wanted = _bound(spark, sf_dir)
-    bound = binding.bind(found, wanted, "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible")).select("finding_id", "item_id", "clause")
-    rows = bound.join(found, "finding_id").join(wanted, "item_id").join(_labels(spark, sf_dir), "item_id")
+    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    rows = told.join(_labels(spark, sf_dir), "item_id")
     return rows.select("finding_id", "item_id", typed.asserts_diagnosis_of(F.col("finding"), F.get("criterion", F.col("clause")), F.col("label")).alias("asserted"))
 
 
