@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import holds, label_key, tokens
+from marlstone.functions.text import holds, label_key, let, tokens
 
 # Words left out of binding tokens.
 BINDING_STOPWORDS = (
@@ -180,11 +180,25 @@ def measurements(text: Column) -> Column:
     return F.concat(both, pairs(F.transform(upper, lambda _: F.lit("sbp")), upper), pairs(F.transform(lower, lambda _: F.lit("dbp")), lower))
 
 
+def _near_signs(text: Column) -> Column:
+    """What ``THRESHOLD`` can match of a text: before each sign the 49 characters that a name has at most, behind it a number.
+
+    The pattern looks ahead from every letter, so on whole texts it costs fifty times their length.
+    """
+
+    def ends(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^=?\s*\d+(?:\.\d+)?", 0)
+        before = F.rtrim(F.substring(part, F.lit(1), F.length(part) - 1), F.lit(" \t\n\x0b\f\r"))
+        return F.when(F.length(part) <= 100, part).otherwise(F.concat(number, F.lit("\x01"), F.right(before, F.lit(49)), F.right(part, F.lit(1))))
+
+    return F.array_join(F.transform(F.split(text, "(?<=[<>≤≥])"), ends), "")
+
+
 def thresholds(text: Column) -> Column:
     """(name, op, value) of every threshold; the name is the last token before the sign."""
-    body = F.coalesce(text, F.lit(""))
-    parts = [F.regexp_extract_all(body, F.lit(THRESHOLD), F.lit(k)).alias(n) for k, n in ((1, "metric"), (2, "op"), (3, "value"))]
-    read = F.transform(F.arrays_zip(*parts), lambda x: F.struct(F.try_element_at(tokens(x["metric"]), F.lit(-1)).alias("name"), x["op"].alias("op"), x["value"].cast("double").alias("value")))
+    parts = lambda body: [F.regexp_extract_all(body, F.lit(THRESHOLD), F.lit(k)).alias(n) for k, n in ((1, "metric"), (2, "op"), (3, "value"))]
+    found = let(_near_signs(F.coalesce(text, F.lit(""))), lambda body: F.arrays_zip(*parts(body)))
+    read = F.transform(found, lambda x: F.struct(F.try_element_at(tokens(x["metric"]), F.lit(-1)).alias("name"), x["op"].alias("op"), x["value"].cast("double").alias("value")))
     return F.filter(read, lambda x: x["name"].isNotNull())
 
 

@@ -13,7 +13,7 @@ from marlstone.functions import clinical
 from marlstone.functions.text import content_id, holds, label_key, tokens
 from marlstone.operators import inventory, lexical, select
 from marlstone.operators.binding import concept_terms
-from marlstone.operators.fusion import evidence_score, margin, route_score
+from marlstone.operators.fusion import evidence_score, margin, reciprocal_rank, route_score
 from marlstone.sources.scratch import written
 
 # Words of a past event, of a positive and of a negative result, and premises that say nothing.
@@ -69,6 +69,7 @@ def structured(queries: DataFrame, premises: DataFrame, terms: DataFrame | None
     does, else 0.8 if a positive test of one modality and concept stands in both, which needs ``terms`` (key, concept).
     """
     wanted = premises.select("premise", F.explode(clinical.thresholds(F.col("text"))).alias("t")).select("premise", "t.name", "t.op", "t.value")
+    wanted = written(wanted)
     any_, now = _met(queries, F.col("text"), wanted), _met(queries, current_text(F.col("text")), wanted)
     marks = any_.select("query", "premise", F.lit(True).alias("any"), F.lit(0.0).alias("s")).union(now.select("query", "premise", F.lit(False), F.lit(1.0)))
     if terms is not None:
@@ -84,28 +85,45 @@ def candidate_choices(queries: DataFrame, premises: DataFrame, dense: DataFrame,
     ``queries`` has ``query, text``; ``premises`` ``premise, graph, label, text, weight``; ``dense`` ``query, premise, rank``, ranked
     before anything is left out; ``evidence`` comes from ``structured``.  All premises of the seeds' graphs take part in their routes, scored or not.
     """
-    docs, asked = premises.withColumnRenamed("premise", "doc_id"), queries.withColumnRenamed("query", "item_id")
+    docs, asked = premises.select(F.col("premise").alias("doc_id"), "text"), queries.withColumnRenamed("query", "item_id")
     by_query = Window.partitionBy("query").orderBy(F.col("score").desc(), "premise")
-    useful = premises.filter(~meaningless(F.col("text")))
-    scored = lexical.bm25_scores(docs, asked).withColumnRenamed("doc", "premise").join(useful.select("premise"), "premise")
-    sparse = written(scored.withColumn("rank", F.row_number().over(by_query)))
-    ranks = sparse.select("query", "premise").union(dense.select("query", "premise")).distinct().join(useful.select("premise", "weight"), "premise")
-    told = ranks.join(evidence, ["query", "premise"], "left").select("query", "premise", "weight", F.coalesce("threshold_met", F.lit(False)).alias("threshold_met"))
-    fused = written(inventory.fuse(sparse, dense, told, ["query", "premise"]))
-    strong = evidence.filter("strength > 0").select("query", "premise", (F.col("strength") == 1).alias("threshold_met"), (F.col("strength") < 1).alias("event_met"))
-    raised = written(inventory.structured_floor(fused, strong, ["query", "premise"], ["query"]))
+    # what later steps ask of a premise, read from its text once
+    known = written(premises.select("premise", "graph", "label", "weight", (~meaningless(F.col("text"))).alias("useful"), generic(F.col("label")).alias("generic")))
+    scored = lexical.bm25_scores(docs, asked).withColumnRenamed("doc", "premise").join(known.filter("useful").hint("shuffle_hash"), "premise")
+    sparse = written(scored.withColumn("rank", F.row_number().over(by_query)).drop("score"))
+    # a row of every (query, premise) in any channel carries all that its score needs: they meet in one grouping, and no join of them all follows
+    own = ["graph", "label", "weight", "useful", "generic"]
+    none = lambda kind: F.lit(None).cast(kind)
+    channels = sparse.select("query", "premise", *own, "rank", none("int").alias("near"), none("boolean").alias("threshold_met"), none("double").alias("strength"))
+    channels = channels.union(dense.join(known, "premise").select("query", "premise", *own, none("int"), F.col("rank"), none("boolean"), none("double")))
+    channels = channels.union(evidence.join(known, "premise").select("query", "premise", *own, none("int"), none("int"), "threshold_met", "strength"))
+    met = channels.groupBy("query", "premise").agg(*[F.first(c).alias(c) for c in own], *[F.max(c).alias(c) for c in ("rank", "near", "threshold_met", "strength")])
+    ranked_ = F.col("useful") & (F.col("rank").isNotNull() | F.col("near").isNotNull())
+    score = (reciprocal_rank(F.col("rank")) + reciprocal_rank(F.col("near"))) * F.col("weight") + F.when(F.col("threshold_met"), inventory.THRESHOLD_BONUS).otherwise(0.0)
+    fused = written(met.select("query", "premise", "graph", "label", (F.col("useful") & ~F.col("generic")).alias("member"), "strength", F.when(ranked_ & (score > 0), score).alias("fused")))
+    # executed evidence stands above all else of its query
+    floor = fused.groupBy("query").agg((F.coalesce(F.max("fused"), F.lit(0.0)) + 1).alias("__f"))
+    lift = F.when(F.col("strength") == 1, inventory.THRESHOLD_STRENGTH).when(F.col("strength") > 0, inventory.EVENT_STRENGTH)
+    raised = fused.join(F.broadcast(floor), "query").withColumn("score", F.greatest(F.coalesce("fused", F.lit(0.0)), F.coalesce(F.col("__f") * lift, F.lit(0.0)))).filter("score > 0")
     # the seeds come from the best fused facts and the executed ones
-    before = fused.withColumn("__r", F.row_number().over(by_query)).filter(F.col("__r") <= SEEDS).select("query", "premise")
-    pool = before.union(strong.select("query", "premise")).distinct().join(raised, ["query", "premise"])
-    seeds = pool.withColumn("__r", F.row_number().over(by_query)).filter(F.col("__r") <= SEEDS).join(premises.select("premise", "graph"), "premise")
+    by_fused = Window.partitionBy("query").orderBy(F.col("fused").desc(), "premise")
+    before = raised.filter("fused is not null").withColumn("__r", F.row_number().over(by_fused)).filter(F.col("__r") <= SEEDS).drop("__r")
+    pool = before.union(raised.filter("strength > 0")).distinct()
+    seeds = pool.withColumn("__r", F.row_number().over(by_query)).filter(F.col("__r") <= SEEDS)
     by_graph = evidence_score(seeds, ["query", "graph"], "score", "__g")
     best = Window.partitionBy("query").orderBy(F.col("__g").desc(), "graph")
     kept = by_graph.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= GRAPHS).drop("__r")
-    members = written(kept.join(useful.filter(~generic(F.col("label"))).select("premise", "graph", "label"), "graph").join(raised.select("query", "premise", "score"), ["query", "premise"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    kept = F.broadcast(written(kept))
     route = ["query", "graph", "label"]
     inside = Window.partitionBy(*route).orderBy(F.col("score").desc(), "premise")
-    first = members.withColumn("__n", F.row_number().over(inside)).filter(F.col("__n") <= SOURCES)
-    sources = first.groupBy(*route, "__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "premise"))), lambda x: x["premise"]).alias("sources"))
+    best_few = lambda rows: rows.withColumn("__n", F.row_number().over(inside)).filter(F.col("__n") <= SOURCES)
+    scored_ = best_few(raised.filter("member").join(kept, ["query", "graph"]).select(*route, "__g", "premise", "score")).drop("__n")
+    # premises without a score fill a route by id; fewer than SOURCES of its first are scored if any is needed
+    by_id = Window.partitionBy("graph", "label").orderBy("premise")
+    low = known.filter("useful and not generic").withColumn("__n", F.row_number().over(by_id)).filter(F.col("__n") < 2 * SOURCES).select("graph", "label", "premise")
+    plain = low.join(kept, "graph").select(*route, "__g", "premise", F.lit(0.0).alias("score"))
+    members = written(best_few(scored_.union(plain).groupBy(*route, "__g", "premise").agg(F.max("score").alias("score"))))
+    sources = members.groupBy(*route, "__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "premise"))), lambda x: x["premise"]).alias("sources"))
     own = sources.join(evidence_score(members, route, "score", "own"), route, "left").withColumn("own", F.coalesce("own", F.lit(0.0)))
     routes = margin(own, ["query", "graph"], "own", "label").join(queries.select("query", F.col("text").alias("__t")), "query")
     words = F.array_distinct(tokens(F.col("label")))
