@@ -12,6 +12,8 @@ K1, B = 1.2, 0.75
 MAX_QUERY_TF = 2
 #: Query terms are few; they are broadcast below this count and joined otherwise.
 BROADCAST_TERMS = 100_000
+#: Pairs of a query and a document that one task sums, if every document met every query.
+TASK_PAIRS = 4_000_000
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,26 +32,31 @@ def query_terms(queries: DataFrame, query: str = "item_id", text: str = "text")
 _MARK = ""
 
 
-def _matched(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> tuple[DataFrame, DataFrame, DataFrame, int, float]:
-    """Postings ``doc, doc_len, n_terms, term, tf`` of the queries' terms, document frequencies, query terms, and corpus totals.
+def _matched(docs: DataFrame, queries: DataFrame, doc: str, query: str) -> tuple[DataFrame, int, float]:
+    """Postings of the queries' terms, ``doc, doc_len, n_terms, term, tf, df, query, qtf``, a row a query, and corpus totals.
+
+    They are dealt by document to so many tasks that each sums ``TASK_PAIRS`` pairs at most, however many documents there are.
 
     Texts are cut into tokens once: only tokens that some query has, and a mark for each document, leave the map side, and
     what they come to is written.  Frequencies, totals and scores are read from that.
     """
     terms = query_terms(queries, query)
     wanted = written(terms.select("term").distinct().union(terms.sparkSession.createDataFrame([(_MARK,)], "term string")))
-    if wanted.count() <= BROADCAST_TERMS:
+    few = wanted.count() <= BROADCAST_TERMS
+    if few:
         wanted = F.broadcast(wanted)
     toks = docs.select(F.col(doc).alias("doc"), tokens(F.col("text")).alias("toks"))
     # sizes are taken before the rows are made, or they would be taken again for each
     sized = toks.select("doc", "toks", F.size("toks").alias("doc_len"), F.size(F.array_distinct("toks")).alias("n_terms"))
     each = sized.select("doc", "doc_len", "n_terms", F.explode(F.array_append("toks", F.lit(_MARK))).alias("term")).join(wanted, "term", "left_semi")
-    # dealt by document alone: the counts here and the scores by (query, document) later need no other shuffle
     counted = written(each.repartition("doc").groupBy("doc", "doc_len", "n_terms", "term").agg(F.count(F.lit(1)).alias("tf")))
     marks, tf = counted.filter(F.col("term") == _MARK), counted.filter(F.col("term") != _MARK)
     total = marks.agg(F.sum("tf").alias("n"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum("tf")).alias("avg_len")).first()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf, df, terms, total["n"] or 0, total["avg_len"] or 1.0
+    asked = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms, "term")
+    n, width = total["n"] or 0, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(width, -(-n * terms.select("query").distinct().count() // TASK_PAIRS))
+    met = tf.repartition(tasks, "doc").join(F.broadcast(asked), "term") if few else tf.join(asked, "term").repartition(tasks, "doc")
+    return met, n, total["avg_len"] or 1.0
 
 
 def top_k(scored: DataFrame, k: int, group: str, score: str, tie: str) -> DataFrame:
@@ -60,11 +67,11 @@ def top_k(scored: DataFrame, k: int, group: str, score: str, tie: str) -> DataFr
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """``query, doc, score`` of every document with a positive score."""
-    tf, df, terms, n, avg_len = _matched(docs, queries, doc, query)
+    met, n, avg_len = _matched(docs, queries, doc, query)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("doc_len") / F.lit(float(avg_len))))
     part = idf * saturated * F.least(F.col("qtf"), F.lit(MAX_QUERY_TF))
-    scored = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = met.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.filter("score > 0")
 
 
@@ -75,10 +82,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", q
 
 def idf_overlap(docs: DataFrame, queries: DataFrame, k: int = 5, doc: str = "doc_id", query: str = "item_id") -> DataFrame:
     """Idf of shared terms times frequencies capped at 2, over the root of the document's distinct terms."""
-    tf, df, terms, n, _ = _matched(docs, queries, doc, query)
+    met, n, _ = _matched(docs, queries, doc, query)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.least(F.col("tf"), F.lit(2)) * F.least(F.col("qtf"), F.lit(2))
-    summed = tf.join(df, "term").join(terms, "term").groupBy("query", "doc").agg(F.sum(part).alias("total"), F.max("n_terms").alias("n_terms"))
+    summed = met.groupBy("query", "doc").agg(F.sum(part).alias("total"), F.max("n_terms").alias("n_terms"))
     scored = summed.select("query", "doc", F.round(F.col("total") / F.sqrt(F.col("n_terms")), 6).alias("score"))
     return top_k(scored, k, "query", "score", "doc")
 
