@@ -135,15 +135,24 @@ def same_family(pairs: DataFrame, paths: DataFrame, keys: Sequence[str]) -> Data
     ``paths`` has ``category, path``.  Two labels that a graph both has are of one family if either is its category, if any of their paths share a
     node that is not merely suspected, or if the category is a syndrome.  Labels meet on (category, node), a category standing for all its paths.
     """
-    named = paths.select(F.col("category").alias("__c"), F.col("path").alias("__p"), label_key(F.col("category")).alias("__ck"))
-    nodes = named.select("__c", "__ck", F.explode(F.transform("__p", lambda x: label_key(x))).alias("__k"), F.transform(F.filter("__p", lambda x: ~generic(x)), lambda x: label_key(x)).alias("__up"))
-    whole = named.select("__c", "__ck", F.col("__ck").alias("__k"), F.transform(F.filter("__p", lambda x: ~generic(x)), lambda x: label_key(x)).alias("__up"))
-    per = nodes.union(whole).groupBy("__c", "__ck", "__k").agg(F.array_distinct(F.flatten(F.collect_list("__up"))).alias("__up"))
-    side = lambda c, p: pairs.select(*keys, label_key(F.coalesce(F.col(c), F.lit(""))).alias("__k")).filter("__k <> ''").join(per, "__k").select(*keys, F.col("__c"), (F.col("__k") == F.col("__ck")).alias(f"{p}whole"), F.col("__up").alias(f"{p}up"))
-    both = side("reference", "r").join(side("evaluated", "e"), [*keys, "__c"])
-    ok = F.col("rwhole") | F.col("ewhole") | F.arrays_overlap("rup", "eup") | F.contains(F.lower("__c"), F.lit("syndrome"))
-    found = both.groupBy(*keys).agg(F.bool_or(ok).alias("__same"))
-    return pairs.join(found, list(keys), "left").select(*keys, F.coalesce("__same", F.lit(False)).alias("same_family"))
+    named = paths.select(F.col("category").alias("__c"), label_key(F.col("category")).alias("__ck"), F.transform("path", lambda x: label_key(x)).alias("__all"), F.transform(F.filter("path", lambda x: ~generic(x)), lambda x: label_key(x)).alias("__up"))
+    # two nodes of one path each, so a place of many paths is many rows and never one array
+    met = named.select("__c", F.explode("__all").alias("__k"), "__up").select("__c", "__k", F.explode("__up").alias("__x")).distinct()
+    nodes = named.select("__c", "__ck", F.explode("__all").alias("__k")).union(named.select("__c", "__ck", F.col("__ck").alias("__k"))).distinct()
+    sizes = met.groupBy("__c", "__k").agg(F.count(F.lit(1)).alias("__n"))
+    per = nodes.join(sizes, ["__c", "__k"], "left").select("__c", "__k", (F.col("__k") == F.col("__ck")).alias("__whole"), F.coalesce("__n", F.lit(0)).alias("__n"))
+    side = lambda p: per.select("__c", *[F.col(f"__{c}").alias(f"__{p}{c}") for c in ("k", "whole", "n")])
+    key = lambda c: label_key(F.coalesce(F.col(c), F.lit("")))
+    labelled = pairs.select(*keys, key("reference").alias("__rk"), key("evaluated").alias("__ek"))
+    asked = labelled.select("__rk", "__ek").distinct().filter("__rk <> '' and __ek <> ''")
+    both = asked.join(side("r"), "__rk").join(side("e"), ["__ek", "__c"])
+    plain = F.col("__rwhole") | F.col("__ewhole") | F.contains(F.lower("__c"), F.lit("syndrome"))
+    # the label with fewer neighbours lists them; the other is only asked
+    fewer = F.col("__rn") <= F.col("__en")
+    open_ = both.filter(~plain).select("__rk", "__ek", "__c", F.when(fewer, F.col("__rk")).otherwise(F.col("__ek")).alias("__k"), F.when(fewer, F.col("__ek")).otherwise(F.col("__rk")).alias("__o"))
+    shared = open_.join(met, ["__c", "__k"]).join(met.withColumnRenamed("__k", "__o"), ["__c", "__o", "__x"], "left_semi")
+    found = both.filter(plain).select("__rk", "__ek").union(shared.select("__rk", "__ek")).distinct().withColumn("__same", F.lit(True))
+    return labelled.join(found, ["__rk", "__ek"], "left").select(*keys, F.coalesce("__same", F.lit(False)).alias("same_family"))
 
 
 def _clean(text: Column) -> Column:
