@@ -138,10 +138,12 @@ def shortlist(bound: DataFrame, within: Sequence[str], family: str, fact: str, n
 def cited_pairs(pairs: DataFrame, citations: DataFrame, within: Sequence[str], claim: str, f_key: str, c_key: str) -> DataFrame:
     """Pairs that each claim cites, with their ``tier``: 1 if both ids are cited; 2, if only the criterion's is, for claims without a pair of tier 1.
 
-    ``citations`` has ``within, claim, evidence_id``.  The second tier takes only claims that the first left without one, by an anti-join.
+    ``citations`` has ``within, claim, evidence_id``.  The second tier takes only claims that the first left without one, as a flag over the
+    pairs of a claim tells; the pairs are joined once.
     """
     cited = citations.select(*within, claim, "evidence_id").distinct()
     by_criterion = pairs.join(cited.withColumnRenamed("evidence_id", c_key), [*within, c_key])
-    strict = by_criterion.join(cited.withColumnRenamed("evidence_id", f_key), [*within, claim, f_key], "left_semi")
-    rest = by_criterion.join(strict.select(*within, claim).distinct(), [*within, claim], "left_anti")
-    return strict.withColumn("tier", F.lit(1)).unionByName(rest.withColumn("tier", F.lit(2)))
+    marked = by_criterion.join(cited.withColumnRenamed("evidence_id", f_key).withColumn("__both", F.lit(True)), [*within, claim, f_key], "left")
+    strict = F.bool_or(F.coalesce("__both", F.lit(False))).over(Window.partitionBy(*within, claim))
+    kept = marked.withColumn("__strict", strict).filter(F.col("__both") | ~F.col("__strict"))
+    return kept.withColumn("tier", F.when(F.col("__strict"), 1).otherwise(2)).drop("__both", "__strict")
