@@ -19,6 +19,8 @@ from marlstone.functions.numeric import norm
 
 #: Queries of one broadcast (bounded: block x dimensions), and of one matrix product.
 QUERY_BLOCK, PRODUCT = 32_768, 1024
+#: Scores that a task of ``nearest`` holds at once.
+CELLS = 1 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -50,10 +52,11 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, vec_id: str = "vec_id
                 m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
                 own = b.column(0).to_numpy()
                 by_id = np.argsort(own, kind="stable")
-                for at in range(0, len(q), PRODUCT):
-                    scores = np.round(q[at : at + PRODUCT] @ m.T, decimals)[:, by_id]
+                step = max(1, min(PRODUCT, CELLS // len(m)))
+                for at in range(0, len(q), step):
+                    scores = np.round(q[at : at + step] @ m.T, decimals)[:, by_id]
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    cols = [np.repeat(q_ids[at : at + PRODUCT], best.shape[1]), own[by_id][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
+                    cols = [np.repeat(q_ids[at : at + step], best.shape[1]), own[by_id][best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query", "doc", "score"])
 
         return corpus.select(vec_id, vector).mapInArrow(run, "query long, doc long, score double")
