@@ -54,13 +54,18 @@ def _case(spark, sf_dir):
     evidence = used.select("l_orderkey", "evidence_id", F.get(kinds, k).alias("role"), path.alias("path"), F.when(k.isNull(), "seen").alias("text"))
     targets = candidates.select("l_orderkey", F.col("candidate_id").alias("target_id"), "candidate_id", "diagnosis")
     out = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return candidates, judged, G.founded(counters, targets, evidence, "l_orderkey"), out
+    return candidates, judged, G.founded(counters, targets, evidence, "l_orderkey"), out, args
+
+
+def _graph(spark, sf_dir):
+    *parts, args = _case(spark, sf_dir)
+    return G.build(*parts, "l_orderkey", args.select("l_orderkey", "candidate_id"))
 
 
 @query("argument_relations", f"WITH {_EDGES} SELECT * FROM e")
 def argument_relations(spark, sf_dir):
     """Supports, undercuts and rebuts of every order's graph."""
-    return G.build(*_case(spark, sf_dir), "l_orderkey")[1]
+    return _graph(spark, sf_dir)[1]
 
 
 @query("argument_nodes", f"""WITH {_BASE} SELECT l_orderkey, argument_id AS node_id, 'support' AS node_type, candidate_id, round(compatibility, 6) AS compatibility FROM w UNION ALL SELECT l_orderkey, 'Q-' || argument_id, 'challenge', candidate_id, 0 FROM w WHERE challenged
@@ -69,7 +74,7 @@ UNION ALL SELECT l_orderkey, 'Q-' || candidate_id, 'challenge', candidate_id, 0
 UNION ALL SELECT l_orderkey, counter_id, 'counterargument', candidate_id, compat FROM cf UNION ALL SELECT l_orderkey, 'Q-' || counter_id, 'challenge', candidate_id, 0 FROM cf WHERE compat <= 0""")
 def argument_nodes(spark, sf_dir):
     """Nodes of every order's graph by kind, with how well their evidence fits."""
-    nodes = G.build(*_case(spark, sf_dir), "l_orderkey")[0]
+    nodes = _graph(spark, sf_dir)[0]
     return nodes.select("l_orderkey", "node_id", "node_type", "candidate_id", F.round("compatibility", 6).alias("compatibility"))
 
 
@@ -77,7 +82,7 @@ def argument_nodes(spark, sf_dir):
 SELECT l_orderkey, e.target AS candidate_id, count(*) AS supports, count(*) FILTER (a.target IS NULL) AS standing, any_value(c.target) IS NOT NULL AS undercut FROM e LEFT JOIN u a ON a.l_orderkey = e.l_orderkey AND a.target = e.source LEFT JOIN u c ON c.l_orderkey = e.l_orderkey AND c.target = e.target WHERE relation = 'supports' GROUP BY e.l_orderkey, e.target""".replace("SELECT l_orderkey, e.target", "SELECT e.l_orderkey, e.target"))
 def argument_standing(spark, sf_dir):
     """Supports of each candidate that nothing undercuts."""
-    return G.standing(G.build(*_case(spark, sf_dir), "l_orderkey")[1], "l_orderkey")
+    return G.standing(_graph(spark, sf_dir)[1], "l_orderkey")
 
 
 @query("graph_quality", f"""WITH {_BASE}, p AS (SELECT l_orderkey, count(*) AS raw, count(*) FILTER (l_returnflag = 'R') AS invalid FROM li GROUP BY 1),
@@ -88,8 +93,8 @@ round(coalesce(total / n, 0), 6) AS argument_evidence_compatibility, round(coale
 FROM p LEFT JOIN g USING (l_orderkey) LEFT JOIN k USING (l_orderkey)""")
 def graph_quality(spark, sf_dir):
     """Nine ratios of every order's graph; returned lines count as invalid proposals."""
-    _, judged, counters, _ = _case(spark, sf_dir)
+    _, judged, counters, _, args = _case(spark, sf_dir)
     li = table(spark, sf_dir, "lineitem")
     proposals = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("raw"), F.count_if(F.col("l_returnflag") == "R").alias("invalid"))
-    references = judged.select("l_orderkey", F.explode("evidence_ids").alias("i")).select("l_orderkey", (F.col("i") != "K0").alias("is_valid"))
+    references = args.select("l_orderkey", F.explode("evidence_ids").alias("i")).select("l_orderkey", (F.col("i") != "K0").alias("is_valid"))
     return G.quality(judged, references, counters, proposals, "l_orderkey")

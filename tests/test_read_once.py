@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from marlstone.functions import clinical
-from marlstone.operators import binding
+from marlstone.operators import argument_graph, binding, evaluation, lexical, retrieval, vectors
 from marlstone.plans import binding as plans
+from marlstone.plans import joins
 from oracle import SMALL
 
 
@@ -29,3 +30,63 @@ def test_a_filter_on_the_verdict_does_not_assess_again(spark):
 def test_bound_queries_read_written_atoms(spark):
     for df in plans._bound(spark, SMALL):
         assert "regexp" not in _plan(df)
+
+
+def test_thresholds_read_only_what_stands_near_a_sign(spark):
+    far = "word " * 4000
+    text = f"{far}EF of{' ' * 60}x rate >= 50.5{far}of{' ' * 200}LVEF ≤\n40 b > 3c < 2 {far}5 > 6"
+    row = spark.createDataFrame([(text,)], "t string").select(clinical._near_signs(F.col("t")).alias("n"), clinical.thresholds(F.col("t")).alias("x")).first()
+    assert len(row["n"]) < 700
+    assert [tuple(x) for x in row["x"]] == [("rate", ">=", 50.5), ("lvef", "≤", 40.0), ("word", ">", 6.0)]
+
+
+def test_scores_are_dealt_to_tasks_of_bounded_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i}") for i in range(60)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, "alpha"), (2, "beta w7")], "item_id int, text string")
+    want = sorted(map(tuple, lexical.bm25_scores(docs, items).collect()))
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 10)
+    assert lexical._matched(docs, items, "doc_id", "item_id")[0].rdd.getNumPartitions() >= 12
+    assert sorted(map(tuple, lexical.bm25_scores(docs, items).collect())) == want
+
+
+def test_a_family_of_many_paths_is_rows_and_no_array(spark):
+    paths = spark.createDataFrame([("heart", ["acs", f"leaf {i}"]) for i in range(9)] + [("lung", ["pe", "big pe"])], "category string, path array<string>")
+    pairs = spark.createDataFrame([(1, "leaf 1", "acs"), (2, "leaf 1", "pe"), (3, "heart", "leaf 2"), (4, "acs", "acs"), (5, None, "acs"), (6, "leaf 1", "leaf 2")], "k int, reference string, evaluated string")
+    df = evaluation.same_family(pairs, paths, ["k"])
+    assert "collect_list" not in _plan(df)
+    assert {r["k"]: r["same_family"] for r in df.collect()} == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True}
+
+
+def test_standing_reads_the_edges_once(spark):
+    rows = [(1, "a", "C1", "supports"), (1, "b", "C1", "supports"), (1, "Q-a", "a", "undercuts"), (1, "R-a", "a", "undercuts"), (1, "Q-C2", "C2", "undercuts"), (1, "c", "C2", "supports"), (1, "C1", "C2", "rebuts")]
+    df = argument_graph.standing(spark.createDataFrame(rows, "case int, source string, target string, relation string"), "case")
+    assert _plan(df).count("LogicalRDD") == 1
+    assert sorted(map(tuple, df.collect())) == [(1, "C1", 2, 1, False), (1, "C2", 1, 1, True)]
+
+
+def test_cited_pairs_are_joined_once(spark):
+    pairs = spark.createDataFrame([(1, "S-1", "K1"), (1, "S-2", "K1"), (1, "S-3", "K2")], "case int, f string, k string")
+    cited = spark.createDataFrame([(1, 0, "K1"), (1, 0, "S-1"), (1, 1, "K2"), (1, 2, "S-1")], "case int, claim int, evidence_id string")
+    df = binding.cited_pairs(pairs, cited, ["case"], "claim", "f", "k")
+    assert _plan(df).count("LogicalRDD") == 3
+    assert sorted((r["claim"], r["f"], r["k"], r["tier"]) for r in df.collect()) == [(0, "S-1", "K1", 1), (1, "S-3", "K2", 2)]
+
+
+def test_no_grouping_holds_pairs_of_users(spark):
+    assert "Aggregate [a#" not in _plan(joins.shared_modality_join(spark, SMALL))
+
+
+def test_nearest_keeps_few_scores_at_once(spark, monkeypatch):
+    vecs = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vectors.nearest(vecs, vecs, 4).collect()))
+    monkeypatch.setattr(vectors, "CELLS", 1)
+    assert sorted(map(tuple, vectors.nearest(vecs, vecs, 4).collect())) == want
+
+
+def test_scored_premises_beyond_the_sources_do_not_hide_those_without(spark):
+    words = ["fever cough", "nothing", "fever", "etc", "plain", "void", "bare"]
+    premises = spark.createDataFrame([(i, "g", "flu", w) for i, w in enumerate(words)], "premise long, graph string, label string, text string").withColumn("weight", F.lit(1.0))
+    queries = spark.createDataFrame([(1, "fever and cough")], "query long, text string")
+    dense = spark.createDataFrame([], "query long, premise long, rank int")
+    got = retrieval.candidate_choices(queries, premises, dense, retrieval.structured(queries, premises)).collect()
+    assert [(r["place"], r["label"], r["sources"]) for r in got] == [(1, "flu", [0, 2, 1, 4])]
