@@ -115,7 +115,7 @@ def clinical_atoms(spark, sf_dir):
 @query("typed_binding", f"WITH {_BOUND} SELECT finding_id, item_id, role, clause::INT AS clause, round(score, 6) AS score, {_FAILED} AS failed, {_FAILED} = '' AS admissible FROM b WHERE score >= 0.4 OR {_FAILED} = ''")
 def typed_binding(spark, sf_dir):
     """Each sentence against each item with which it shares enough: the best clause, its score and the critical questions it fails."""
-    bound = binding.bind(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    bound = binding.bind(*_bound(spark, sf_dir), "finding_id", "item_id", least=binding.LEAST)
     failed = F.array_join(F.transform(F.filter("questions", lambda q: ~q["passed"]), lambda q: q["question"]), ",")
     return bound.select("finding_id", "item_id", "role", "clause", "score", failed.alias("failed"), "admissible")
 
@@ -125,7 +125,7 @@ n AS (SELECT *, row_number() OVER (PARTITION BY role, item_id ORDER BY admissibl
 SELECT * FROM (SELECT role, finding_id, item_id, admissible, round(score, 6) AS score, row_number() OVER (PARTITION BY role ORDER BY n > 1, admissible DESC, semantic DESC, round(score, 6) DESC, weight DESC, finding_id, item_id)::INT AS place FROM n) WHERE place <= 8""")
 def binding_options(spark, sf_dir):
     """The eight best pairs of each role, every item first with its best sentence."""
-    bound = binding.bind(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    bound = binding.bind(*_bound(spark, sf_dir), "finding_id", "item_id", least=binding.LEAST)
     rows = bound.withColumn("node", F.col("item_id").cast("string"))
     return binding.ranked_options(rows, ["role"], "finding_id", "item_id", "node").select("role", "finding_id", "item_id", "admissible", "score", "place")
 
@@ -151,7 +151,7 @@ WHEN len(own) > 0 OR len(asked) > 0 THEN CASE WHEN len(own) > 0 AND own = asked
 WHEN f_absent AND c_absent AND subject THEN 'explicit_negation' WHEN present AND len(label_tok) > 0 AND len(list_intersect(label_tok, ftok)) = len(label_tok) AND regexp_matches(finding, '{_bounded(typed.ASSERTION)}') THEN 'explicit_current_diagnosis' ELSE 'semantic_review' END AS authority FROM p""")
 def binding_authority(spark, sf_dir):
     """What decides each bound pair without review; an item's first two words are its diagnosis."""
-    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id", least=binding.LEAST)
     rows = told.join(_labels(spark, sf_dir), "item_id")
     return rows.select("finding_id", "item_id", typed.authority_of(F.col("finding"), F.col("criterion"), F.col("label"), F.col("role"), F.struct("admissible", "clause")).alias("authority"))
 
@@ -169,7 +169,7 @@ def _same(a: str, b: str) -> str:
 @query("asserted_diagnoses", f"WITH {_BOUND}, {_LABELLED} SELECT finding_id, item_id, present AND NOT c_absent AND {_same('ftok', 'ctok')} AND {_same('ctok', 'label_tok')} AS asserted FROM p")
 def asserted_diagnoses(spark, sf_dir):
     """Whether sentence, best clause and the item's first two words state one thing."""
-    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id", least=binding.LEAST)
     rows = told.join(_labels(spark, sf_dir), "item_id")
     return rows.select("finding_id", "item_id", typed.asserts_diagnosis_of(F.col("finding"), F.get("criterion", F.col("clause")), F.col("label")).alias("asserted"))
 
@@ -180,7 +180,7 @@ SELECT role, item_id, admissible, score, place FROM (SELECT *, row_number() OVER
 def family_shortlist(spark, sf_dir):
     """The three items of each role that all sentences bind best; twelve neighbouring items are one node."""
     found, wanted = _bound(spark, sf_dir)
-    bound = binding.bind(found, wanted, "finding_id", "item_id").filter((F.col("score") >= 0.4) | F.col("admissible"))
+    bound = binding.bind(found, wanted, "finding_id", "item_id", least=binding.LEAST)
     rows = bound.withColumn("family", F.col("role")).withColumn("node", F.floor(F.col("item_id") / 12)).withColumn("absence", B.polarity(F.col("matched_clause")) == "absent").drop("role")
     return binding.shortlist(rows, [], "family", "item_id", "node").withColumnRenamed("family", "role")
 

@@ -6,6 +6,7 @@ from marlstone.functions import clinical
 from marlstone.operators import argument_graph, binding, evaluation, lexical, retrieval, vectors
 from marlstone.plans import binding as plans
 from marlstone.plans import joins
+from marlstone.sources.scratch import written
 from oracle import SMALL
 
 
@@ -90,3 +91,34 @@ def test_scored_premises_beyond_the_sources_do_not_hide_those_without(spark):
     dense = spark.createDataFrame([], "query long, premise long, rank int")
     got = retrieval.candidate_choices(queries, premises, dense, retrieval.structured(queries, premises)).collect()
     assert [(r["place"], r["label"], r["sources"]) for r in got] == [(1, "flu", [0, 2, 1, 4])]
+
+
+def _sides(spark):
+    texts = ["acute chest pain today", "no fever, no cough", "History of embolism", "pain, fever 38.5 %", "CT scan showed chest embolism", "cTnT-0.1* cTnT-0.2*", "st depression in V2", "LVEF = 45 %"]
+    rules = [("acute chest pain; chest pain today", "guideline"), ("no cough", "clinical_feature"), ("embolism", "risk_factor"), ("CT of the chest finds embolism", "diagnostic_criterion"), ("elevated troponin", "clinical_feature"), ("non-ST-elevation", "guideline"), ("LVEF 41-49 %; fever above 38 % with pain in both arms", "diagnostic_criterion")]
+    found = binding.findings(spark.createDataFrame(list(enumerate(texts)), "f int, t string"), ["f"], "t")
+    wanted = binding.criteria(spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "c int, t string, role string"), ["c"], "t", "role")
+    return written(found), written(wanted)
+
+
+def test_findings_stay_where_they_lie_if_criteria_are_few(spark, monkeypatch):
+    found, wanted = _sides(spark)
+    every = found.select("f").crossJoin(wanted.select("c"))
+    kept = lambda df: sorted((r["f"], r["c"], r["admissible"], r["score"], r["clause"]) for r in df.filter("score >= 0.4 or admissible").collect())
+    want = kept(binding.bind(found, wanted, "f", "c", pairs=every))
+    df = binding.bind(found, wanted, "f", "c", least=0.4)
+    assert "hashpartitioning(f#" not in df._jdf.queryExecution().executedPlan().toString()
+    assert len(want) >= 8 and kept(df) == want == sorted((r["f"], r["c"], r["admissible"], r["score"], r["clause"]) for r in df.collect())
+    monkeypatch.setattr(binding, "KEYS_SENT", 0)
+    many = binding.bind(found, wanted, "f", "c", least=0.4)
+    assert "hashpartitioning(f#" in many._jdf.queryExecution().executedPlan().toString()
+    assert kept(many) == want
+
+
+def test_a_phrase_alone_makes_no_pair_where_it_cannot_decide(spark):
+    found = binding.findings(spark.createDataFrame([(1, "chest pain")], "f int, t string"), ["f"], "t")
+    rules = [(1, "chest pain with nausea, sweating, collapse and weakness", "guideline"), (2, "chest pain above 50 % with nausea, sweating, collapse and weakness", "guideline")]
+    wanted = binding.criteria(spark.createDataFrame(rules, "c int, t string, role string"), ["c"], "t", "role")
+    phrase = spark.range(1).select(F.explode(binding._kind("p", F.array(F.lit("chest pain")))).alias("key"))
+    asked = {r["c"] for r in binding.clause_keys(found, wanted, "c").join(phrase, "key").collect()}
+    assert asked == {2}
