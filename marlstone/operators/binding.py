@@ -160,11 +160,12 @@ def ranked_options(bound: DataFrame, within: Sequence[str], f_key: str, c_key: s
     """
     fits = F.exists("questions", lambda q: (q["question"] == "concept_compatible") & q["passed"])
     weight = F.array_position(F.array(*[F.lit(r) for r in ROLE_ORDER]), F.col("role"))
-    order = [F.col("admissible").desc(), fits.desc(), F.col("score").desc(), weight.desc(), F.col(f_key), F.col(c_key)]
+    order = [F.col("admissible").desc(), F.col("__fits").desc(), F.col("score").desc(), weight.desc(), F.col(f_key), F.col(c_key)]
     name = F.when(F.coalesce(F.col(node), F.lit("")) != "", F.concat(F.lit("n:"), node)).otherwise(F.concat(F.lit("k:"), F.col(c_key).cast("string")))
-    first = bound.withColumn("__node", name).withColumn("__n", F.row_number().over(Window.partitionBy(*within, "__node").orderBy(*order)))
+    first = bound.withColumn("__node", name).withColumn("__fits", fits).withColumn("__n", F.row_number().over(Window.partitionBy(*within, "__node").orderBy(*order)))
     place = F.row_number().over(Window.partitionBy(*within).orderBy(F.col("__n") > 1, *order))
-    return first.withColumn("place", place).filter(F.col("place") <= most).drop("__node", "__n")
+    # a pair has at least all better ones of its node before it, so those beyond ``most`` need not be shuffled
+    return first.filter(F.col("__n") <= most).withColumn("place", place).filter(F.col("place") <= most).drop("__node", "__n", "__fits")
 
 
 def shortlist(bound: DataFrame, within: Sequence[str], family: str, fact: str, node: str, most: int = 3) -> DataFrame:

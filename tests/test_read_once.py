@@ -122,3 +122,10 @@ def test_a_phrase_alone_makes_no_pair_where_it_cannot_decide(spark):
     phrase = spark.range(1).select(F.explode(binding._kind("p", F.array(F.lit("chest pain")))).alias("key"))
     asked = {r["c"] for r in binding.clause_keys(found, wanted, "c").join(phrase, "key").collect()}
     assert asked == {2}
+
+
+def test_options_beyond_the_places_of_a_node_are_not_shuffled(spark):
+    found, wanted = _sides(spark)
+    bound = binding.bind(found, wanted, "f", "c").withColumn("node", F.lit("n"))
+    df = binding.ranked_options(bound, ["role"], "f", "c", "node", 2)
+    assert _plan(df).count("WindowGroupLimit") == 2
