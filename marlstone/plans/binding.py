@@ -179,9 +179,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY role, item_id // 12 ORDER BY adm
 SELECT role, item_id, admissible, score, place FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n > 1, admissible DESC, score DESC, item_id)::INT AS place FROM n) WHERE place <= 3""")
 def family_shortlist(spark, sf_dir):
     """The three items of each role that all sentences bind best; twelve neighbouring items are one node."""
-    found, wanted = _bound(spark, sf_dir)
-    bound = binding.bind(found, wanted, "finding_id", "item_id", least=binding.LEAST)
-    rows = bound.withColumn("family", F.col("role")).withColumn("node", F.floor(F.col("item_id") / 12)).withColumn("absence", B.polarity(F.col("matched_clause")) == "absent").drop("role")
+    told = binding.assessed(*_bound(spark, sf_dir), "finding_id", "item_id", least=binding.LEAST)
+    absence = F.get("criterion", F.col("clause"))["polarity"] == "absent"
+    rows = told.select(F.col("role").alias("family"), "item_id", F.floor(F.col("item_id") / 12).alias("node"), "admissible", "score", absence.alias("absence"))
     return binding.shortlist(rows, [], "family", "item_id", "node").withColumnRenamed("family", "role")
 
 

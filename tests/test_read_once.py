@@ -129,3 +129,7 @@ def test_options_beyond_the_places_of_a_node_are_not_shuffled(spark):
     bound = binding.bind(found, wanted, "f", "c").withColumn("node", F.lit("n"))
     df = binding.ranked_options(bound, ["role"], "f", "c", "node", 2)
     assert _plan(df).count("WindowGroupLimit") == 2
+
+
+def test_absence_is_taken_from_the_atom(spark):
+    assert "denies|denied" not in _plan(plans.family_shortlist(spark, SMALL))
