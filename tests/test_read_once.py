@@ -133,3 +133,12 @@ def test_options_beyond_the_places_of_a_node_are_not_shuffled(spark):
 
 def test_absence_is_taken_from_the_atom(spark):
     assert "denies|denied" not in _plan(plans.family_shortlist(spark, SMALL))
+
+
+def test_labels_go_to_where_the_pairs_lie(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("binding_authority", "asserted_diagnoses"):
+            assert "SortMergeJoin" not in getattr(plans, name)(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
